@@ -25,7 +25,9 @@ from .common import arrow_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose codes a Python worker keeps; when full, it starts anew.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000
+#: The same for pre-tokens: a chunk in lower case without its punctuation.
+CACHED_WORDS = 400_000
 
 #: Python's split() also cuts at these four, which the vocabulary's white space doesn't include.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -51,56 +53,75 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in {**self.vocab, **self.special}.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
+        #: (left id, right id) as one number -> (rank, merged id) as one number.
+        self.merges = {self.vocab[a] << 32 | self.vocab[b]: k << 32 | self.vocab[a + b] for k, (a, b) in enumerate(pairs)}
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.alphabet = byte_alphabet()
-        self.words: dict[str, list[int]] = {}
+        shown = byte_alphabet()
+        self.inner, self.last = [self.vocab[c] for c in shown], [self.vocab[c + self.end] for c in shown]
+        self.words: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        text = [self.alphabet[b] for b in word.encode()]
-        text[-1] += self.end
-        left, right = list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
-        heap = [(r, i, text[i], text[i + 1]) for i in range(len(text) - 1) if (r := self.ranks.get((text[i], text[i + 1]))) is not None]
+        raw, merges = word.encode(), self.merges
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        #: For each symbol still in the list, rank and result of merging it with the next, or None.
+        now = [merges.get(a << 32 | b) for a, b in zip(ids, ids[1:])]
+        now.append(None)
+        heap = [(m, i) for i, m in enumerate(now) if m is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if text[i] != a or j < 0 or text[j] != b:
+            m, i = heapq.heappop(heap)
+            if now[i] != m:
                 continue  # stale: one of the two has been merged since
-            text[i], text[j] = a + b, ""
+            j = right[i]
+            ids[i] = new = m & 0xFFFFFFFF
+            now[j], now[i] = None, None
+            ids[j] = -1
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
-                if (r := self.ranks.get((a + b, text[k]))) is not None:
-                    heapq.heappush(heap, (r, i, a + b, text[k]))
-            if (h := left[i]) >= 0 and (r := self.ranks.get((text[h], a + b))) is not None:
-                heapq.heappush(heap, (r, h, text[h], a + b))
-        return [self.vocab[s] for s in text if s]
-
-    def ids(self, text: str) -> list[int]:
-        """Ids of a text without special strings."""
-        out: list[int] = []
-        # Case is folded character by character: a final sigma is no special case.
-        plain = _SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        for piece in self.pieces.findall(plain):
-            if (got := self.words.get(piece)) is None:
-                if len(self.words) >= CACHED_CHUNKS:
-                    self.words.clear()
-                got = self.merge(piece)
-                if len(piece) <= 64:
-                    self.words[piece] = got
-            out += got
-        return out
+                if (m := merges.get(new << 32 | ids[k])) is not None:
+                    now[i] = m
+                    heapq.heappush(heap, (m, i))
+            if (h := left[i]) >= 0:
+                now[h] = m = merges.get(ids[h] << 32 | new)
+                if m is not None:
+                    heapq.heappush(heap, (m, h))
+        return [x for x in ids if x >= 0]
+
+    def coded(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+
+    def word(self, piece: str) -> tuple[bytes, str]:
+        """Packed ids and the decoded text of one pre-token."""
+        if (got := self.words.get(piece)) is None:
+            if len(self.words) >= CACHED_WORDS:
+                self.words.clear()
+            got = self.coded(self.merge(piece))
+            if len(piece) <= 64:
+                self.words[piece] = got
+        return got
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Packed ids and the decoded text of a text without white space."""
-        ids: list[int] = []
-        for part in self.cut.split(chunk) if self.cut else [chunk]:
-            ids += [self.special[part]] if part in self.special else self.ids(part)
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        if chunk.isascii():
+            plain = chunk.lower()
+            if plain.isalpha():
+                return self.word(plain)
+        if "<|" in chunk and self.cut:
+            parts = [self.coded([self.special[p]]) if p in self.special else self.chunk(p) for p in self.cut.split(chunk) if p] if self.cut.search(chunk) else None
+        else:
+            parts = None
+        if parts is None:
+            # Case is folded character by character: a final sigma is no special case.
+            plain = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
+            parts = list(map(self.word, self.pieces.findall(plain)))
+        return parts[0] if len(parts) == 1 else (b"".join([p for p, _ in parts]), " ".join([d for p, d in parts if p]))
 
     def decode(self, ids) -> str:
         """Vocabulary strings in a row; this vocabulary has no decoder, so that a blank stands between them."""
