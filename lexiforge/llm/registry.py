@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, sharding, token_counts, toxicity
 
 
 def queries():
     return {
+        "op2_sharding": sharding.query,
+        "op3_toxicity": toxicity.query,
         "op4_bpe": bpe.query,
         "op9_token_counts": token_counts.query,
     }
