@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, token_counts, toxicity
+from . import bpe, lm_scoring, sharding, token_counts, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_toxicity": toxicity.query,
         "op4_bpe": bpe.query,
         "op9_token_counts": token_counts.query,
+        "op10_lm_scoring": lm_scoring.query,
     }
 
 
