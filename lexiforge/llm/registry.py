@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm_scoring, sharding, token_counts, toxicity
+from . import bpe, lm_scoring, ngram_jaccard, sharding, token_counts, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_sharding": sharding.query,
         "op3_toxicity": toxicity.query,
         "op4_bpe": bpe.query,
+        "op5_ngram_jaccard": ngram_jaccard.query,
         "op9_token_counts": token_counts.query,
         "op10_lm_scoring": lm_scoring.query,
     }
