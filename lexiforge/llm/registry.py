@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, lm_scoring, ngram_jaccard, sharding, substring_dedup, token_counts, toxicity
+from . import bpe, decontamination, html_extraction, lm_scoring, ngram_jaccard, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries():
     return {
+        "op1_html_extraction": html_extraction.query,
         "op2_sharding": sharding.query,
         "op3_toxicity": toxicity.query,
         "op4_bpe": bpe.query,
