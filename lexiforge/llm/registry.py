@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extraction, lm_scoring, ngram_jaccard, sharding, substring_dedup, token_counts, toxicity
+from . import bpe, decontamination, html_extraction, lm_scoring, nearest, ngram_jaccard, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_bpe": bpe.query,
         "op5_ngram_jaccard": ngram_jaccard.query,
         "op6_decontamination": decontamination.query,
+        "op7_nearest": nearest.query,
         "op8_substring_dedup": substring_dedup.query,
         "op9_token_counts": token_counts.query,
         "op10_lm_scoring": lm_scoring.query,
