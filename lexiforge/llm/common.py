@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+#: Bits of the map that ``may_have`` sends to the scan.
+MAP_BITS = 1 << 24
+
+
+def may_have(keys: DataFrame, key: Column) -> Column:
+    """Whether ``key`` may be among ``keys`` (key), from a bit map of fixed size: no false "no", few false "yes".
+
+    It spares a join the shuffle of the rows that have no partner, however many keys there are.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    words = (
+        keys.select(spot(F.col("key")).alias("spot"))
+        .groupBy(F.floor(F.col("spot") / 32).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, int(spot % 32)))").alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def may_be(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return may_be(spot(key.cast("long")))

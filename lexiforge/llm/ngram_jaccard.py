@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_core as core
-from .common import arrow_batches, checkpoint
+from .common import arrow_batches, checkpoint, may_have
 from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Documents of a group that are compared in one task.
-BLOCK = 1_000
-#: Bits of the map that says which texts are read again; some more are, and a join drops those.
-MAP_BITS = 1 << 24
+BLOCK = 300
 SIGNATURE, FIRST, COPY = 0, 1, 2
 
 
@@ -108,22 +106,8 @@ def gathered(rows: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (key, text) whose key is in ``keys``.
-
-    A bit map of fixed size goes to the scan, so that only the texts which it lets through are shuffled.
-    """
-    spot = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS))
-    words = keys.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 32).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(spot % 32)))").alias("bits")).toArrow()
-    bits = np.zeros(MAP_BITS // 32, np.uint32)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def may_be(spots: pa.Array) -> pa.Array:
-        at = spots.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
-
-    return docs.filter(may_be(spot)).join(keys.select("key").distinct(), "key", "left_semi")
+    """The rows of ``docs`` (key, text) whose key is in ``keys``."""
+    return docs.filter(may_have(keys, F.col("key"))).join(keys.select("key").distinct(), "key", "left_semi")
 
 
 def sets_of(texts: DataFrame, words: int) -> DataFrame:
@@ -212,6 +196,22 @@ def without_id(named: DataFrame, words: int) -> DataFrame:
     return named.filter("key IS NULL").mapInArrow(run, "key long, n_shingles long")
 
 
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the row with the smallest id, and of repeated rows of an id one.
+
+    Rows without words have no links and all stay, as do rows with a null id.
+    """
+    found = checkpoint(join(docs, doc_id, text, words, percent).filter(F.col(doc_id).isNotNull()))
+    gone = found.filter(F.col("component_id") < F.col(doc_id)).select(F.col(doc_id).cast("long").alias("key")).distinct()
+    again = found.groupBy(F.col(doc_id).cast("long").alias("key")).count().filter("count > 1").select("key")
+    touched = checkpoint(gone.unionByName(again).distinct())
+    may_go = F.coalesce(F.col(doc_id).isNotNull() & may_have(touched, F.col(doc_id)), F.lit(False))
+    rest = docs.filter(may_go)
+    key = F.col(doc_id).cast("long") == F.col("key")
+    left = rest.join(gone, key, "left_anti").dropDuplicates([doc_id])
+    return docs.filter(~may_go).unionByName(left)
+
+
 def query(spark, sf_dir):
     """Every document's shingles and the component that its links reach."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, checkpoint, may_have
 
 WINDOW = 16
 #: Of 256 hash values, so many end a chunk after white space.
@@ -144,8 +144,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes
         return pa.array(out, pa.string())
 
     names = docs.columns
-    joined = docs.join(spans, F.col(doc_id).cast("long") == F.col("__key"), "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__spans")))).select(*names)
+    spans = checkpoint(spans)
+    may_cut = F.coalesce(F.col(doc_id).isNotNull() & may_have(spans.select(F.col("__key").alias("key")), F.col(doc_id)), F.lit(False))
+    joined = docs.filter(may_cut).join(spans, F.col(doc_id).cast("long") == F.col("__key"), "left")
+    done = joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__spans")))).select(*names)
+    return docs.filter(~may_cut).unionByName(done)
 
 
 def query(spark, sf_dir):
