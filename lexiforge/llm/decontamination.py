@@ -33,12 +33,15 @@ def words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def beside(w: Column) -> Column:
+    """An array of words as an array of structs (w0, w1, ...): each word and those after it, null beyond the end."""
+    return F.arrays_zip(w.alias("w0"), *[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(1, WORDS)])
+
+
 def shingles(w: Column) -> Column:
     """Hashes of the shingles of an array of words, in order."""
-    return F.when(
-        F.size(w) >= WORDS,
-        F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(WORDS)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    whole = F.slice(beside(w), 1, F.greatest(F.size(w) - (WORDS - 1), F.lit(0)))
+    return F.transform(whole, lambda s: F.xxhash64(*[s[f"w{k}"] for k in range(WORDS)]))
 
 
 def fingerprint(bag: Column) -> Column:
@@ -77,9 +80,7 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def hits_of(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
     """(doc, pos, hash): the shingles of ``docs`` (doc, words) that some item has."""
-    w = F.col("words")
-    rest = [F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(1, WORDS)]
-    rows = docs.select("doc", F.posexplode(F.arrays_zip(w.alias("w0"), *rest)).alias("pos", "s")).filter(F.col(f"s.w{WORDS - 1}").isNotNull())
+    rows = docs.select("doc", F.posexplode(beside(F.col("words"))).alias("pos", "s")).filter(F.col(f"s.w{WORDS - 1}").isNotNull())
     hashed = rows.select("doc", "pos", F.xxhash64(*[F.col(f"s.w{k}") for k in range(WORDS)]).alias("hash"))
     known = items.select(F.explode("bag").alias("hash")).distinct()
     return hashed.join(F.broadcast(known) if small else known, "hash", "left_semi")
@@ -122,12 +123,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         .distinct()
     )
     bags = texts.join(windows.select("doc").distinct(), "doc", "left_semi").select("doc", shingles(words(F.col("text"))).alias("all"))
-    prints = (
+    # Written, so that each fingerprint is made once, not once for each block
+    prints = checkpoint(
         bags.join(windows, "doc")
         .withColumn("own", F.slice("all", F.col("start") + 1, F.col("length")))
         .filter(F.size("own") > 0)
         .select("doc", "length", "start", "own", fingerprint(F.col("own")).alias("own_print"))
-        .withColumn("b", F.explode(blocks(F.col("own_print"))))
+    )
+    prints = (
+        prints.withColumn("b", F.explode(blocks(F.col("own_print"))))
         .select("*", "b.block", "b.value")
         .drop("b")
     )
