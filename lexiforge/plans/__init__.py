@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import retrieving, relating, texts
+
 FLAGSHIP = "source_summary"
+GROUPS = (relating, texts, retrieving)
 
 
 def queries():
-    return {}
+    return {name: run for group in GROUPS for name, (run, _) in group.QUERIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
