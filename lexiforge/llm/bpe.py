@@ -25,9 +25,9 @@ from .common import arrow_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose codes a Python worker keeps; when full, it starts anew.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 300_000
 #: The same for pre-tokens: a chunk in lower case without its punctuation.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 #: Python's split() also cuts at these four, which the vocabulary's white space doesn't include.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")

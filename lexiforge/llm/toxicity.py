@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, fold
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
-MOST_TOXIC, MOST_ORDINARY = 5_000, 10_000
+MOST_TOXIC, MOST_ORDINARY = 3_000, 6_000
 PIECE = 4
 #: A log-likelihood ratio above this is evidence of its own, beside the mean over the text.
 STRONG = 3.0
@@ -82,22 +82,27 @@ class KneserNey:
             p.append(max(self.counts[k].get((a, b), 0) - d, 0) / n + d * self.distinct[k][a] / n * base if n else base)
         return math.log(p[1] / p[0])
 
+    def escape(self, a: str) -> float:
+        """The ratio of every symbol that hasn't come after ``a``: the shared backoff cancels out."""
+        p = [self.discount[k] * self.distinct[k][a] / n if (n := self.total[k].get(a, 0)) else 1.0 for k in (0, 1)]
+        return math.log(p[1] / p[0])
+
 
 @dataclass
 class Model:
-    """Ratios of a word in both readings, and the calibration; ``prior`` where there are not two classes."""
+    """Ratios of words in both readings, and the calibration; ``prior`` where there are not two classes."""
 
-    seen: dict[str, float]  # of whole words, in both classes' sample
+    seen: dict[str, float]  # of whole words, in either class's sample
     unseen: float
-    pieces: dict[tuple[str, str], float]
-    models: KneserNey | None
+    pieces: dict[str, float]  # of a piece after another, joined by a line end
+    escapes: dict[str, float]  # of a piece that hasn't come after another
     prior: float
     weights: np.ndarray | None = None
-    cache: dict = field(default_factory=dict, repr=False)
-    rows: list = field(default_factory=list, repr=False)
+    cache: dict[str, int] = field(default_factory=dict, repr=False)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 7), np.float32), repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "rows": []}
+        return {**self.__dict__, "cache": {}, "table": np.zeros((0, 7), np.float32)}
 
     def chunk(self, chunk: str) -> tuple[float, ...]:
         """Words, then per reading the sum of ratios, the sum of strong ones and the largest."""
@@ -106,41 +111,31 @@ class Model:
             ratios[0].append(self.seen.get(w, self.unseen))
             total = 0.0
             for _, a, b in grams(w)[1:]:
-                if (r := self.pieces.get((a, b))) is None:
-                    r = self.models.ratio(a, b)
-                total += r
+                r = self.pieces.get(f"{a}\n{b}")
+                total += self.escapes.get(a, 0.0) if r is None else r
             ratios[1].append(total)
         return (len(ratios[0]), *(x for r in ratios for x in (sum(r), sum(v for v in r if v > STRONG), max(r, default=0))))
 
     def features(self, text: str) -> list[float]:
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache, self.rows = {}, []
-        cache, at = self.cache, []
+        cache, at, new = self.cache, [], []
+        if len(cache) > CACHED_CHUNKS:
+            cache.clear()
         for c in text.split():
             if (k := cache.get(c)) is None:
-                k = cache[c] = len(self.rows)
-                self.rows.append(self.chunk(c))
+                k = cache[c] = len(cache)
+                new.append(self.chunk(c))
             at.append(k)
-        got = self.table()[at] if at else np.zeros((1, 7), np.float32)
+        if new:
+            first = len(cache) - len(new)
+            if len(cache) > len(self.table):
+                grown = np.zeros((2 * len(cache), 7), np.float32)
+                grown[:first] = self.table[:first]
+                self.table = grown
+            self.table[first : len(cache)] = new
+        got = self.table[at] if at else np.zeros((1, 7), np.float32)
         n, sums, largest = max(1.0, got[:, 0].sum(dtype=float)), got.sum(0, dtype=float), got.max(0)
         return [x for k in (1, 4) for x in (sums[k] / n, sums[k + 1] / math.sqrt(n), float(largest[k + 2]))]
 
-    def table(self) -> np.ndarray:
-        """The chunks' figures as an array, grown by doubling."""
-        have = self.__dict__.setdefault("_filled", 0)
-        if have > len(self.rows):
-            have = 0
-        if have < len(self.rows):
-            old = self.__dict__.get("_table")
-            if old is None or len(old) < len(self.rows):
-                new = np.zeros((2 * len(self.rows), 7), np.float32)
-                if have:
-                    new[:have] = old[:have]
-                self._table = new
-            self._table[have : len(self.rows)] = self.rows[have:]
-            self._filled = len(self.rows)
-        return self._table
-
     def score(self, text: str) -> float:
         if self.weights is None:
             return self.prior
@@ -197,17 +192,19 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="toxic", most_toxic=MO
     schema = "reading string, a string, b string, toxic int, n long"
     counts = rows.filter("not calibration").mapInArrow(count, schema).groupBy("reading", "a", "b", "toxic").agg(F.sum("n").alias("n")).toArrow()
     by = {"n": ({}, {}), "w": ({}, {}), "p": ({}, {})}
-    for reading, a, b, toxic, n in zip(*(counts.column(k).to_pylist() for k in range(5)), strict=True):
-        by[reading][toxic][(a, b)] = n
+    for batch in counts.to_batches(65_536):
+        for reading, a, b, toxic, n in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            by[reading][toxic][(a, b)] = n
+    del counts
     ordinary, toxic = (sum(x.values()) for x in by["n"])
     prior = (toxic + 1) / (ordinary + toxic + 2)
     if not ordinary or not toxic:
-        return Model({}, 0.0, {}, None, prior)
-    whole, pieces = KneserNey(by["w"]), KneserNey(by["p"])
-    unseen = whole.ratio("", "")
+        return Model({}, 0.0, {}, {}, prior)
+    whole, pieces = KneserNey(by.pop("w")), KneserNey(by.pop("p"))
+    unseen = whole.escape("")
     seen = {b: r for a, b in whole.pool if abs((r := whole.ratio(a, b)) - unseen) > 1e-6}
-    # A worker needs the piece model's counts only for pairs that no text of the sample has.
-    model = Model(seen, unseen, {g: pieces.ratio(*g) for g in pieces.pool}, pieces, prior)
+    model = Model(seen, unseen, {f"{a}\n{b}": pieces.ratio(a, b) for a, b in pieces.pool}, {a: pieces.escape(a) for a in pieces.pooled}, prior)
+    del whole, pieces
     shared = spark.sparkContext.broadcast(model)
 
     def look(batches):
@@ -217,8 +214,9 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="toxic", most_toxic=MO
 
     found = rows.filter("calibration").select("text", "toxic").mapInArrow(look, "x array<double>, toxic int").toArrow()
     y = np.array(found.column(1).to_pylist(), float)
+    shared.destroy()
     if len(y) == 0 or y.min() == y.max():
-        return Model({}, 0.0, {}, None, prior)
+        return Model({}, 0.0, {}, {}, prior)
     model.weights = calibrated(np.array(found.column(0).to_pylist()), y)
     return model
 
