@@ -107,7 +107,8 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
     sample = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     lengths, counts = np.unique([len(v) for v in sample.column("v").to_pylist()], return_counts=True)
     width = int(lengths[counts.argmax()]) if len(lengths) else 0
-    x = np.array([v for v in sample.column("v").to_pylist() if len(v) == width], float).reshape(-1, width)
+    fitting = [v for v in sample.column("v").to_pylist() if len(v) == width]
+    x = np.array(fitting, float).reshape(len(fitting), width)
     books = spark.sparkContext.broadcast(fitted(unit(x)) if len(x) else np.zeros((BOOKS, WORDS, width), np.float32))
     data = data.filter(F.size("v") == width)
 

@@ -81,7 +81,7 @@ def passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         for batch in batches:
             out = []
             for key, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(key, *p) for p in runs(sorted((c["start"], c["end"], c["later"]) for c in parts), min_bytes)]
+                out += [(key, *p) for p in runs(sorted({(c["start"], c["end"], c["later"]) for c in parts}), min_bytes)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["key", "start", "end", "kept"])
 
     return repeated.mapInArrow(run, "key long, start int, end int, kept boolean")
@@ -118,13 +118,17 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs``, all rows and columns, with repeated passages cut out of the texts but for their first document.
 
-    Rows with one id count as one document: what they share is no repeat. Rows with a null id or text, and
-    texts without repeats, stay as they are; a text that is a repeat as a whole becomes an empty one.
+    Rows with one id count as one document: what they share is no repeat, and if their texts differ they stay
+    as they are. So do rows with a null id or text, and texts without repeats; a text that is a repeat as a
+    whole becomes an empty one. An empty table gives an empty one.
     """
     arrow_batches(docs.sparkSession)
+    rows = keyed(docs, doc_id, text)
+    several = rows.groupBy("key").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).filter("a <> b").select("key")
     spans = (
-        passages(keyed(docs, doc_id, text), min_bytes)
+        passages(rows, min_bytes)
         .filter("NOT kept")
+        .join(several, "key", "left_anti")
         .groupBy(F.col("key").alias("__key"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     )
@@ -138,8 +142,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes
                 for c in cuts:
                     kept.append(raw[at : c["start"]])
                     at = c["end"]
-                # an id with several texts has the spans of each; a cut must not split a character
-                t = b"".join([*kept, raw[at:]]).decode(errors="ignore")
+                t = b"".join([*kept, raw[at:]]).decode()
             out.append(t)
         return pa.array(out, pa.string())
 

@@ -197,7 +197,8 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="toxic", most_toxic=MO
             by[reading][toxic][(a, b)] = n
     del counts
     ordinary, toxic = (sum(x.values()) for x in by["n"])
-    prior = (toxic + 1) / (ordinary + toxic + 2)
+    # without two classes no row is called toxic
+    prior = min(0.49, toxic / (ordinary + toxic + 2))
     if not ordinary or not toxic:
         return Model({}, 0.0, {}, {}, prior)
     whole, pieces = KneserNey(by.pop("w")), KneserNey(by.pop("p"))
