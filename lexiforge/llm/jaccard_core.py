@@ -29,6 +29,8 @@ GROWTH = 1.3
 SMALL = 100
 #: Subsets of so few elements are likely shared by unrelated sets; the spare segments are meant for them.
 WEAK = 1
+#: Cells of the counts that bound how much two sets differ.
+CELLS = 256
 U64 = np.uint64
 
 
@@ -71,6 +73,24 @@ def set_id(s: np.ndarray) -> int:
     return int(mixed(np.array([mixed(s ^ U64(0xD6E8FEB86659FD93)).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0])
 
 
+def cells(s: np.ndarray) -> bytes:
+    """How many elements of a set fall into each cell, 255 at most."""
+    return np.minimum(np.bincount((s >> U64(8)).astype(np.int64) & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def plausible(sizes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may pair with another one here: two sets differ at least as much as their cells' counts do."""
+    k = len(sizes)
+    found = np.zeros(k, bool)
+    counts = counts.astype(np.int16)
+    for i in range(k - 1):
+        least = np.abs(counts[i + 1 :] - counts[i]).sum(1, dtype=np.int64)
+        near = (100 + percent) * least <= (100 - percent) * (sizes[i + 1 :] + sizes[i])
+        found[i] |= near.any()
+        found[i + 1 :] |= near
+    return found
+
+
 @lru_cache(None)
 def band_of(size: int) -> int:
     return next(b for b in range(10_000) if size < math.ceil(GROWTH ** (b + 1)))

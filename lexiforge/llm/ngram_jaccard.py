@@ -3,8 +3,9 @@
 One pass over the texts makes each document's shingle set and its segment signatures (``jaccard_core``),
 which a shuffle brings together. Of the documents with a signature the one with the smallest id is the
 centre, and all of them join the centre's group, once however many signatures they share with it; two
-documents with a common signature thus meet in a group. Only for documents in groups texts are read
-again. A group is split into blocks of bounded size, in which sets are compared exactly; documents that a
+documents with a common signature thus meet in a group. There the counts of their sets' elements in 256
+cells tell which may reach the similarity at all, and only those documents' texts are read again. A group
+is split into blocks of bounded size, in which sets are compared exactly; documents that a
 block doesn't link with the group's main component are then compared with the group's other blocks. Pairs
 are not emitted, only a spanning tree of the links that are found.
 """
@@ -31,12 +32,12 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(bucket, kind, key, extra): signatures; sets (bucket: the set's number, extra: its size); copies of a set that its task has seen (extra: that key)."""
+    """(bucket, kind, key, extra, cells): signatures; sets (bucket: the set's number, extra: its size); copies of a set that its task has seen (extra: that key)."""
 
     def run(batches):
         known, seen = core.WordHashes(), {}
         for batch in batches:
-            buckets, kinds, keys, extras = [], [], [], []
+            buckets, kinds, keys, extras, counts = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = core.shingles(text, words, known)
                 number = core.set_id(s) if len(s) else None
@@ -54,18 +55,20 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     kinds.append(np.zeros(len(more), np.int8))
                     keys.append(np.full(len(more), key, np.int64))
                     extras.append(np.zeros(len(more), np.int64))
+                    counts += [None] * len(more)
                 buckets.append(found)
                 kinds.append(np.full(1, kind, np.int8))
                 keys.append(np.full(1, key, np.int64))
                 extras.append(np.full(1, extra, np.int64))
+                counts.append(core.cells(s) if kind == FIRST else None)
             if buckets:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(buckets)), *(pa.array(np.concatenate(x)) for x in (kinds, keys, extras))], names=["bucket", "kind", "key", "extra"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(buckets)), *(pa.array(np.concatenate(x)) for x in (kinds, keys, extras)), pa.array(counts, pa.binary())], names=["bucket", "kind", "key", "extra", "cells"])
 
-    return docs.mapInArrow(run, "bucket long, kind byte, key long, extra long")
+    return docs.mapInArrow(run, "bucket long, kind byte, key long, extra long, cells binary")
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """(kind, key, other, size) by bucket: members of a centre's group, equal sets with their centre, copies."""
+    """(kind, key, other, size, cells) by bucket: members of a centre's group, equal sets with their centre, copies."""
 
     def run(batches):
         last = None  # bucket, kind, centre, and whether the centre has been put out
@@ -94,15 +97,28 @@ def gathered(rows: DataFrame) -> DataFrame:
             kinds, keys = kind[out], key[out]
             others = np.where(kind == COPY, extra, centre)[out]
             sizes = np.where(kind == FIRST, extra, 0)[out]
+            counts = batch.column(4).filter(pa.array(out))
             if late:
                 kinds, keys, others, sizes = (np.append(x, v) for x, v in ((kinds, np.int8(SIGNATURE)), (keys, last[2]), (others, last[2]), (sizes, 0)))
+                counts = pa.concat_arrays([counts, pa.nulls(1, pa.binary())])
             tail = groups == groups[-1]
             done = bool(member[tail].any()) or (goes_on and groups[-1] == 0 and last[3])
             last = (bucket[-1], kind[-1], centre[-1], done)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(others), pa.array(sizes)], names=["kind", "key", "other", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(others), pa.array(sizes), counts], names=["kind", "key", "other", "size", "cells"])
 
     shuffled = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "key")
-    return shuffled.mapInArrow(run, "kind byte, key long, other long, size long")
+    return shuffled.mapInArrow(run, "kind byte, key long, other long, size long, cells binary")
+
+
+def possible(groups: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``groups`` (centre, key) that may have a link within the group, by the cells of ``counted`` (key, size, cells)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw = b"".join(table.column("cells").to_pylist())
+        counts = np.frombuffer(raw, np.uint8).reshape(-1, core.CELLS)
+        return table.select(["centre", "key"]).filter(pa.array(core.plausible(table.column("size").to_numpy(), counts, percent)))
+
+    return groups.select("centre", "key").join(counted, "key").groupBy("centre").applyInArrow(run, "centre long, key long").distinct()
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -157,16 +173,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
     groups = found.filter(F.col("kind") == SIGNATURE).select(F.col("other").alias("centre"), "key").distinct()
     blocks = groups.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    groups = checkpoint(groups.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
-    sets = sets_of(texts_of(keyed, groups), words)
+    groups = groups.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    narrow = possible(groups.filter("blocks = 1"), found.filter(F.col("kind") == FIRST).select("key", "size", "cells"), percent)
+    groups = checkpoint(narrow.select("centre", "key", F.lit(1).alias("blocks"), F.lit(0).alias("block")).unionByName(groups.filter("blocks > 1")))
     wide = groups.filter("blocks > 1")
     is_wide = not wide.isEmpty()
-    if is_wide:
-        sets = checkpoint(sets)
-    members = groups.join(sets, "key").withColumn("component", F.col("key")).withColumn("probe", F.lit(0))
+    members = groups.join(sets_of(texts_of(keyed, groups), words), "key").withColumn("component", F.col("key")).withColumn("probe", F.lit(0))
     links = checkpoint(compared(members, percent).unionByName(equal))
     labels = components(links)
     if is_wide:
+        sets = checkpoint(sets_of(texts_of(keyed, wide), words))
         links = links.unionByName(across_blocks(wide, sets, labels, percent))
         labels = components(links)
     with_labels = sizes.join(labels.withColumnRenamed("id", "key"), "key", "left")
@@ -207,8 +223,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     touched = checkpoint(gone.unionByName(again).distinct())
     may_go = F.coalesce(F.col(doc_id).isNotNull() & may_have(touched, F.col(doc_id)), F.lit(False))
     rest = docs.filter(may_go)
-    key = F.col(doc_id).cast("long") == F.col("key")
-    left = rest.join(gone, key, "left_anti").dropDuplicates([doc_id])
+    left = rest.join(gone.withColumnRenamed("key", "__key"), F.col(doc_id).cast("long") == F.col("__key"), "left_anti").dropDuplicates([doc_id])
     return docs.filter(~may_go).unionByName(left)
 
 
