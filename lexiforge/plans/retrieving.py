@@ -149,3 +149,22 @@ QUERIES = {
         f"WITH {ARMS} SELECT item_id, count(*) FILTER (r1 > fused_rank) AS improved, count(*) FILTER (r1 = fused_rank) AS unchanged, count(*) FILTER (r1 < fused_rank) AS regressed FROM f WHERE r1 IS NOT NULL GROUP BY item_id",
     ),
 }
+
+
+def budgeted_contexts(spark, d):
+    """Of each item's candidates at most six within 1,800 tokens, skipping those that don't fit."""
+    from ..operators import contexts
+
+    docs = read(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    rows = sparse(spark, d).select("item_id", "rank", "doc_id").join(docs, "doc_id")
+    chosen = contexts.budgeted(rows, "item_id", ["rank"], "tokens", 6, 1800)
+    return chosen.select("item_id", "doc_id", F.col("place").cast("long").alias("place"), F.col("tokens").cast("long").alias("tokens"))
+
+
+QUERIES["budgeted_contexts"] = (
+    budgeted_contexts,
+    f"""WITH RECURSIVE {SPARSE}, c AS (SELECT item_id, rank, doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{Z}}\\x09-\\x0D\\p{{L}}\\p{{N}}_]')) AS n FROM a JOIN documents USING (doc_id)),
+    f AS (SELECT item_id, 0 AS rank, 0::BIGINT AS used, 0 AS taken, NULL::BIGINT AS doc_id, 0::BIGINT AS n, false AS kept FROM benchmark
+      UNION ALL SELECT f.item_id, c.rank, CASE WHEN f.used + c.n <= 1800 AND f.taken < 6 THEN f.used + c.n ELSE f.used END, CASE WHEN f.used + c.n <= 1800 AND f.taken < 6 THEN f.taken + 1 ELSE f.taken END, c.doc_id, c.n, f.used + c.n <= 1800 AND f.taken < 6 FROM f JOIN c ON c.item_id = f.item_id AND c.rank = f.rank + 1)
+    SELECT item_id, doc_id, taken - 1 AS place, n AS tokens FROM f WHERE kept""",
+)

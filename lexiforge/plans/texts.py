@@ -250,3 +250,46 @@ QUERIES = {
         r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1), '\.[A-Za-z0-9]+$', ''), '[_ ]+', ' ', 'g')), ''), 'document') AS title FROM pages""",
     ),
 }
+
+
+def exercise_scores(spark, d):
+    from ..operators import exercises
+
+    found = exercises.detected(docs(spark, d))
+    return found.select("doc_id", "score", "confidence", "is_exercise", exercises.type_of(F.col("text")).alias("kind"))
+
+
+def near_turns_by_terms(spark, d):
+    """Pairs of turns of one role whose beginnings share most terms."""
+    from ..operators import exercises
+
+    turns = read(spark, d, "conversations").withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return exercises.near_copies(turns, "id", "text", within="role")
+
+
+def _exercise_sql() -> str:
+    from ..operators import exercises as X
+
+    low, q = "lower(text)", lambda p: "'" + p.replace("'", "''") + "'"
+    n = lambda p, c=low: f"len(regexp_extract_all({c}, {q(p)}))"
+    tests = {
+        "heading": f"regexp_matches({low}, {q(rf'(?m)^\s*(?:{X.HEADINGS})\s*(?:n°\s*)?\d*\s*[:.\-–]\s*\S')})",
+        "imperative": f"regexp_matches({low}, {q(rf'(?m)(?:^|[.:\n]\s*)(?:{X.IMPERATIVES})(?:[^\p{{L}}]|$)')})",
+        "question": "regexp_matches(text, '[?؟]')",
+        "numbered": n(r"(?m)^\s*\d{1,2}[.)]\s+\S") + " >= 2",
+        "choices": n(X.TYPES["qcm"]) + " >= 2",
+        "blanks": f"regexp_matches(text, {q(X.TYPES['fill_blank'])})",
+        "long_prose": n(r"[\p{L}\p{N}]+", "text") + " > 150 AND " + n(r"[\p{L}\p{N}]+", "text") + "::DOUBLE / greatest(" + n(r"[.!?؟]", "text") + ", 1) > 18",
+    }
+    score = " + ".join(f"CASE WHEN {t} THEN {X.WEIGHTS[k]}::DOUBLE ELSE 0 END" for k, t in tests.items())
+    kind = "CASE " + " ".join(f"WHEN regexp_matches({low}, {q(p)}) THEN '{k}'" for k, p in X.TYPES.items()) + " ELSE 'open' END"
+    return f"SELECT doc_id, s AS score, round(1 / (1 + exp(2.0::DOUBLE - s)), 2) AS confidence, s >= 2 AS is_exercise, kind FROM (SELECT doc_id, {score} AS s, {kind} AS kind FROM documents)"
+
+
+QUERIES["exercise_scores"] = (exercise_scores, _exercise_sql())
+QUERIES["near_turns_by_terms"] = (
+    near_turns_by_terms,
+    f"""WITH s AS (SELECT conv_id || ':' || turn AS id, role, list_distinct(list_filter({TERMS_SQL.replace('text', 'substr(text, 1, 180)')}, lambda t: length(t) >= 2)) AS t FROM conversations),
+    e AS (SELECT id, role, unnest(t) AS term, len(t) AS n FROM s)
+    SELECT a.id AS a, b.id AS b, round(2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) AS dice FROM e a JOIN e b ON a.role = b.role AND a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING round(2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) >= 0.78""",
+)

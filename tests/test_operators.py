@@ -82,3 +82,75 @@ def test_tables(spark):
     assert {(r.k, r.state) for r in tables.compare(t, c, "k").collect()} == {(1, "left_only"), (2, "both"), (3, "right_only")}
     got = tables.first_of_key(spark.createDataFrame([Row(i=1, x="a"), Row(i=2, x="a"), Row(i=3, x=""), Row(i=4, x="")]), F.col("x"), ["i"])
     assert sorted(r.i for r in got.collect()) == [1, 3, 4]
+
+
+def test_exercises(spark):
+    from lexiforge.operators import exercises as X
+
+    rows = [
+        ("Exercice 1 : Complète les phrases.\n1. Je ____ à l'école.\n2. Tu ____ content.", True, "fill_blank"),
+        ("exercice exercice exercice", False, "open"),
+        ("تمرين 4\n4", False, "open"),
+        ("Choisis la bonne réponse ?\na) chat\nb) chien\nc) oiseau", True, "qcm"),
+        ("Réponds par vrai ou faux.\n1. Le ciel est bleu.\n2. La mer est rouge.", True, "true_false"),
+        (None, False, "open"),
+    ]
+    table = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "i int, text string")
+    got = X.detected(table).withColumn("kind", X.type_of(F.col("text"))).orderBy("i").collect()
+    assert [(r.is_exercise, r.kind) for r in got] == [(e, k) for _, e, k in rows]
+
+
+def test_near_copies_equal_brute_force(spark):
+    import random
+
+    from lexiforge.operators import exercises as X
+
+    r = random.Random(1)
+    texts = []
+    for _ in range(25):
+        w = [f"m{r.randrange(60)}" for _ in range(r.randrange(2, 25))]
+        texts += [" ".join(w), " ".join(w[: len(w) - r.randrange(4)] + ["new"] * r.randrange(2))]
+    got = {(p.a, p.b) for p in X.near_copies(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "i", "text").collect()}
+    sets = [set(t[:180].split()) for t in texts]
+    sets = [{w for w in s if len(w) >= 2} for s in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and round(2 * len(sets[i] & sets[j]) / (len(sets[i]) + len(sets[j])), 6) >= 0.78}
+    assert got == want
+
+
+def test_descriptors(spark):
+    from lexiforge.operators import descriptors as D
+
+    texts = [
+        (1, "C2, Scale X = Can understand everything heard. C1, Scale X = Can follow long speech well. B2, Scale Y = Can follow lectures ."),
+        (2, "A1, 1 = Can say who they are"),
+        (3, "A1, traitement = Can say who they are"),
+        (4, "C2, Scale X = Pas de descripteur disponible, voir C1."),
+        (5, "A1 | Peut répondre brièvement."),
+        (6, None),
+        (7, "C1, Scale  x = Can follow  long speech well."),
+    ]
+    records = D.parsed(spark.createDataFrame(texts, "chunk_id int, text string")).cache()
+    got = [(r.chunk_id, r.level, r.scale, r.status, r.reference_level, r.reason) for r in records.orderBy("chunk_id", "place").collect()]
+    assert [g[1] for g in got[:3]] == ["C2", "C1", "B2"] and all(g[3] == "AVAILABLE" for g in got[:3])
+    assert got[3][5] == "NUMERIC_OR_PUNCTUATION_SCALE" and got[4][5] == "INCOMPLETE_SCALE_FRAGMENT"
+    assert got[5][3:5] == ("NO_DESCRIPTOR_AVAILABLE", "C1") and len(got) == 7
+    made = D.star(records)
+    assert {r.scale_key for r in made["scales"].collect()} == {"scale x", "scale y"}
+    assert made["descriptors"].count() == 4 and made["sources"].count() == 5
+
+
+def test_contexts(spark):
+    from lexiforge.operators import contexts as C
+
+    schema = "q int, rank int, doc int, i int, head string, text string, n int"
+    rows = [(1, 1, 7, 0, "h", "Same  text", 5), (1, 2, 7, 1, "h", "same text", 5), (1, 3, 7, 2, "h", "b", 90), (1, 4, 7, 3, "h", "c", 3), (1, 5, 8, 0, None, "d", 2), (1, 6, 8, 1, None, "e", 1), (2, 1, 9, 0, "h", "same text", 4)]
+    table = spark.createDataFrame(rows, schema)
+    first = C.first_texts(table, "q", ["rank"], "text")
+    chosen = C.budgeted(first, "q", ["rank"], "n", 3, 12).cache()
+    assert sorted((r.q, r.rank, r.place) for r in chosen.collect()) == [(1, 1, 0), (1, 4, 1), (1, 5, 2), (2, 1, 0)]
+    merged = C.blocks(chosen, "q", "doc", "head", "place", "text").collect()
+    assert sorted((r.q, r.doc, r.content) for r in merged) == [(1, 7, "Same  text\n\nc"), (1, 8, "d"), (2, 9, "same text")]
+    near = C.neighbours(table.filter("rank = 2 and q = 1"), table.select("doc", "i", "head", "text"), "doc", "i", "head").collect()
+    assert [r.neighbour.text for r in near] == ["Same  text"]
+    reasons = table.select(C.usable(F.col("text"), F.lit(None).cast("string")).alias("r")).distinct().collect()
+    assert {r.r for r in reasons} == {None, "low_information"}
