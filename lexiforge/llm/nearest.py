@@ -151,8 +151,13 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_score))], names=["query_id", "vec_id", "score"])
 
     index = data.dropDuplicates(["id"]).mapInArrow(blocks, "ids binary, v binary, codes binary, norms binary")
-    # A block of vectors meets each block of queries: a stated query set against all rows, in blocks
-    met = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked_blocks, "q").select("ids", "v", "codes", "norms", "asked")
+    # A block of vectors meets each block of queries: a stated query set against all rows, in blocks. Copies of
+    # the blocks of queries go to all partitions, so that the vectors are spread over them.
+    copies = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copy = F.pmod(F.xxhash64("ids"), F.lit(copies)).cast("int")
+    spread = index.withColumn("copy", copy).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    everywhere = asked_blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    met = spread.join(everywhere, ["q", "copy"]).select("ids", "v", "codes", "norms", "asked")
     found = met.mapInArrow(nearest_in, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -213,6 +213,7 @@ def test_articles(spark):
         page("<ul><li>a<li>b</ul><div class='ad'>buy</div><table><tr><td>c<td>d</table>"): "Head & line a b c d",
         page("<!-- <p>no</p> --><p title='a>b'>x</p><div style='display:none'>no</div>"): "Head & line x",
         page("<p>un<i>closed").replace("</article>", ""): None,
+        "<div class='layout has-sidebar'><main><p>in</p></main><div class='left sidebar-box'>out</div></div>": "in",
         "just text": "just text",
         "": "",
     }
