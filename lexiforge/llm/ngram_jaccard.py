@@ -167,7 +167,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     named = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
     keyed = named.filter("key IS NOT NULL")
     found = checkpoint(gathered(signature_rows(keyed, words, percent)))
-    equal = found.filter(F.col("kind").isin(FIRST, COPY)).select(F.col("key").alias("a"), F.col("other").alias("b"))
+    equal = found.filter(F.col("kind").isin(FIRST, COPY)).select(F.col("key").alias("a"), F.col("other").alias("b")).filter("a <> b")
     sizes = found.filter(F.col("kind") == FIRST).select("key", "size")
     sizes = sizes.unionByName(found.filter(F.col("kind") == COPY).select("key", F.col("other").alias("at")).join(sizes.withColumnRenamed("key", "at").distinct(), "at").select("key", "size"))
 
