@@ -293,3 +293,63 @@ QUERIES["near_turns_by_terms"] = (
     e AS (SELECT id, role, unnest(t) AS term, len(t) AS n FROM s)
     SELECT a.id AS a, b.id AS b, round(2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) AS dice FROM e a JOIN e b ON a.role = b.role AND a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING round(2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) >= 0.78""",
 )
+
+
+def preflight_rollup(spark, d):
+    """Of each source's documents how many are good, borderline and bad, and how to read the source."""
+    letters = F.regexp_count(F.col("text"), F.lit(r"\p{L}")) / F.greatest(F.char_length("text"), F.lit(1))
+    grade = F.when(letters >= 0.75, "good").when(letters >= 0.6, "borderline").otherwise("bad")
+    rows = docs(spark, d).withColumn("grade", grade)
+    n, bad = F.count("*"), F.count_if(F.col("grade") == "bad")
+    ratio = bad / n
+    return rows.groupBy("source").agg(
+        n.alias("pages"),
+        F.count_if(F.col("grade") == "good").alias("good"),
+        F.count_if(F.col("grade") == "borderline").alias("borderline"),
+        bad.alias("bad"),
+        F.when(ratio <= 0.02, "native_only").when(ratio >= 0.6, "ocr_heavy").otherwise("mixed").alias("strategy"),
+        F.when((n >= 150) | (ratio >= 0.6), "high").when((n >= 40) | (ratio > 0.02), "medium").otherwise("low").alias("complexity"),
+    )
+
+
+def conversation_titles(spark, d):
+    """A title of at most 80 characters from each conversation's first turn of a user."""
+    users = read(spark, d, "conversations").filter("role = 'user'")
+    first = users.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    return first.select("conv_id", T.preview(F.col("text"), 80).alias("title"))
+
+
+def asked_numbers(spark, d):
+    """The last number that a user named in a conversation, and in which turn."""
+    found = F.regexp_extract("text", r"(?:^|[^\p{L}\p{N}.@])(\d{1,3})(?:$|[^\p{L}\p{N}.@])", 1)
+    rows = read(spark, d, "conversations").filter("role = 'user'").withColumn("x", F.nullif(found, F.lit(""))).filter("x IS NOT NULL")
+    return rows.groupBy("conv_id").agg(F.max_by("x", "turn").alias("number"), F.max("turn").alias("turn"))
+
+
+def posting_coverage(spark, d):
+    """Of each language's documents those with postings, with a vector, and with both."""
+    has_terms = F.regexp(F.col("text"), F.lit(r"[\p{L}\p{N}]"))
+    rows = docs(spark, d).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("v")), "doc_id", "left")
+    v = F.coalesce(F.col("v"), F.lit(False))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(has_terms).alias("sparse"), F.count_if(v).alias("dense"), F.count_if(has_terms & v).alias("both"))
+
+
+QUERIES["preflight_rollup"] = (
+    preflight_rollup,
+    r"""SELECT source, count(*) AS pages, count(*) FILTER (x >= 0.75) AS good, count(*) FILTER (x >= 0.6 AND x < 0.75) AS borderline, count(*) FILTER (x < 0.6) AS bad,
+    CASE WHEN count(*) FILTER (x < 0.6) / count(*) <= 0.02 THEN 'native_only' WHEN count(*) FILTER (x < 0.6) / count(*) >= 0.6 THEN 'ocr_heavy' ELSE 'mixed' END AS strategy,
+    CASE WHEN count(*) >= 150 OR count(*) FILTER (x < 0.6) / count(*) >= 0.6 THEN 'high' WHEN count(*) >= 40 OR count(*) FILTER (x < 0.6) / count(*) > 0.02 THEN 'medium' ELSE 'low' END AS complexity
+    FROM (SELECT source, len(regexp_extract_all(text, '\p{L}'))::DOUBLE / greatest(length(text), 1) AS x FROM documents) GROUP BY source""",
+)
+QUERIES["conversation_titles"] = (
+    conversation_titles,
+    rf"SELECT conv_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(t[1:79]) || '…' END AS title FROM (SELECT conv_id, trim(regexp_replace(arg_min(text, turn), '{WS}', ' ', 'g')) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)",
+)
+QUERIES["asked_numbers"] = (
+    asked_numbers,
+    r"SELECT conv_id, arg_max(x, turn) AS number, max(turn) AS turn FROM (SELECT conv_id, turn, nullif(regexp_extract(text, '(?:^|[^\p{L}\p{N}.@])(\d{1,3})(?:$|[^\p{L}\p{N}.@])', 1), '') AS x FROM conversations WHERE role = 'user') WHERE x IS NOT NULL GROUP BY conv_id",
+)
+QUERIES["posting_coverage"] = (
+    posting_coverage,
+    r"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS sparse, count(vec_id) AS dense, count(vec_id) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS both FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY lang",
+)
