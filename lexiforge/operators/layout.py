@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def canonical(left: Column, top: Column, right: Column, bottom: Column, from_bottom: Column, height: Column) -> Column:
     """A box with its origin at the top left and sides in order, with its area."""
@@ -53,3 +55,16 @@ def sections(rows: DataFrame, page: str, place: str, label: str, text: str) -> D
     start = F.col(label).isin("section_header", "title") | F.regexp(F.col(text), F.lit(r"^\s*\d{1,2}[.)]\s"))
     w = Window.partitionBy(page).orderBy(place)
     return rows.withColumn("section", F.sum(F.when(start, 1).otherwise(0)).over(w))
+
+
+def associated(images: DataFrame, chunks: DataFrame, page: str = "page", least: int = 2) -> DataFrame:
+    """(image_id, chunk_id): each image's only chunk of its page with ``least`` common terms, else the page's only chunk.
+
+    ``images`` has image_id, page and nearby_text, ``chunks`` chunk_id, page and text. Terms are exploded, so
+    that images and chunks meet by page and term.
+    """
+    words = lambda rows, key, body: rows.select(key, page, F.explode(F.array_distinct(F.filter(T.terms(F.col(body)), lambda t: F.char_length(t) >= 2))).alias("term"))
+    shared = words(images, "image_id", "nearby_text").join(words(chunks, "chunk_id", "text"), [page, "term"]).groupBy("image_id", "chunk_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    matched = shared.groupBy("image_id").agg(F.when(F.count("*") == 1, F.min("chunk_id")).alias("matched"))
+    alone = chunks.groupBy(page).agg(F.when(F.count("*") == 1, F.min("chunk_id")).alias("alone"))
+    return images.join(matched, "image_id", "left").join(alone, page, "left").select("image_id", F.coalesce("matched", "alone").alias("chunk_id"))

@@ -54,3 +54,10 @@ def test_references_and_plans(spark):
     assert got == {1: [], 2: ["duration_mismatch", "empty_step", "repeated_phase", "no_materials"], 3: ["no_steps"]}
     parts = spark.createDataFrame([(1, "s1", "x"), (1, "s2", "x"), (1, "s2", "y")], "id int, s string, g string")
     assert [(r.g, r.sections) for r in checks.repeated_across(parts, "id", "s", "g").collect()] == [("x", 2)]
+
+
+def test_images_belong_to_their_only_match(spark):
+    images = spark.createDataFrame([(1, 1, "the red house"), (2, 1, "nothing alike"), (3, 2, "x"), (4, 1, "a red barn door")], "image_id int, page int, nearby_text string")
+    chunks = spark.createDataFrame([(10, 1, "A red house stands"), (11, 1, "a red door, a barn"), (12, 2, "only one")], "chunk_id int, page int, text string")
+    got = {r.image_id: r.chunk_id for r in layout.associated(images, chunks).collect()}
+    assert got == {1: 10, 2: None, 3: 12, 4: 11}
