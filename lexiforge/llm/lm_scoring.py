@@ -1,18 +1,17 @@
 """Operator 10: language-model scores by prediction by partial matching.
 
-A word is predicted first as a whole, after the longest context of all: a word that the corpus has shown
-c times in N tokens has (2c - 1) / 2N (method D: half an occurrence of each distinct symbol goes to the
-escape). The escape leads to a trie of byte contexts, of up to ORDER bytes since the blank before the word.
-There a byte is predicted from the longest context shown; one that hasn't shown it escapes to the next
-shorter one, where the symbols already ruled out are excluded, down to a uniform guess. By update exclusion
-a distinct word counts once in the trie, which thus learns what new words look like. Words end by a blank
-and texts by an end symbol, so that a text's code length is the sum over its words and its end: each
-distinct word is coded once, however often it occurs.
-
-Counts cover the whole training corpus. Words above a share 1/HEAVY of all tokens, at most HEAVY of them,
-reach the documents by broadcast; all others, none of which is frequent, by a shuffle on the word's hash.
-Trie entries above a share 1/ENTRIES of all its bytes are kept, so at most ENTRIES per context length;
-rarer ones are reached by escapes.
+A text is coded byte by byte: its words, lower-cased and joined by blanks, then an end symbol. A byte is
+predicted from the ORDER bytes before it, which run over blanks into the words before; a text starts after
+end symbols. The longest context that the training texts have shown gives a symbol that it has shown c times
+in n the share (2c - 1) / 2n (method D: half an occurrence of each distinct symbol goes to the escape); for
+any other it escapes to the next shorter context, where the symbols already ruled out are excluded, down to
+a uniform guess. ``Trie`` states this law for one machine; ``log10s`` gives the same numbers for a table.
+
+Counts cover the whole training corpus and none are dropped: each distinct gram (ORDER bytes and the one
+after them) is a row, with its count in training texts, and is scored once, among all grams that share the
+last two bytes of the context. Shorter contexts than that have 65,536 entries at most. Words above a share
+1/HEAVY of all tokens and grams above a share 1/SENT of all bytes, at most HEAVY and SENT of them, reach the
+documents by broadcast; all others, none of which is frequent, by a shuffle.
 """
 
 from __future__ import annotations
@@ -31,10 +30,16 @@ from .common import arrow_batches, checkpoint, fold
 FOLDS, HELD_OUT = 7, 2
 ORDER = 5
 HEAVY = 1_000_000
-ENTRIES = 5_000_000
-#: Distinct words or trie entries that a task gathers before it hands them on.
+#: Grams above a share 1/SENT of all coded bytes reach the documents by broadcast: 16 bytes each.
+SENT = 8_000_000
+#: Distinct words that a task gathers before it hands them on.
 GATHERED = 400_000
+#: Bytes whose grams are gathered at once, and grams that are scored at once (a two-byte context with more is whole).
+CODED = 4_000_000
+LOT = 500_000
 START = b" "
+#: The end of a text; words have no such byte. As many as a context has come before a text.
+END = b"\n"
 SYMBOLS = 256
 
 
@@ -114,31 +119,126 @@ def counted(docs: DataFrame, training: Column, text: str) -> DataFrame:
     return docs.select(training.alias("learns"), F.col(text)).mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def trie_entries(counts: DataFrame) -> DataFrame:
-    """(context, symbol, n) over all context lengths, of the distinct training words."""
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each coded byte: its gram (ORDER bytes before it and itself, as a number) and the place of its text."""
+    bodies = [b" ".join(words(t)) + END for t in texts]
+    data = np.frombuffer(b"".join(END * ORDER + b for b in bodies), np.uint8).astype(np.int64)
+    key = np.zeros(max(0, len(data) - ORDER), np.int64)
+    for k in range(ORDER + 1):
+        key = key << 8 | data[k : k + len(key)]
+    text = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
+    return key[np.arange(len(text)) + text * ORDER], text
+
+
+def slices(texts: list[str | None]):
+    """(from, to) of runs of texts of about CODED bytes, or of one longer text."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t or "") > CODED:
+            yield begin, k
+            begin, size = k, 0
+        size += len(t or "") + 1
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def counted_grams(docs: DataFrame, training: Column, text: str) -> DataFrame:
+    """(gram, c, n): each distinct gram's occurrences in training rows and in all rows."""
 
     def run(batches):
-        found: dict[bytes, int] = defaultdict(int)
+        held: tuple[list, list] = ([], [])
+        size = 0
 
         def rows():
-            every: dict[bytes, int] = defaultdict(int)
-            for key, n in found.items():
-                for k in range(len(key)):
-                    every[key[k:]] += n
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[:-1] for k in every], pa.binary()), pa.array([k[-1:] for k in every], pa.binary()), pa.array(list(every.values()), pa.int64())], names=["context", "symbol", "n"])
+            for learns, parts in enumerate(held):
+                if parts:
+                    keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                    parts.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n * learns), pa.array(n)], names=["gram", "c", "n"])
 
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                coded = START + word + START
-                for i in range(1, len(coded)):
-                    found[coded[max(0, i - ORDER) : i + 1]] += 1
-            if len(found) > GATHERED:
-                yield rows()
-        yield rows()
+            learns, texts = np.array(batch.column(0).to_pylist(), bool), batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                key, at = grams(texts[a:b])
+                mine = learns[a:b][at]
+                held[1].append(key[mine])
+                held[0].append(key[~mine])
+                size += len(key)
+                if size > CODED:
+                    yield from rows()
+                    size = 0
+        yield from rows()
+
+    return docs.select(training.alias("learns"), F.col(text)).mapInArrow(run, "gram long, c long, n long").groupBy("gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def log10s(gram: np.ndarray, c: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after the others.
+
+    ``gram`` (distinct) has all grams of its two-byte contexts, ``c`` their counts in training texts;
+    ``short`` has the counts of all pairs of bytes. A symbol that a context has shown, its shorter ones
+    have shown too, so that the symbols ruled out are those of the next longer context.
+    """
+    p, searching, longer = np.zeros(len(gram)), np.ones(len(gram), bool), None
+    for k in range(ORDER, -1, -1):
+        entry = gram & ((1 << 8 * (k + 1)) - 1)
+        if k > 1:
+            entries, at = np.unique(entry, return_inverse=True)
+            found = np.bincount(at, c, len(entries))
+        else:
+            found = short if k else short.reshape(-1, 256).sum(0)
+            entries, at = np.arange(len(found)), entry
+        context = np.r_[0, np.cumsum(np.diff(entries >> 8) > 0)] if len(entries) else entries
+        n, d = np.bincount(context, found), np.bincount(context, found > 0)
+        mine = context[at]
+        n, d, seen = n[mine], d[mine], found[at]
+        if longer is not None:
+            entries_, found_, context_, at_ = longer
+            here = found[np.searchsorted(entries, entries_ & ((1 << 8 * (k + 1)) - 1))]
+            place = context_[at_]
+            n -= np.bincount(context_, here * (found_ > 0))[place]
+            d -= np.bincount(context_, found_ > 0)[place]
+        longer = entries, found, context, at
+        hit, escapes = searching & (seen > 0), searching & (seen <= 0) & (d > 0)
+        p[hit] += np.log10((2 * seen[hit] - 1) / (2 * n[hit]))
+        p[escapes] += np.log10(d[escapes] / (2 * n[escapes]))
+        searching &= ~hit
+    p[searching] -= math.log10(max(1, SYMBOLS - np.count_nonzero(short.reshape(-1, 256).sum(0))))
+    return p
+
+
+def scored_grams(counts: DataFrame) -> DataFrame:
+    """(gram, n, p): of each counted gram the log10 of its last byte's probability."""
+    pairs = counts.filter("c > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("c").alias("c")).toArrow()
+    table = np.zeros(1 << 16)
+    table[pairs.column("pair").to_numpy()] = pairs.column("c").to_numpy()
+    short = counts.sparkSession.sparkContext.broadcast(table)
 
-    schema = "context binary, symbol binary, n long"
-    return counts.filter("c > 0").select("word").mapInArrow(run, schema).groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    def run(batches):
+        held, size, goal = [], 0, LOT
+
+        def rows(part):
+            return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[2]), pa.array(log10s(part[0], part[1], short.value))], names=["gram", "n", "p"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(3)]))
+            size += batch.num_rows
+            if size > goal:
+                every = np.concatenate(held, 1)
+                # rows are sorted by the last two bytes of the context; the last such context may go on
+                end = every[0] >> 8 & 0xFFFF
+                whole = int(np.searchsorted(end, end[-1], "left"))
+                if whole:
+                    yield rows(every[:, :whole])
+                held = [every[:, whole:]]
+                size -= whole
+                goal = max(LOT, 2 * size)
+        if held:
+            yield rows(np.concatenate(held, 1))
+
+    end = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    parts = max(1, -(-counts.count() // LOT))
+    return counts.withColumn("end", end).repartition(parts, "end").sortWithinPartitions("end").select("gram", "c", "n").mapInArrow(run, "gram long, n long, p double")
 
 
 def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,29 +255,18 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     learnt, distinct, all_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tokens, kinds = learnt + texts, distinct + bool(texts)
 
-    coded_bytes = counts.filter("c > 0").agg(F.coalesce(F.sum(F.length("word") + 1), F.lit(0))).first()[0]
-    # At most ENTRIES for each of the ORDER + 1 context lengths
-    kept = trie_entries(counts).filter(F.col("n") >= coded_bytes / ENTRIES).toArrow()
-    entries = spark.sparkContext.broadcast([kept.column(k).to_pylist() for k in range(3)])
-    built: dict[int, Trie] = {}
-
-    def trie() -> Trie:
-        return built.get(0) or built.setdefault(0, Trie(zip(*entries.value, strict=True)))
+    gram_counts = checkpoint(counted_grams(docs, training, text))
+    all_grams = gram_counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_gram = checkpoint(scored_grams(gram_counts))
+    # Grams of more than 1/SENT of all coded bytes: fewer than SENT
+    is_hot = F.col("n") >= max(2, all_grams / SENT)
+    hot = by_gram.filter(is_hot).select("gram", "p").orderBy("gram").toArrow()
+    hot_grams = spark.sparkContext.broadcast((hot.column("gram").to_numpy(), hot.column("p").to_numpy()))
 
     def base(c: int) -> float:
         return math.log10((c + 1) / (tokens + kinds + 1))
 
-    def blended(c: int, spelt: float) -> float:
-        """log10 of a word's probability: as a whole, or spelt after the escape."""
-        if not tokens:
-            return spelt
-        whole = (2 * c - 1) / (2 * tokens) if c else 0.0
-        escape = kinds / (2 * tokens)
-        # Far below the least double a spelt word is coded in logarithms alone.
-        return math.log10(whole + escape * 10**spelt) if whole or spelt > -300 else math.log10(escape) + spelt
-
     def coded(batches):
-        model = trie()
         for batch in batches:
             ws, cs = (batch.column(k).to_pylist() for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
@@ -186,27 +275,26 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
                     pa.array(np.array([xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64).view(np.int64)),
                     pa.array([c > 0 for c in cs], pa.bool_()),
                     pa.array([base(c) for c in cs], pa.float64()),
-                    pa.array([blended(c, model.word(w)) for w, c in zip(ws, cs, strict=True)], pa.float64()),
                 ],
-                names=["word", "hash", "known", "base", "ppm"],
+                names=["word", "hash", "known", "base"],
             )
 
-    schema = "word binary, hash long, known boolean, base double, ppm double"
+    schema = "word binary, hash long, known boolean, base double"
     # Words of more than 1/HEAVY of all tokens: fewer than HEAVY
     is_heavy = F.col("n") >= max(2, all_words / HEAVY)
     heavy = counts.filter(is_heavy).select("word", "c").mapInArrow(coded, schema).toArrow()
-    common = spark.sparkContext.broadcast((heavy.column("word").to_pylist(), *(heavy.column(k).to_numpy() for k in ("known", "base", "ppm"))))
+    common = spark.sparkContext.broadcast((heavy.column("word").to_pylist(), *(heavy.column(k).to_numpy() for k in ("known", "base"))))
     end_base, end_known = base(texts), bool(texts)
-    end_score = blended(texts, 0.0) if texts else 0.0
     index: dict[int, dict[bytes, int]] = {}
 
     def per_text(batches):
         if 0 not in index:
             index[0] = {w: k for k, w in enumerate(common.value[0])}
-        at, (_, known, bases, ppms) = index[0].get, common.value
+        at, (_, known, bases) = index[0].get, common.value
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
+            texts_ = batch.column(1).to_pylist()
+            for t in texts_:
                 found = Counter(words(t))
                 places, times, rest = [], [], []
                 for w, n in found.items():
@@ -217,26 +305,46 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
                         times.append(n)
                 k, n = np.array(places, np.int64), np.array(times, np.int64)
                 hashes = np.array([h for h, _ in rest], np.uint64).view(np.int64)
-                out.append((sum(found.values()) + 1, int(n[known[k]].sum()) + end_known, float(n @ bases[k]) + end_base, float(n @ ppms[k]) + end_score, hashes, [n for _, n in rest]))
-            kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds_, strict=True))], names=names)
-
-    names = ["id", "row", "n_tokens", "n_known", "base", "ppm", "hash", "times"]
+                out.append((sum(found.values()) + 1, int(n[known[k]].sum()) + end_known, float(n @ bases[k]) + end_base, hashes, [n for _, n in rest]))
+            kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            coded_ = [spelt(texts_[a:b]) for a, b in slices(texts_)] or [spelt([])]
+            columns = [pa.concat_arrays(x) for x in zip(*coded_, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds_, strict=True)), *columns], names=names)
+
+    def spelt(texts_):
+        """Per text: the sum over its hot grams, its other grams and how often it has them."""
+        key, at = grams(texts_)
+        hot_key, hot_p = hot_grams.value
+        distinct_keys, place = np.unique(key, return_inverse=True)
+        found = np.searchsorted(hot_key, distinct_keys)
+        found[found == len(hot_key)] = 0
+        is_known = hot_key[found] == distinct_keys if len(hot_key) else np.zeros(len(distinct_keys), bool)
+        p = np.where(is_known, hot_p[found], 0.0) if len(hot_key) else np.zeros(len(distinct_keys))
+        other = ~is_known[place]
+        # texts of a batch and grams of 48 bits fit one number
+        pairs, times = np.unique(at[other] << 48 | key[other], return_counts=True)
+        offsets = pa.array(np.searchsorted(pairs >> 48, np.arange(len(texts_) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pairs & ((1 << 48) - 1), times.astype(np.int32))]
+        return pa.array(np.bincount(at, p[place], len(texts_))), *lists
+
+    names = ["id", "row", "n_tokens", "n_known", "base", "hash", "times", "ppm", "gram", "gram_times"]
     ids = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = checkpoint(ids.mapInArrow(per_text, f"id {ids.schema['id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, ppm double, hash array<long>, times array<int>"))
+    schema_ = f"id {ids.schema['id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, hash array<long>, times array<int>, ppm double, gram array<long>, gram_times array<int>"
+    rows = checkpoint(ids.mapInArrow(per_text, schema_))
     rare = rows.select("row", F.inline(F.arrays_zip("hash", "times")))
-    by_hash = counts.filter(~is_heavy).select("word", "c").mapInArrow(coded, schema).select("hash", "known", F.col("base").alias("b"), F.col("ppm").alias("p"))
+    by_hash = counts.filter(~is_heavy).select("word", "c").mapInArrow(coded, schema).select("hash", "known", F.col("base").alias("b"))
     sums = (
         rare.join(by_hash, "hash")
         .groupBy("row")
         .agg(
             F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("known"),
             F.sum(F.col("times") * F.col("b")).alias("b"),
-            F.sum(F.col("times") * F.col("p")).alias("p"),
         )
     )
+    rare_grams = rows.select("row", F.inline(F.arrays_zip("gram", "gram_times")))
+    spellings = rare_grams.join(by_gram.filter(~is_hot).select("gram", F.col("p").alias("q")), "gram").groupBy("row").agg(F.sum(F.col("gram_times") * F.col("q")).alias("p"))
     or_none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.drop("hash", "times").join(sums, "row", "left").select(
+    return rows.drop("hash", "times", "gram", "gram_times").join(sums, "row", "left").join(spellings, "row", "left").select(
         F.col("id").alias(doc_id),
         "n_tokens",
         (F.col("n_known") + or_none("known")).alias("n_known"),

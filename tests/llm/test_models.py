@@ -157,6 +157,38 @@ def test_texts_like_the_corpus_score_better(spark, docs):
     assert got[900] > got[901]
 
 
+def test_scores_equal_a_trie_of_all_running_text(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAVY", 20)
+    monkeypatch.setattr(lm_scoring, "SENT", 100, raising=False)
+    monkeypatch.setattr(lm_scoring, "LOT", 300, raising=False)
+    monkeypatch.setattr(lm_scoring, "CODED", 700, raising=False)
+    monkeypatch.setattr(lm_scoring, "ENTRIES", 50, raising=False)  # the bound of earlier versions, which dropped entries
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{r.choice(['the', 'An', 'ré'])}{r.choice('abcde')}{r.randrange(30)}" for _ in range(r.randrange(40)))) for i in range(80)]
+    rows += [(300, None), (301, ""), (302, "É the\tend \n"), (None, "the"), (5, rows[5][1]), (303, "long\0 word " * 300), (304, "語 qzx")]
+    counts, chains = defaultdict(Counter), []
+    for i, t in rows:
+        coded = b"\n" * 5 + b" ".join((t or "").encode().lower().split()) + b"\n"
+        chains.append([(coded[at - 5 : at], coded[at : at + 1]) for at in range(5, len(coded))])
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            for context, symbol in chains[-1]:
+                for k in range(6):
+                    counts[context[k:]][symbol] += 1
+    trie = lm_scoring.Trie((c, s, n) for c, x in counts.items() for s, n in x.items())
+    want = sorted((str(i), round(sum(trie.log10(*g) for g in chain), 6)) for (i, _), chain in zip(rows, chains, strict=True))
+    assert sorted((str(g.doc_id), round(g.score, 6)) for g in scored(docs(rows))) == want
+
+
+def test_untrained_scores_are_uniform(spark, docs):
+    got = lm_scoring.score(docs([(1, "ab"), (2, None)]), F.lit(False)).collect()
+    assert {g.doc_id: round(g.score, 6) for g in got} == {1: round(-3 * math.log10(256), 6), 2: round(-math.log10(256), 6)}
+
+
+def test_order_of_words_counts(spark, docs):
+    got = {g.doc_id: g.score for g in scored(docs([(i, "one two three four five six") for i in range(60)] + [(900, "one two three four five six"), (901, "four one six three five two")]))}
+    assert got[900] > got[901] + 1
+
+
 # 7: neighbours
 
 
