@@ -97,22 +97,27 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
     """(query_id, rank, vec_id, score): for each of ``queries`` the nearest of ``vectors`` but itself by cosine.
 
     Both have an id and an embedding; vectors that are null, zero or not finite, or have no id, take no
-    part, on either side; nor do those of another dimension than most of the sample. Equal scores go to the
-    smaller id. A query with fewer candidates has them all. Repeated rows of an id count once. An empty
-    table on either side gives an empty one.
+    part, on either side. A query meets the vectors of its own dimension. Equal scores go to the smaller id.
+    A query with fewer candidates has them all. Repeated rows of an id count once, on either side: the
+    least vector in order of its components. An empty table on either side gives an empty one.
     """
-    spark = vectors.sparkSession
-    arrow_batches(spark, BLOCK)
-    data = sound(vectors, vec_id, embedding)
+    arrow_batches(vectors.sparkSession, BLOCK)
+    data, asked = (sound(x, vec_id, embedding).groupBy("id").agg(F.min("v").alias("v")) for x in (vectors, queries))
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in sorted(r[0] for r in asked.select(F.size("v")).distinct().collect()):
+        same = F.size("v") == width
+        found = found.unionByName(search_dimension(data.filter(same), asked.filter(same), width, nearest, rerank))
+    return found
+
+
+def search_dimension(data: DataFrame, asked: DataFrame, width: int, nearest: int, rerank: int) -> DataFrame:
+    """``search`` among sound (id, v) of one dimension, each id once."""
+    spark = data.sparkSession
     sample = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    lengths, counts = np.unique([len(v) for v in sample.column("v").to_pylist()], return_counts=True)
-    width = int(lengths[counts.argmax()]) if len(lengths) else 0
-    fitting = [v for v in sample.column("v").to_pylist() if len(v) == width]
+    fitting = sample.column("v").to_pylist()
     x = np.array(fitting, float).reshape(len(fitting), width)
     books = spark.sparkContext.broadcast(fitted(unit(x)) if len(x) else np.zeros((BOOKS, WORDS, width), np.float32))
-    data = data.filter(F.size("v") == width)
 
-    asked = sound(queries, vec_id, embedding).filter(F.size("v") == width)
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     packed = F.struct("id", "v")
     asked_blocks = checkpoint(asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("q")).agg(F.sort_array(F.collect_list(packed)).alias("asked")))
@@ -150,7 +155,7 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
             if out_q:
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_score))], names=["query_id", "vec_id", "score"])
 
-    index = data.dropDuplicates(["id"]).mapInArrow(blocks, "ids binary, v binary, codes binary, norms binary")
+    index = data.mapInArrow(blocks, "ids binary, v binary, codes binary, norms binary")
     # A block of vectors meets each block of queries: a stated query set against all rows, in blocks. Copies of
     # the blocks of queries go to all partitions, so that the vectors are spread over them.
     copies = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -229,6 +229,19 @@ def test_few_or_no_vectors(spark):
     assert nearest.search(table, table.limit(0)).count() == 0
 
 
+def test_repeated_queries_and_other_dimensions(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(r.normal(size=(120, 6)).astype(np.float32))]
+    rows += [(1000 + i, v.tolist(), 0) for i, v in enumerate(r.normal(size=(20, 3)).astype(np.float32))]
+    table = vectors(spark, rows + [rows[50], rows[50], (50, [9.0] * 6, 0)])
+    got = defaultdict(list)
+    for g in nearest.search(table, table.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[g.query_id].append(g.vec_id)
+    kept = [(i, min(v, [9.0] * 6) if i == 50 else v, 0) for i, v, _ in rows]
+    want = {q: exact([x for x in kept if len(x[1]) == d], [q])[q] for q, d in ((0, 6), (50, 6), (100, 6), (1000, 3))}
+    assert got == want
+
+
 # 1: pages
 
 
