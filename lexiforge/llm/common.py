@@ -9,17 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may be long, so that a batch of the default 10,000 rows could hold a gigabyte.
-BATCH_ROWS = 512
+#: Rows that are turned into Python objects at once.
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Python workers get batches of so many rows at most."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches, rows: int = SLICE_ROWS):
+    """Arrow batches, or arrays, in slices of so many rows at most: Spark bounds a batch by bytes, this what is made of it."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

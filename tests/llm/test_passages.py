@@ -36,28 +36,127 @@ def test_repeated_passages_go_but_for_the_first(spark, docs):
     assert got[3].startswith(prose(3, 80)[:300]) and got[3].endswith(prose(4, 80)[-300:])
 
 
-def test_passages_of_many_documents(spark, docs):
-    missed = 0
-    for k in range(0, 60, 2):
+def cut_at(text):
+    raw = text.encode()
+    ends = substring_dedup.chunk_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [(int(a), int(b)) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def brute_passages(rows, least=80):
+    """Passages by the rule, one chunk after another: (doc, start, end, first) of later ones, and the first documents' spans."""
+    first, has = {}, {}
+    texts = sorted({(i, t) for i, t in rows if i is not None and t})
+    for i, t in texts:
+        times = Counter()
+        for a, b in cut_at(t):
+            c = t.encode()[a:b]
+            key = (c, times[c])
+            times[c] += 1
+            first.setdefault(key, (i, t, a))
+            has.setdefault(key, set()).add(i)
+    later, likes = set(), {}
+    for i, t in texts:
+        times, run = Counter(), []
+
+        def end(run=run, i=i):
+            if run and run[-1][1] - run[0][0] >= least:
+                later.add((i, run[0][0], run[-1][1], run[0][2][0]))
+                likes.setdefault(run[0][2][:2], set()).add((run[0][2][2], run[0][2][2] + run[-1][1] - run[0][0]))
+            run.clear()
+
+        for a, b in cut_at(t):
+            c = t.encode()[a:b]
+            at = first[c, times[c]]
+            times[c] += 1
+            if at[0] >= i:
+                end()
+                continue
+            if run and not (run[-1][2][:2] == at[:2] and run[-1][2][2] + a - run[-1][0] == at[2]):
+                end()
+            run.append((a, b, at))
+        end()
+    kept = set()
+    for (i, _), spans in likes.items():
+        at = None
+        for a, b in sorted(spans):
+            if at and a <= at[1]:
+                at[1] = max(at[1], b)
+                continue
+            if at:
+                kept.add((i, *at, i))
+            at = [a, b]
+        kept.add((i, *at, i))
+    return later, kept
+
+
+def passage_rows(seed, n=60):
+    r = random.Random(seed)
+    pool = [prose(3000 + k, r.randrange(8, 90)) for k in range(12)]
+    lines = ["all rights reserved by nobody at all", "line"]
+    rows = []
+    for i in range(n):
+        parts = []
+        for _ in range(r.randrange(1, 7)):
+            parts.append(r.choice([r.choice(pool), prose(r.randrange(10**6), r.randrange(60)), " ".join([r.choice(lines)] * r.randrange(1, 6))]))
+        rows.append((i, " ".join(parts)))
+    return rows
+
+
+def test_passages_equal_brute_force(spark, docs, monkeypatch):
+    rows = passage_rows(7) + [(70, passage_rows(7)[3][1]), (71, None), (72, ""), (None, passage_rows(7)[3][1])]
+    rows += [(3, passage_rows(7)[3][1]), (4, "another text of one id " + prose(3004, 50)), (80, "語" * 400), (81, "前" * 30 + "語" * 400)]
+    later, kept = brute_passages(rows)
+    assert len(later) > 40 and kept
+    for hot in (10_000, 50):  # at 50 many digests are dealt out
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        got = substring_dedup.passages(substring_dedup.keyed(docs(rows), "doc_id", "text")).collect()
+        assert {(g.key, g.start, g.end, g.first) for g in got if not g.kept} == later
+        assert {(g.key, g.start, g.end, g.first) for g in got if g.kept} == kept
+
+
+def test_query_equals_brute_force(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    later, kept = brute_passages(rows)
+    got = entry.queries()["op8_substring_dedup"](spark, d).collect()
+    assert {(g.doc_id, g.start_byte, g.end_byte, g.first_doc_id) for g in got} == later | kept
+
+
+def test_no_passage_leaves_the_corpus(spark, docs):
+    rows = passage_rows(11, 80)
+    out = {r.doc_id: r.text for r in substring_dedup.dedup(docs(rows)).collect()}
+    texts = dict(rows)
+    for i, a, b, first in brute_passages(rows)[0]:
+        gone = texts[i].encode()[a:b]
+        assert first < i and gone in texts[first].encode() and gone in out[first].encode()
+    assert sum(map(len, out.values())) < sum(len(t) for _, t in rows)
+
+
+def test_chunks_of_others_make_no_passage(spark, docs):
+    passage = prose(77, 60)
+    pieces = [passage.encode()[a:b].decode() for a, b in cut_at("x" * 40 + " " + passage)[1:]]
+    rows = [(i, f"{prose(500 + i, 40)} {p.strip()} {prose(600 + i, 40)}") for i, p in enumerate(pieces)] + [(900, "x" * 40 + " " + passage)]
+    assert {r.doc_id: r.text for r in substring_dedup.dedup(docs(rows)).collect()} == dict(rows)
+
+
+def test_passages_of_over_fifty_words_are_found(spark, docs):
+    rows = []
+    for k in range(60):
         passage = prose(1000 + k, 52)
-        rows = [(i, f"{prose(5000 + 10 * k + i, 60)} {passage} {prose(7000 + 10 * k + i, 60)}") for i in range(2)]
-        cut = [substring_dedup.chunk_ends(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for _, t in rows]
-        parts = [{t.encode()[a:b]: (a, b) for a, b in zip([0, *c], c, strict=False)} for (_, t), c in zip(rows, cut, strict=True)]
-        both = sorted((*parts[1][x], True) for x in parts[0].keys() & parts[1].keys())
-        missed += not substring_dedup.runs(both, substring_dedup.MIN_BYTES)
-    assert missed <= 1
-
-
-def test_substring_edges(spark, docs):
-    long = prose(8, 40_000)
-    rows = [(1, long), (2, long), (2, long), (3, "short"), (4, "short"), (6, "é" * 300), (7, "x" + "é" * 300)]
-    got = {}
-    for r in substring_dedup.dedup(docs(rows)).collect():
-        got.setdefault(r.doc_id, []).append(r.text)
-    assert got[1] == [long] and got[2] == ["", ""] and got[3] == got[4] == ["short"]
-    assert substring_dedup.dedup(docs([])).count() == 0
-    clash = docs(rows).withColumnRenamed("lang", "key").withColumnRenamed("source", "start")
-    assert substring_dedup.dedup(clash).columns == clash.columns
+        rows += [(2 * k + i, f"{prose(5000 + 10 * k + i, 60)} {passage} {prose(7000 + 10 * k + i, 60)}") for i in range(2)]
+    found = {g.key for g in substring_dedup.passages(substring_dedup.keyed(docs(rows), "doc_id", "text")).collect()}
+    assert len(found) >= 118
+
+
+def test_text_without_white_space(spark, docs):
+    r = random.Random(3)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    passage = han(200)
+    rows = [(1, han(300) + passage + han(300)), (2, han(150) + passage + han(90)), (3, "\u3000".join(han(12) for _ in range(30)))]
+    out = {x.doc_id: x.text for x in substring_dedup.dedup(docs(rows)).collect()}
+    assert out[1] == rows[0][1] and out[3] == rows[2][1] and 100 < len(rows[1][1]) - len(out[2]) <= 200
 
 
 def words(t):
