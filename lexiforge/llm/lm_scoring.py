@@ -8,10 +8,11 @@ any other it escapes to the next shorter context, where the symbols already rule
 a uniform guess. ``Trie`` states this law for one machine; ``log10s`` gives the same numbers for a table.
 
 Counts cover the whole training corpus and none are dropped: each distinct gram (ORDER bytes and the one
-after them) is a row, with its count in training texts, and is scored once, among all grams that share the
-last two bytes of the context. Shorter contexts than that have 65,536 entries at most. Words above a share
-1/HEAVY of all tokens and grams above a share 1/SENT of all bytes, at most HEAVY and SENT of them, reach the
-documents by broadcast; all others, none of which is frequent, by a shuffle.
+after them) is scored once, among all grams that share the last two bytes of the context; shorter contexts
+than that have 65,536 entries at most. Frequent words and grams, at most HEAVY and SENT of them, reach the
+documents by broadcast. What else the texts of a chunk (CHUNK bytes or one partition's end) hold is asked for
+once a chunk, and the answers meet the chunk's texts again. Logarithms are summed as whole numbers of 1e-11,
+so that a score doesn't depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -22,25 +23,32 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, checkpoint, fold
+from .common import checkpoint, fold, sliced
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 5
+#: Words above a share 1/HEAVY of all tokens and grams above a share 1/SENT of all bytes are broadcast.
 HEAVY = 1_000_000
-#: Grams above a share 1/SENT of all coded bytes reach the documents by broadcast: 16 bytes each.
-SENT = 8_000_000
-#: Distinct words that a task gathers before it hands them on.
+SENT = 4_000_000
+#: Distinct words, or grams, that a task gathers before it hands them on.
 GATHERED = 400_000
-#: Bytes whose grams are gathered at once, and grams that are scored at once (a two-byte context with more is whole).
+GATHERED_GRAMS = 2_000_000
+#: Bytes whose grams are looked at once, and grams that are scored at once (a two-byte context with more is whole).
 CODED = 4_000_000
 LOT = 500_000
+#: Bytes of texts whose rare grams are asked for together.
+CHUNK = 64_000_000
 START = b" "
 #: The end of a text; words have no such byte. As many as a context has come before a text.
 END = b"\n"
 SYMBOLS = 256
+#: Keys of words lie above those of grams, which have 48 bits.
+WORD_KEY = 1 << 62
+UNIT = 1e11
 
 
 def words(text: str | None) -> list[bytes]:
@@ -48,6 +56,10 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_key(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 2 | WORD_KEY
+
+
 def symbols(word: bytes):
     """(context, symbol) of each byte of a word and of its ending blank."""
     coded = START + word + START
@@ -97,24 +109,39 @@ class Trie:
 
 
 def counted(docs: DataFrame, training: Column, text: str) -> DataFrame:
-    """(word, c, n): each distinct word's occurrences in training rows and in all rows."""
+    """(word, c, n): each distinct word's occurrences in training rows and in all rows.
+
+    The pairs of bytes of coded training texts are counted along, as "words" that start with END (n: 0).
+    """
 
     def run(batches):
         found: tuple[Counter, Counter] = (Counter(), Counter())
+        pairs = np.zeros(1 << 16, np.int64)
+
+        def batch_of(keys, c, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
 
         def rows():
             keys = list(found[0].keys() | found[1].keys())
             learnt, other = ([x.get(k, 0) for k in keys] for x in found)
             for x in found:
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(learnt, pa.int64()), pa.array([a + b for a, b in zip(learnt, other, strict=True)], pa.int64())], names=["word", "c", "n"])
+            return batch_of(keys, learnt, [a + b for a, b in zip(learnt, other, strict=True)])
 
-        for batch in batches:
+        for batch in sliced(batches):
+            bodies = []
             for learns, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[not learns].update(words(t))
+                ws = words(t)
+                found[not learns].update(ws)
+                if learns:
+                    bodies.append(END + b" ".join(ws))
+            data = np.frombuffer(b"".join(bodies) + END, np.uint8).astype(np.int64)
+            pairs += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
             if len(found[0]) + len(found[1]) > GATHERED:
                 yield rows()
         yield rows()
+        at = np.flatnonzero(pairs)
+        yield batch_of([END + int(p).to_bytes(2, "big") for p in at], pairs[at], np.zeros(len(at), np.int64))
 
     return docs.select(training.alias("learns"), F.col(text)).mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
@@ -142,34 +169,44 @@ def slices(texts: list[str | None]):
         yield begin, len(texts)
 
 
+def summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+    return key[at], *(np.add.reduceat(c[order], at) if len(at) else c[:0] for c in counts)
+
+
 def counted_grams(docs: DataFrame, training: Column, text: str) -> DataFrame:
-    """(gram, c, n): each distinct gram's occurrences in training rows and in all rows."""
+    """(end, gram, c, n): grams' occurrences in training rows and in all rows, summed in each task; their contexts' last two bytes."""
 
     def run(batches):
-        held: tuple[list, list] = ([], [])
-        size = 0
+        held, size = [], 0
 
         def rows():
-            for learns, parts in enumerate(held):
-                if parts:
-                    keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                    parts.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n * learns), pa.array(n)], names=["gram", "c", "n"])
+            key, c, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array((key >> 8 & 0xFFFF).astype(np.int32)), pa.array(key), pa.array(c), pa.array(n)], names=["end", "gram", "c", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             learns, texts = np.array(batch.column(0).to_pylist(), bool), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 key, at = grams(texts[a:b])
                 mine = learns[a:b][at]
-                held[1].append(key[mine])
-                held[0].append(key[~mine])
-                size += len(key)
-                if size > CODED:
-                    yield from rows()
-                    size = 0
-        yield from rows()
+                for part, learnt in ((key[mine], 1), (key[~mine], 0)):
+                    if len(part):
+                        distinct, n = np.unique(part, return_counts=True)
+                        held.append((distinct, n * learnt, n))
+                        size += len(distinct)
+            if size > GATHERED_GRAMS:
+                held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if 2 * size > GATHERED_GRAMS:
+                    yield rows()
+                    held, size = [], 0
+        if held:
+            yield rows()
 
-    return docs.select(training.alias("learns"), F.col(text)).mapInArrow(run, "gram long, c long, n long").groupBy("gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return docs.select(training.alias("learns"), F.col(text)).mapInArrow(run, "end int, gram long, c long, n long")
 
 
 def log10s(gram: np.ndarray, c: np.ndarray, short: np.ndarray) -> np.ndarray:
@@ -207,18 +244,17 @@ def log10s(gram: np.ndarray, c: np.ndarray, short: np.ndarray) -> np.ndarray:
     return p
 
 
-def scored_grams(counts: DataFrame) -> DataFrame:
-    """(gram, n, p): of each counted gram the log10 of its last byte's probability."""
-    pairs = counts.filter("c > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("c").alias("c")).toArrow()
-    table = np.zeros(1 << 16)
-    table[pairs.column("pair").to_numpy()] = pairs.column("c").to_numpy()
-    short = counts.sparkSession.sparkContext.broadcast(table)
+def scored_grams(counts: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(gram, n, p): of each gram of ``counts`` the log10 of its last byte's probability, in 1e-11; pairs: counts of two bytes."""
+    short = counts.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches):
         held, size, goal = [], 0, LOT
 
         def rows(part):
-            return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[2]), pa.array(log10s(part[0], part[1], short.value))], names=["gram", "n", "p"])
+            key, c, n = summed(*part)
+            p = np.rint(log10s(key, c.astype(float), short.value) * UNIT).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(p)], names=["gram", "n", "p"])
 
         for batch in batches:
             held.append(np.stack([batch.column(k).to_numpy() for k in range(3)]))
@@ -236,9 +272,135 @@ def scored_grams(counts: DataFrame) -> DataFrame:
         if held:
             yield rows(np.concatenate(held, 1))
 
-    end = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    parts = max(1, -(-counts.count() // LOT))
-    return counts.withColumn("end", end).repartition(parts, "end").sortWithinPartitions("end").select("gram", "c", "n").mapInArrow(run, "gram long, n long, p double")
+    return counts.repartition("end").sortWithinPartitions("end").select("gram", "c", "n").mapInArrow(run, "gram long, n long, p long")
+
+
+def exact_sums(at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by place."""
+    high, low = value >> 20, value & 0xFFFFF
+    return (np.bincount(at, high, n).astype(np.int64) << 20) + np.bincount(at, low, n).astype(np.int64)
+
+
+class Known:
+    """What is broadcast: values of grams, and of words whether they are known and their base value."""
+
+    def __init__(self, gram, p, word, known, base):
+        self.gram, self.p, self.known, self.base = gram, p, known, base
+        self.word = {w: k for k, w in enumerate(word)}
+
+    def spelt(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text the sum over its known grams; its other grams, and how many it has."""
+        key, at = grams(texts)
+        both = np.sort(key << 15 | at)  # texts of a slice are fewer than 2 ** 15
+        key, at = both >> 15, (both & 0x7FFF).astype(np.uint16)
+        starts = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+        distinct, times = key[starts], np.diff(np.r_[starts, len(key)])
+        found = np.minimum(np.searchsorted(self.gram, distinct), max(0, len(self.gram) - 1))
+        is_known = self.gram[found] == distinct if len(self.gram) else np.zeros(len(distinct), bool)
+        value = np.where(is_known, self.p[found], 0) if len(self.gram) else np.zeros(len(distinct), np.int64)
+        rare = np.repeat(~is_known, times)
+        key, of = key[rare], at[rare]
+        return exact_sums(at, np.repeat(value, times), len(texts)), key[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(texts))
+
+    def words(self, text: str | None) -> tuple[int, int, int, list[int]]:
+        """Tokens, known ones and their base value without the end; keys of words that aren't broadcast, as often as they come."""
+        found = Counter(words(text))
+        places, times, rest = [], [], []
+        for w, n in found.items():
+            if (k := self.word.get(w)) is None:
+                rest += [word_key(w)] * n
+            else:
+                places.append(k)
+                times.append(n)
+        k, n = np.array(places, np.int64), np.array(times, np.int64)
+        return sum(found.values()), int(n[self.known[k]].sum()), int(n @ self.base[k]), rest
+
+
+#: kind 0: answers (key, value, known) of a chunk; kind 1: its texts, with the places of their keys among the chunk's.
+CHUNK_ROWS = "chunk long, kind int, key long, value long, known boolean, id {id}, n_tokens long, n_known long, base long, ppm long, at array<int>"
+
+
+def chunk_rows(docs: DataFrame, shared) -> DataFrame:
+    """Of (id, text): requests (kind 0, without value) and texts (kind 1), chunk by chunk."""
+    schema = CHUNK_ROWS.format(id=docs.schema["id"].dataType.simpleString())
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        known, task = shared.value, TaskContext.get().partitionId()
+        held, rare, size, number = [], [], 0, 0
+
+        def rows():
+            every = np.concatenate([k for k, _ in rare])
+            asked, place = np.unique(every, return_inverse=True)
+            chunk = task << 32 | number
+            n = len(asked)
+            nothing = [pa.nulls(n, kind) for kind in (pa.int64(), pa.bool_(), held[0][0].type, *[pa.int64()] * 4, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.zeros(n, np.int32)), pa.array(asked), *nothing], names=names)
+            begin = 0
+            for (ids, *columns), (keys, lengths) in zip(held, rare, strict=True):
+                n, end = len(ids), begin + len(keys)
+                offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+                at = pa.ListArray.from_arrays(offsets, pa.array(place[begin:end].astype(np.int32)))
+                begin = end
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.ones(n, np.int32)), pa.array(np.arange(n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), ids, *map(pa.array, columns), at], names=names)
+
+        for batch in sliced(batches):
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                ppm, keys, n_grams = known.spelt(texts[a:b])
+                tokens, n_known, base, rest = zip(*map(known.words, texts[a:b]), strict=True)
+                n_words = np.array([len(r) for r in rest])
+                # of each text its grams, then its words
+                cuts = np.cumsum(n_grams)[:-1]
+                mixed = [x for g, r in zip(np.split(keys, cuts), rest, strict=True) for x in (g, np.array(r, np.int64))]
+                held.append((batch.column(0).slice(a, b - a), *(np.array(x, np.int64) for x in (tokens, n_known, base)), ppm))
+                rare.append((np.concatenate(mixed), n_grams + n_words))
+                size += sum(len(t or "") for t in texts[a:b])
+                if size > CHUNK:
+                    yield from rows()
+                    held, rare, size, number = [], [], 0, number + 1
+        if held:
+            yield from rows()
+
+    return docs.mapInArrow(run, schema)
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """(id, n_tokens, n_known, base, ppm) of the texts in ``rows`` (CHUNK_ROWS), with the answers of their chunks added."""
+
+    def run(batches):
+        chunk, parts = None, []
+        table = None
+
+        def sums(offsets, values):
+            total = np.r_[0, np.cumsum(values)]
+            return total[offsets[1:]] - total[offsets[:-1]]
+
+        for batch in batches:
+            chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(chunks):
+                continue
+            cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(chunks)], strict=True):
+                part = batch.slice(a, b - a)
+                if chunks[a] != chunk:
+                    chunk, parts, table = chunks[a], [], None
+                if kinds[a] == 0:
+                    parts.append([part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)])
+                    continue
+                if table is None:
+                    key, value, known = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+                    is_word = key >= WORD_KEY
+                    table, parts = (np.where(is_word, 0, value), np.where(is_word, value, 0), known.astype(np.int64)), []
+                lists = part.column(10)
+                offsets = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+                at = lists.flatten().to_numpy()
+                ppm, base, n_known = (sums(offsets, x[at]) if len(at) else np.zeros(b - a, np.int64) for x in table)
+                own = [part.column(k).to_numpy() for k in (6, 7, 8, 9)]
+                yield pa.RecordBatch.from_arrays([part.column(5), *map(pa.array, (own[0], own[1] + n_known, own[2] + base, own[3] + ppm))], names=["id", "n_tokens", "n_known", "base", "ppm"])
+
+    in_order = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "key")
+    return in_order.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base long, ppm long")
 
 
 def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,108 +411,52 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     empty table gives an empty one; extra columns are dropped.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
-    counts = checkpoint(counted(docs, training, text))
+    every = checkpoint(counted(docs, training, text))
+    is_pair = F.substring("word", 1, 1) == F.lit(END)
+    pairs = np.zeros(1 << 16)
+    # 65,536 rows at most
+    for word, c in every.filter(is_pair).select("word", "c").collect():
+        pairs[int.from_bytes(word[1:], "big")] = c
+    counts = every.filter(~is_pair)
     texts = docs.filter(training).count()
     learnt, distinct, all_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tokens, kinds = learnt + texts, distinct + bool(texts)
 
-    gram_counts = checkpoint(counted_grams(docs, training, text))
-    all_grams = gram_counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    by_gram = checkpoint(scored_grams(gram_counts))
+    by_gram = checkpoint(scored_grams(counted_grams(docs, training, text), pairs))
+    all_grams = by_gram.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Grams of more than 1/SENT of all coded bytes: fewer than SENT
     is_hot = F.col("n") >= max(2, all_grams / SENT)
     hot = by_gram.filter(is_hot).select("gram", "p").orderBy("gram").toArrow()
-    hot_grams = spark.sparkContext.broadcast((hot.column("gram").to_numpy(), hot.column("p").to_numpy()))
 
-    def base(c: int) -> float:
-        return math.log10((c + 1) / (tokens + kinds + 1))
+    def base(c):
+        return np.rint(np.log10((np.asarray(c) + 1) / (tokens + kinds + 1)) * UNIT).astype(np.int64)
 
     def coded(batches):
         for batch in batches:
-            ws, cs = (batch.column(k).to_pylist() for k in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.array([xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64).view(np.int64)),
-                    pa.array([c > 0 for c in cs], pa.bool_()),
-                    pa.array([base(c) for c in cs], pa.float64()),
-                ],
-                names=["word", "hash", "known", "base"],
-            )
-
-    schema = "word binary, hash long, known boolean, base double"
+            c = batch.column(1).to_numpy()
+            keys = np.array([word_key(w) for w in batch.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base(c)), pa.array(c > 0)], names=["key", "value", "known"])
+
     # Words of more than 1/HEAVY of all tokens: fewer than HEAVY
     is_heavy = F.col("n") >= max(2, all_words / HEAVY)
-    heavy = counts.filter(is_heavy).select("word", "c").mapInArrow(coded, schema).toArrow()
-    common = spark.sparkContext.broadcast((heavy.column("word").to_pylist(), *(heavy.column(k).to_numpy() for k in ("known", "base"))))
-    end_base, end_known = base(texts), bool(texts)
-    index: dict[int, dict[bytes, int]] = {}
-
-    def per_text(batches):
-        if 0 not in index:
-            index[0] = {w: k for k, w in enumerate(common.value[0])}
-        at, (_, known, bases) = index[0].get, common.value
-        for batch in batches:
-            out = []
-            texts_ = batch.column(1).to_pylist()
-            for t in texts_:
-                found = Counter(words(t))
-                places, times, rest = [], [], []
-                for w, n in found.items():
-                    if (k := at(w)) is None:
-                        rest.append((xxhash.xxh3_64_intdigest(w), n))
-                    else:
-                        places.append(k)
-                        times.append(n)
-                k, n = np.array(places, np.int64), np.array(times, np.int64)
-                hashes = np.array([h for h, _ in rest], np.uint64).view(np.int64)
-                out.append((sum(found.values()) + 1, int(n[known[k]].sum()) + end_known, float(n @ bases[k]) + end_base, hashes, [n for _, n in rest]))
-            kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            coded_ = [spelt(texts_[a:b]) for a, b in slices(texts_)] or [spelt([])]
-            columns = [pa.concat_arrays(x) for x in zip(*coded_, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds_, strict=True)), *columns], names=names)
-
-    def spelt(texts_):
-        """Per text: the sum over its hot grams, its other grams and how often it has them."""
-        key, at = grams(texts_)
-        hot_key, hot_p = hot_grams.value
-        distinct_keys, place = np.unique(key, return_inverse=True)
-        found = np.searchsorted(hot_key, distinct_keys)
-        found[found == len(hot_key)] = 0
-        is_known = hot_key[found] == distinct_keys if len(hot_key) else np.zeros(len(distinct_keys), bool)
-        p = np.where(is_known, hot_p[found], 0.0) if len(hot_key) else np.zeros(len(distinct_keys))
-        other = ~is_known[place]
-        # texts of a batch and grams of 48 bits fit one number
-        pairs, times = np.unique(at[other] << 48 | key[other], return_counts=True)
-        offsets = pa.array(np.searchsorted(pairs >> 48, np.arange(len(texts_) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pairs & ((1 << 48) - 1), times.astype(np.int32))]
-        return pa.array(np.bincount(at, p[place], len(texts_))), *lists
-
-    names = ["id", "row", "n_tokens", "n_known", "base", "hash", "times", "ppm", "gram", "gram_times"]
-    ids = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    schema_ = f"id {ids.schema['id'].dataType.simpleString()}, row long, n_tokens long, n_known long, base double, hash array<long>, times array<int>, ppm double, gram array<long>, gram_times array<int>"
-    rows = checkpoint(ids.mapInArrow(per_text, schema_))
-    rare = rows.select("row", F.inline(F.arrays_zip("hash", "times")))
-    by_hash = counts.filter(~is_heavy).select("word", "c").mapInArrow(coded, schema).select("hash", "known", F.col("base").alias("b"))
-    sums = (
-        rare.join(by_hash, "hash")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.col("times") * F.col("b")).alias("b"),
-        )
-    )
-    rare_grams = rows.select("row", F.inline(F.arrays_zip("gram", "gram_times")))
-    spellings = rare_grams.join(by_gram.filter(~is_hot).select("gram", F.col("p").alias("q")), "gram").groupBy("row").agg(F.sum(F.col("gram_times") * F.col("q")).alias("p"))
-    or_none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.drop("hash", "times", "gram", "gram_times").join(sums, "row", "left").join(spellings, "row", "left").select(
+    heavy = counts.filter(is_heavy).select("word", "c").toArrow()
+    c = heavy.column("c").to_numpy()
+    shared = spark.sparkContext.broadcast(Known(hot.column("gram").to_numpy(), hot.column("p").to_numpy(), heavy.column("word").to_pylist(), c > 0, base(c)))
+    del hot, heavy
+
+    rows = checkpoint(chunk_rows(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), shared))
+    rare = by_gram.filter(~is_hot).select(F.col("gram").alias("key"), F.col("p").alias("value"), F.lit(False).alias("known"))
+    rare = rare.unionByName(counts.filter(~is_heavy).select("word", "c").mapInArrow(coded, "key long, value long, known boolean"))
+    answers = rows.filter("kind = 0").drop("value", "known").join(rare, "key").select(*rows.columns)
+    found = answered(answers.unionByName(rows.filter("kind = 1")))
+    end_base, end_known = int(base(texts)), int(bool(texts))
+    return found.select(
         F.col("id").alias(doc_id),
-        "n_tokens",
-        (F.col("n_known") + or_none("known")).alias("n_known"),
+        (F.col("n_tokens") + 1).alias("n_tokens"),
+        (F.col("n_known") + end_known).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + or_none("b")).alias("base_score"),
-        (F.col("ppm") + or_none("p")).alias("score"),
+        ((F.col("base") + end_base) / F.lit(UNIT)).alias("base_score"),
+        (F.col("ppm") / F.lit(UNIT)).alias("score"),
     )
 
 
