@@ -5,8 +5,11 @@ found by beam search, and its code is stored with the norm of that sum. The code
 bounded sample of vectors, every vector is encoded. A query makes a table of its inner products with all
 codewords; the sum of a code's table entries over the stored norm estimates the cosine. In each block of
 vectors the best RERANK of each query are scored exactly, in double precision on the original vectors, and
-the nearest of all blocks are kept. Queries are dealt into blocks of bounded size, which all blocks of
-vectors see.
+the nearest of all blocks are kept.
+
+Vectors are dealt to blocks by a hash of their id, so that rows don't depend on how the table is laid out.
+Each block is shuffled once and meets all queries, which pass by it one after the other: what is shuffled
+for the queries is their number times that of the blocks, and a task holds one block.
 """
 
 from __future__ import annotations
@@ -16,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, checkpoint
-
 BOOKS, WORDS = 16, 128
 BEAM = 4
 #: Vectors of which the codebooks are fitted, by a hash of the id.
@@ -25,8 +26,8 @@ SAMPLE = 8_192
 ROUNDS = 6
 #: Candidates of a query that are scored exactly, in each block of vectors.
 RERANK = 96
-BLOCK = 4_096
-QUERY_BLOCK = 2_048
+#: Vectors that are encoded at once, and in a block: a 64th of them all between these bounds.
+BLOCK, LARGEST = 4_096, 65_536
 NEAREST, EVERY = 5, 50
 
 
@@ -101,7 +102,6 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
     A query with fewer candidates has them all. Repeated rows of an id count once, on either side: the
     least vector in order of its components. An empty table on either side gives an empty one.
     """
-    arrow_batches(vectors.sparkSession, BLOCK)
     data, asked = (sound(x, vec_id, embedding).groupBy("id").agg(F.min("v").alias("v")) for x in (vectors, queries))
     found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for width in sorted(r[0] for r in asked.select(F.size("v")).distinct().collect()):
@@ -110,6 +110,30 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
     return found
 
 
+class Block:
+    """A block of vectors in order of their ids, with codes and norms."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, books: np.ndarray):
+        self.ids, self.v, self.flat = ids, v, books.reshape(-1, v.shape[1])
+        self.lengths = np.sqrt(np.einsum("ij,ij->i", v, v))
+        coded = [encoded(unit(v[k : k + BLOCK]), books) for k in range(0, len(v), BLOCK)]
+        codes = np.concatenate([c for c, _ in coded])
+        self.norms = np.maximum(np.concatenate([n for _, n in coded]), 1e-6)
+        self.places = codes.T.astype(np.int64) + np.arange(len(books))[:, None] * books.shape[1]
+
+    def nearest(self, query: int, q: np.ndarray, nearest: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the nearest vectors but the query's own, of the ``rerank`` best by their codes."""
+        length = np.sqrt(np.einsum("i,i->", q, q))
+        table = self.flat @ (q / length).astype(np.float32)
+        estimate = table[self.places].sum(0) / self.norms
+        estimate[self.ids == query] = -np.inf
+        at = best_of(estimate, self.ids, rerank)
+        at = at[self.ids[at] != query]
+        exact = np.einsum("ij,j->i", self.v[at], q) / (self.lengths[at] * length)
+        best = np.lexsort((self.ids[at], -exact))[:nearest]
+        return self.ids[at][best], exact[best]
+
+
 def search_dimension(data: DataFrame, asked: DataFrame, width: int, nearest: int, rerank: int) -> DataFrame:
     """``search`` among sound (id, v) of one dimension, each id once."""
     spark = data.sparkSession
@@ -117,53 +141,34 @@ def search_dimension(data: DataFrame, asked: DataFrame, width: int, nearest: int
     fitting = sample.column("v").to_pylist()
     x = np.array(fitting, float).reshape(len(fitting), width)
     books = spark.sparkContext.broadcast(fitted(unit(x)) if len(x) else np.zeros((BOOKS, WORDS, width), np.float32))
+    n = data.count()
+    blocks = max(1, -(-n // min(LARGEST, max(BLOCK, n // 64))))
 
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = F.struct("id", "v")
-    asked_blocks = checkpoint(asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("q")).agg(F.sort_array(F.collect_list(packed)).alias("asked")))
-
-    def blocks(batches):
-        """Vectors, packed a block to a row, with their codes and norms."""
-        for batch in batches:
-            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-            ids = batch.column(0).to_numpy()[order]
-            v = batch.column(1).flatten().to_numpy().reshape(len(ids), width)[order] if len(ids) else np.zeros((0, width))
-            codes, norms = encoded(unit(v), books.value)
-            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in (ids.astype("<i8"), np.ascontiguousarray(v, "<f8"), codes, norms.astype("<f4"))], names=["ids", "v", "codes", "norms"])
-
-    def nearest_in(batches):
+    def run(batches):
+        block, parts, index = None, [], None
         for batch in batches:
-            out_q, out_id, out_score = [], [], []
-            for ids, v, codes, norms, asked_rows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                ids, codes, norms = np.frombuffer(ids, "<i8"), np.frombuffer(codes, np.uint8).reshape(-1, BOOKS), np.frombuffer(norms, "<f4")
-                v = np.frombuffer(v, "<f8").reshape(-1, width)
-                lengths = np.sqrt(np.einsum("ij,ij->i", v, v))
-                places = codes.T.astype(np.int64) + np.arange(BOOKS)[:, None] * WORDS
-                flat = books.value.reshape(-1, width)
-                for row in asked_rows:
-                    q = np.array(row["v"])
-                    table = flat @ (q / np.linalg.norm(q)).astype(np.float32)
-                    estimate = table[places].sum(0) / np.maximum(norms, 1e-6)
-                    estimate[ids == row["id"]] = -np.inf
-                    at = best_of(estimate, ids, rerank)
-                    at = at[ids[at] != row["id"]]
-                    exact = np.einsum("ij,j->i", v[at], q) / (lengths[at] * np.sqrt(np.einsum("i,i->", q, q)))
-                    at, exact = (x[np.lexsort((ids[at], -exact))[: 2 * nearest]] for x in (at, exact))
-                    out_q += [row["id"]] * len(at)
-                    out_id.append(ids[at])
-                    out_score.append(exact)
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_score))], names=["query_id", "vec_id", "score"])
-
-    index = data.mapInArrow(blocks, "ids binary, v binary, codes binary, norms binary")
-    # A block of vectors meets each block of queries: a stated query set against all rows, in blocks. Copies of
-    # the blocks of queries go to all partitions, so that the vectors are spread over them.
-    copies = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copy = F.pmod(F.xxhash64("ids"), F.lit(copies)).cast("int")
-    spread = index.withColumn("copy", copy).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    everywhere = asked_blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    met = spread.join(everywhere, ["q", "copy"]).select("ids", "v", "codes", "norms", "asked")
-    found = met.mapInArrow(nearest_in, "query_id long, vec_id long, score double")
+            numbers, kinds, ids = (batch.column(k).to_numpy() for k in range(3))
+            v = batch.column(3).flatten().to_numpy().reshape(len(ids), width)
+            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True) if len(ids) else ():
+                if numbers[a] != block:
+                    block, parts, index = numbers[a], [], None
+                if kinds[a] == 0:
+                    parts.append((ids[a:b], v[a:b]))
+                    continue
+                if index is None:
+                    if not parts:
+                        continue  # no vector has this block's number
+                    index, parts = Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), books.value), []
+                got = [index.nearest(i, q, nearest, rerank) for i, q in zip(ids[a:b], v[a:b], strict=True)]
+                of = np.repeat(ids[a:b], [len(i) for i, _ in got])
+                yield pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(np.concatenate(x)) for x in zip(*got, strict=True))], names=["query_id", "vec_id", "score"])
+
+    members = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    # A stated query set against all rows, in blocks
+    probes = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
+    in_order = members.unionByName(probes).repartition("block").sortWithinPartitions("block", "kind", "id")
+    found = in_order.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
