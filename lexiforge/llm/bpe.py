@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import sliced
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose codes a Python worker keeps; when full, it starts anew.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 100_000
 #: The same for pre-tokens: a chunk in lower case without its punctuation.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 #: Python's split() also cuts at these four, which the vocabulary's white space doesn't include.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -155,8 +155,6 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
     rows and nulls in other columns are kept as they are. Columns of ``docs`` that have one of the two
     new names are replaced.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
     where = path or public_tokenizers.path(VOCABULARY)
     kept = docs.drop(ids, decoded)
     at = kept.columns.index(text)
@@ -164,7 +162,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
 
     def run(batches):
         coder = codec(where)
-        for batch in batches:
+        for batch in sliced(batches):
             pairs = [coder.encode(t or "") for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array([p for p, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -31,6 +31,8 @@ SMALL = 100
 WEAK = 1
 #: Cells of the counts that bound how much two sets differ.
 CELLS = 256
+#: Words whose hashes a task keeps.
+KEPT = 150_000
 U64 = np.uint64
 
 
@@ -49,7 +51,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept until there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > KEPT:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

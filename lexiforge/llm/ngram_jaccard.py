@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_core as core
-from .common import arrow_batches, checkpoint, may_have
+from .common import checkpoint, may_have, sliced
 from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Documents of a group that are compared in one task.
 BLOCK = 300
+#: Sets that a task remembers, to tell copies without a signature for each.
+KEPT = 200_000
 SIGNATURE, FIRST, COPY = 0, 1, 2
 
 
@@ -36,7 +38,7 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches):
         known, seen = core.WordHashes(), {}
-        for batch in batches:
+        for batch in sliced(batches):
             buckets, kinds, keys, extras, counts = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = core.shingles(text, words, known)
@@ -46,7 +48,7 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 elif number is None:
                     found, kind, extra = core.mixed(np.array([key], np.int64).view(core.U64)), FIRST, 0
                 else:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > KEPT:
                         seen.clear()
                     seen[number] = key
                     found, kind, extra = np.array([number], np.int64).view(core.U64), FIRST, len(s)
@@ -131,7 +133,7 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         known = core.WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [core.shingles(t, words, known).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
 
@@ -162,8 +164,6 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     and no links. Rows with one id count as one document for links. A null id has no component. Equal sets
     are linked. An empty table gives an empty one; extra columns are dropped.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
     named = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
     keyed = named.filter("key IS NOT NULL")
     found = checkpoint(gathered(signature_rows(keyed, words, percent)))
@@ -206,7 +206,7 @@ def without_id(named: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         known = core.WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(core.shingles(t, words, known)) for t in batch.column(1).to_pylist()], pa.int64())], names=["key", "n_shingles"])
 
     return named.filter("key IS NULL").mapInArrow(run, "key long, n_shingles long")

@@ -2,7 +2,8 @@
 
 The library encodes batches of about equal bytes inside Arrow functions and only lengths come back.
 A BPE vocabulary file with white-space pre-tokens never merges across white space, so that long texts
-are split there, and a chunk that comes again in a worker isn't encoded again.
+are split there, and a chunk that comes again in a worker isn't encoded again. A text without white space
+is one chunk, however long: there is no safer boundary in it.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import sliced
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes of texts that the library gets at once.
 BATCH_BYTES = 256 * 1024
 #: Chunks whose lengths a Python worker keeps; when full, it starts anew.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 200_000
 
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -34,11 +35,12 @@ def by_bytes(texts, most: int = BATCH_BYTES):
     """Lists of texts of about ``most`` bytes each; a longer text stands alone."""
     batch, size = [], 0
     for t in texts:
-        if batch and size + len(t) > most:
+        n = len(t) if t.isascii() else len(t.encode())
+        if batch and size + n > most:
             yield batch
             batch, size = [], 0
         batch.append(t)
-        size += len(t)
+        size += n
     if batch:
         yield batch
 
@@ -94,12 +96,12 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, n
     Rows are independent: ties, repeated rows, nulls and extra columns stay as they are; a column of
     that name is replaced.
     """
-    arrow_batches(docs.sparkSession)
     where = path or public_tokenizers.path(VOCABULARY)
 
     @F.arrow_udf("long")
     def lengths(texts: pa.Array) -> pa.Array:
-        return pa.array(counter(where).count([t or "" for t in texts.to_pylist()]), pa.int64())
+        found = (counter(where).count([t or "" for t in part.to_pylist()]) for part in sliced([texts]))
+        return pa.array([n for part in found for n in part], pa.int64())
 
     return docs.withColumn(name, lengths(F.col(text)))
 

@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, fold
+from .common import fold, sliced
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 MOST_TOXIC, MOST_ORDINARY = 3_000, 6_000
 PIECE = 4
 #: A log-likelihood ratio above this is evidence of its own, beside the mean over the text.
 STRONG = 3.0
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 100_000
+#: Distinct counts that a task gathers before it hands them on.
+GATHERED = 50_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -176,18 +178,25 @@ def training_rows(docs, labels, doc_id, text, label, most_toxic, most_ordinary)
 def fit(docs, labels, doc_id="doc_id", text="text", label="toxic", most_toxic=MOST_TOXIC, most_ordinary=MOST_ORDINARY) -> Model:
     """The model from ``labels`` (doc_id, toxic) outside the held-out fold; with fewer than two classes, their share."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     rows = training_rows(docs, labels, doc_id, text, label, most_toxic, most_ordinary)
 
     def count(batches):
         found: Counter = Counter()
-        for batch in batches:
+
+        def summed():
+            keys = list(zip(*found, strict=True)) or [[]] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(k, t) for k, t in zip([*keys, list(found.values())], [pa.string()] * 3 + [pa.int32(), pa.int64()], strict=True)], names=["reading", "a", "b", "toxic", "n"])
+            found.clear()
+            return batch
+
+        for batch in sliced(batches):
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[("n", "", "", toxic)] += 1
                 for g in {g for w in set(words(t)) for g in grams(w)}:
                     found[(*g, toxic)] += 1
-        keys = list(zip(*found, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(k, t) for k, t in zip([*keys, list(found.values())], [pa.string()] * 3 + [pa.int32(), pa.int64()], strict=True)], names=["reading", "a", "b", "toxic", "n"])
+            if len(found) > GATHERED:
+                yield summed()
+        yield summed()
 
     schema = "reading string, a string, b string, toxic int, n long"
     counts = rows.filter("not calibration").mapInArrow(count, schema).groupBy("reading", "a", "b", "toxic").agg(F.sum("n").alias("n")).toArrow()
@@ -209,7 +218,7 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="toxic", most_toxic=MO
     shared = spark.sparkContext.broadcast(model)
 
     def look(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = [shared.value.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -229,12 +238,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     and extra columns stay; a column of that name is replaced.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t or "") for t in texts.to_pylist()], pa.float64())
+        return pa.array([shared.value.score(t or "") for part in sliced([texts]) for t in part.to_pylist()], pa.float64())
 
     return docs.withColumn(name, scored(F.col(text)))
 
