@@ -263,7 +263,7 @@ def test_articles(spark):
         "": "",
     }
     for html, want in cases.items():
-        got = html_extraction.main_text(html, None, None)
+        got = html_extraction.main_text(html)
         assert want is None or got == want
 
 
