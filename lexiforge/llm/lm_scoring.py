@@ -390,6 +390,8 @@ def answered(rows: DataFrame) -> DataFrame:
                     continue
                 if table is None:
                     key, value, known = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+                    order = np.argsort(key)
+                    key, value, known = key[order], value[order], known[order]
                     is_word = key >= WORD_KEY
                     table, parts = (np.where(is_word, 0, value), np.where(is_word, value, 0), known.astype(np.int64)), []
                 lists = part.column(10)
@@ -399,7 +401,7 @@ def answered(rows: DataFrame) -> DataFrame:
                 own = [part.column(k).to_numpy() for k in (6, 7, 8, 9)]
                 yield pa.RecordBatch.from_arrays([part.column(5), *map(pa.array, (own[0], own[1] + n_known, own[2] + base, own[3] + ppm))], names=["id", "n_tokens", "n_known", "base", "ppm"])
 
-    in_order = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "key")
+    in_order = rows.repartition("chunk").sortWithinPartitions(F.col("chunk") * 2 + F.col("kind"))
     return in_order.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base long, ppm long")
 
 
