@@ -210,6 +210,25 @@ def test_contamination_of_empty_tables(spark, docs):
 
 
 def test_a_benchmark_too_large_to_broadcast(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
     table = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     assert [x.doc_id for x in decontamination.contaminated(docs([(4, prose(2, 9) + " " + prose(1, 30)), (5, prose(3, 60))]), table).collect()] == [4]
+
+
+def test_contamination_query_equals_brute_force(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    read = lambda name, key: [(r[key], r.text) for r in spark.read.parquet(f"{d}/{name}.parquet").collect()]
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in entry.queries()["op6_decontamination"](spark, d).collect()}
+    assert got == {k: round(v, 9) for k, v in brute(read("documents", "doc_id"), read("benchmark", "item_id")).items()} and got
+
+
+def test_a_long_item(spark, docs):
+    item = prose(1, 6000)
+    w = item.split()
+    w[100] = w[3000] = "changed"
+    table = spark.createDataFrame([(1, item), (2, prose(2, 40)), (2, prose(3, 40))], "item_id long, text string")
+    rows = [(1, f"{prose(4, 500)} {' '.join(w)} {prose(5, 300)}"), (2, prose(3, 40)), (2, "other text"), (3, prose(6, 9000))]
+    got = {(x.doc_id, x.item_id): (x.start_word, round(x.similarity, 4)) for x in decontamination.contaminated(docs(rows), table).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1][0] == 500 and got[2, 2] == (0, 1.0)
