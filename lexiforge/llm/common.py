@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,16 @@ def sliced(batches, rows: int = SLICE_ROWS):
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and cuts its lineage.
+    """Writes ``df`` to the shared folder that the session names in spark.checkpoint.dir, and cuts its lineage.
 
-    Only where the session names no folder (tests on one machine) one is made here.
+    Only a session on one machine may name none: there one is made.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[.*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
@@ -46,25 +50,29 @@ def fold(doc_id: Column, folds: int) -> Column:
 MAP_BITS = 1 << 24
 
 
+def bit_map(spots: DataFrame) -> Broadcast:
+    """A broadcast map of MAP_BITS bits, 32 to a number, with those of ``spots`` (spot, below MAP_BITS) set."""
+    words = spots.groupBy(F.shiftright("spot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(spot & 31)))").alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return spots.sparkSession.sparkContext.broadcast(bits)
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
 def may_have(keys: DataFrame, key: Column) -> Column:
     """Whether ``key`` may be among ``keys`` (key), from a bit map of fixed size: no false "no", few false "yes".
 
-    It spares a join the shuffle of the rows that have no partner, however many keys there are.
+    It spares a join the shuffle of the rows that have no partner. With far more keys than bits it lets all
+    rows through.
     """
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    words = (
-        keys.select(spot(F.col("key")).alias("spot"))
-        .groupBy(F.floor(F.col("spot") / 32).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, int(spot % 32)))").alias("bits"))
-        .toArrow()
-    )
-    bits = np.zeros(MAP_BITS // 32, np.uint32)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
+    shared = bit_map(keys.select(spot(F.col("key")).alias("spot")))
 
     @F.arrow_udf("boolean")
     def may_be(spots: pa.Array) -> pa.Array:
-        at = spots.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+        return pa.array(is_set(shared.value, spots.to_numpy(zero_copy_only=False)))
 
     return may_be(spot(key.cast("long")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, may_have, sliced
+from .common import MAP_BITS, bit_map, checkpoint, is_set, may_have, sliced
 
 WINDOW = 16
 #: Of 256 hash values, so many end a chunk after white space, and where there is no white space.
@@ -77,8 +77,11 @@ def digests_of(data: bytes, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return found + before * np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(key, version, start, end, digest) of the chunks of ``docs`` (key, version, text), in bytes of the text."""
+def chunks(docs: DataFrame, among=None) -> DataFrame:
+    """(key, version, start, end, digest) of the chunks of ``docs`` (key, version, text), in bytes of the text.
+
+    ``among``: a bit map of digests that leaves out chunks without one of them.
+    """
 
     def run(batches):
         for batch in sliced(batches):
@@ -89,9 +92,11 @@ def chunks(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
             ends = chunk_ends(np.frombuffer(data, np.uint8), offsets)
             doc = np.searchsorted(offsets, ends, "left") - 1
+            begins, digests = np.r_[0, ends[:-1]], digests_of(data, ends, doc)
+            if among is not None:
+                kept = is_set(among.value, (digests & np.uint64(MAP_BITS - 1)).astype(np.int64))
+                ends, doc, begins, digests = (x[kept] for x in (ends, doc, begins, digests))
             base, at = offsets[doc], pa.array(doc)
-            begins = np.r_[0, ends[:-1]]
-            digests = digests_of(data, ends, doc)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array((begins - base).astype(np.int32)), pa.array((ends - base).astype(np.int32)), pa.array(digests.view(np.int64))],
                 names=["key", "version", "start", "end", "digest"],
@@ -125,7 +130,7 @@ def later_passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     # fewer than HOT digests
     hot = F.broadcast(shared.filter(is_hot).select("digest", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "version"), F.lit(SALTS)).cast("int")).otherwise(0)
-    repeated = found.join(hot, "digest", "left").withColumn("salt", salt).drop("hot").join(parts, ["digest", "salt"])
+    repeated = chunks(docs, bit_map(shared.select(F.col("digest").bitwiseAND(MAP_BITS - 1).alias("spot")))).join(hot, "digest", "left").withColumn("salt", salt).drop("hot").join(parts, ["digest", "salt"])
     names = ["key", "version", "start", "end", "first", "first_version", "first_start"]
 
     def run(batches):
