@@ -1,73 +1,32 @@
-"""Exercises in texts: signals, scores, types, levels, skills, near copies."""
+"""Near copies among exercises; what makes a block an exercise is in ``functions.rules``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Words that ask for a task, in four languages.
-IMPERATIVES = "lis|écris|complète|réponds|relie|choisis|coche|read|write|complete|answer|match|choose|lee|escribe|completa|اقرأ|اكتب|أكمل|أجب|صل|اختر"
-HEADINGS = "exercice|exercise|activité|activity|ejercicio|تمرين|نشاط"
-TYPES = {
-    "true_false": r"\b(vrai|faux|true|false|verdadero|falso)\b|صحيح|خطأ",
-    "matching": r"\b(relie|associe|match|relaciona)\b|صل",
-    "ordering": r"remets .* ordre|put .* in order|\b(ordonne|ordena)\b|رتب",
-    "qcm": r"(?m)^\s*(?:[a-dA-D][.)]|[□☐])\s+\S",
-    "fill_blank": r"_{3,}|\.{5,}|…{2,}",
-    "transformation": r"\b(transforme|réécris|transform|rewrite|transforma)\b|حوّل|حول",
-}
-#: What each signal weighs.
-WEIGHTS = {"heading": 1.5, "imperative": 1.0, "question": 0.5, "numbered": 1.0, "choices": 1.5, "blanks": 1.5, "long_prose": -1.5}
 
+def near_copies(rows: DataFrame, key: str, body: str, least: float = 0.78) -> DataFrame:
+    """(key, representative): for each row the first one whose first 180 characters share so many terms with its own.
 
-def signals(c: Column) -> dict[str, Column]:
-    low = F.lower(c)
-    count = lambda p: F.regexp_count(low, F.lit(p))
-    words = F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
-    marks = F.greatest(F.regexp_count(c, F.lit(r"[.!?؟]")), F.lit(1))
-    return {
-        "heading": F.regexp(low, F.lit(rf"(?m)^\s*(?:{HEADINGS})\s*(?:n°\s*)?\d*\s*[:.\-–]\s*\S")),
-        "imperative": F.regexp(low, F.lit(rf"(?m)(?:^|[.:\n]\s*)(?:{IMPERATIVES})(?:[^\p{{L}}]|$)")),
-        "question": F.regexp(c, F.lit("[?؟]")),
-        "numbered": count(r"(?m)^\s*\d{1,2}[.)]\s+\S") >= 2,
-        "choices": count(TYPES["qcm"]) >= 2,
-        "blanks": F.regexp(c, F.lit(TYPES["fill_blank"])),
-        "long_prose": (words > 150) & (words / marks > 18),
-    }
-
-
-def detected(docs: DataFrame, body: str = "text", threshold: float = 2.0) -> DataFrame:
-    """``docs`` with ``score``, ``reasons``, ``confidence`` and ``is_exercise``: weighted signals against a threshold."""
-    found = signals(F.col(body))
-    score = sum((F.when(s, F.lit(WEIGHTS[k])).otherwise(0.0) for k, s in found.items()), F.lit(0.0))
-    reasons = F.array_compact(F.array(*[F.when(s, F.lit(k)) for k, s in found.items()]))
-    scored = docs.withColumn("score", F.coalesce(score, F.lit(0.0))).withColumn("reasons", reasons)
-    return scored.withColumn("confidence", F.round(1 / (1 + F.exp(threshold - F.col("score"))), 2)).withColumn("is_exercise", F.col("score") >= threshold)
-
-
-def type_of(c: Column) -> Column:
-    """The first type whose pattern a text has, or ``open``."""
-    low = F.lower(c)
-    return F.coalesce(*[F.when(F.regexp(low, F.lit(p)), F.lit(k)) for k, p in TYPES.items()], F.lit("open"))
-
-
-def near_copies(rows: DataFrame, key: str, body: str, least: float = 0.78, within: str | None = None) -> DataFrame:
-    """(a, b, dice): pairs of rows, a before b, whose first 180 characters share so many terms.
-
-    Candidates share one of the rarest terms that two such texts cannot all miss, so that no pair is formed
-    for common terms alone.
+    Rows with the same terms are one class, which its least key stands for; only classes are compared, so that
+    copies make no pairs. Candidates share one of the rarest terms that two such texts cannot all miss. A row
+    without terms, or without a like before it, stands for itself.
     """
     terms = F.array_sort(F.array_distinct(F.filter(T.terms(F.substring(F.col(body), 1, 180)), lambda t: F.char_length(t) >= 2)))
-    sets = rows.select(F.col(key).alias("k"), (F.col(within) if within else F.lit(0)).alias("g"), terms.alias("t")).filter(F.size("t") > 0)
-    each = sets.select("k", "g", F.explode("t").alias("term"), F.size("t").alias("n"))
+    sets = rows.select(F.col(key).alias("k"), terms.alias("t"))
+    classes = sets.filter(F.size("t") > 0).groupBy("t").agg(F.min("k").alias("c"))
+    each = classes.select("c", F.explode("t").alias("term"), F.size("t").alias("n"))
     # by rarity, ties by term: two sets with the similarity share a term among the first ones of both
-    rare = each.join(each.groupBy("g", "term").agg(F.count("*").alias("df")), ["g", "term"])
-    place = F.row_number().over(Window.partitionBy("k", "g").orderBy("df", "term"))
+    rare = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("df", "term"))
     reach = F.col("n") - F.ceil(F.col("n") * least / (2 - least)) + 1
-    prefix = rare.withColumn("p", place).filter(F.col("p") <= reach).select("k", "g", "term")
-    a, b = (prefix.select(F.col("k").alias(n), "g", "term") for n in ("a", "b"))
-    pairs = a.join(b, ["g", "term"]).filter("a < b").select("a", "b").distinct()
-    with_sets = pairs.join(sets.select(F.col("k").alias("a"), F.col("t").alias("s")), "a").join(sets.select(F.col("k").alias("b"), "t"), "b")
-    return with_sets.withColumn("dice", F.round(T.dice(F.col("s"), F.col("t")), 6)).filter(F.col("dice") >= least).select("a", "b", "dice")
+    prefix = rare.withColumn("p", place).filter(F.col("p") <= reach).select("c", "term")
+    a, b = (prefix.select(F.col("c").alias(n), "term") for n in ("a", "b"))
+    pairs = a.join(b, "term").filter("a < b").select("a", "b").distinct()
+    with_sets = pairs.join(classes.select(F.col("c").alias("a"), F.col("t").alias("s")), "a").join(classes.select(F.col("c").alias("b"), "t"), "b")
+    near = with_sets.filter(F.round(T.dice(F.col("s"), F.col("t")), 6) >= least).groupBy("b").agg(F.min("a").alias("near"))
+    own = sets.join(classes, "t", "left").join(near.withColumnRenamed("b", "c"), "c", "left")
+    return own.select(F.col("k").alias(key), F.coalesce("near", "c", "k").alias("representative"))

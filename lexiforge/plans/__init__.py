@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import retrieving, relating, texts
+from . import chunking, judging, keeping, relating, retrieving, texts
 
 FLAGSHIP = "source_summary"
-GROUPS = (relating, texts, retrieving)
+GROUPS = (relating, texts, retrieving, judging, keeping, chunking)
 
 
 def queries():

@@ -110,11 +110,11 @@ def latest_jobs(spark, d):
 
 def stale_jobs(spark, d):
     """Events half an hour or more older than the newest of their type, and their next state by attempts."""
-    w = Window.partitionBy("event_type")
+    events = read(spark, d, "events")
+    newest = events.groupBy("event_type").agg(F.max("ts").alias("now"))
     attempts = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = read(spark, d, "events").withColumn("now", F.max("ts").over(w)).withColumn("attempt", F.row_number().over(attempts))
-    stale = F.expr("ts <= now - INTERVAL 30 MINUTES")
-    return e.filter(stale).groupBy("event_type", F.when(F.col("attempt") >= 2, "failed").otherwise("pending").alias("state")).agg(F.count("*").alias("n"))
+    stale = events.withColumn("attempt", F.row_number().over(attempts)).join(newest, "event_type").filter(F.expr("ts <= now - INTERVAL 30 MINUTES"))
+    return stale.groupBy("event_type", F.when(F.col("attempt") >= 2, "failed").otherwise("pending").alias("state")).agg(F.count("*").alias("n"))
 
 
 def event_properties(spark, d):
@@ -150,11 +150,11 @@ def index_audit(spark, d):
 
 
 def incremental_changes(spark, d):
-    """What an index run would do: new, unchanged or changed by the digest of the text; odd ids were indexed before."""
-    now = read(spark, d, "documents").select("doc_id", F.md5(F.lower("text")).alias("digest"))
-    was = read(spark, d, "documents").filter("doc_id % 2 = 1").select("doc_id", F.md5("text").alias("old"))
+    """What an index run would do with each chunk: new, unchanged or changed by the digest of its input; indexed are those with a vector."""
+    now = read(spark, d, "documents").select("doc_id", "source", F.sha2(F.concat_ws(":", F.lit("v3"), F.lower("text")), 256).alias("digest"))
+    was = read(spark, d, "documents").join(read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.sha2(F.concat_ws(":", F.lit("v3"), "text"), 256).alias("old"))
     state = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("digest"), "unchanged").otherwise("changed")
-    return now.join(was, "doc_id", "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return now.join(was, "doc_id", "left").groupBy("source", state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def upserted_labels(spark, d):
@@ -261,7 +261,7 @@ QUERIES = {
     ),
     "incremental_changes": (
         incremental_changes,
-        "SELECT CASE WHEN doc_id % 2 = 0 THEN 'new' WHEN md5(text) = md5(lower(text)) THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS n FROM documents GROUP BY 1",
+        "SELECT source, CASE WHEN vec_id IS NULL THEN 'new' WHEN sha256('v3:' || text) = sha256('v3:' || lower(text)) THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS n FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY ALL",
     ),
     "upserted_labels": (
         upserted_labels,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
 from ..operators import retrieval as R
+from . import judging
 from .texts import TERMS_SQL
 
 
@@ -22,17 +24,21 @@ def term_frequencies(spark, d):
     return R.inverse_frequencies(R.postings(docs), docs.count()).select("term", "n", F.round("idf", 6).alias("idf"))
 
 
+def posted(spark, d):
+    """Postings of the items, and of the documents by the items' terms: one table for all arms of a query."""
+    asked = R.postings(items(spark, d), "item_id")
+    return asked, R.asked_postings(read(spark, d, "documents").select("doc_id", "text"), asked)
+
+
 def sparse(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    found = R.postings(docs)
-    return R.sparse_search(found, R.postings(items(spark, d), "item_id"), R.inverse_frequencies(found, docs.count()), "item_id")
+    asked, found = posted(spark, d)
+    return R.sparse_search(found, asked, R.inverse_frequencies(found, read(spark, d, "documents").count()), "item_id")
 
 
 def overlap(spark, d):
     """The second arm: how many distinct terms of the item a document has."""
-    found = R.postings(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "term")
-    asked = R.postings(items(spark, d), "item_id").select("item_id", "term")
-    scores = found.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    asked, found = posted(spark, d)
+    scores = found.join(asked.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     return R.top(scores, "item_id", "doc_id", R.DEPTH)
 
 
@@ -53,11 +59,17 @@ def provenance(spark, d):
 
 
 def dense_search(spark, d):
-    """The ten vectors nearest to the first vector of each label."""
-    v = read(spark, d, "embeddings")
-    firsts = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"), F.min("vec_id").alias("query_id"))
-    scored = v.select("vec_id", "embedding").join(F.broadcast(firsts.select("query_id", "q")), F.col("vec_id") != F.col("query_id"))
-    top = R.top(scored.select("query_id", "vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), "query_id", "vec_id", 10)
+    """The ten vectors nearest to every twentieth vector."""
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    top = R.dense_search(v, v.filter("vec_id % 20 = 0"), k=10)
+    return top.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def dense_filtered(spark, d):
+    """The same among vectors whose document is French or English and longer than 200 characters: filters come before the search."""
+    docs = read(spark, d, "documents").filter(F.col("lang").isin("fr", "en") & (F.col("n_chars") > 200)).select(F.col("doc_id").alias("vec_id"))
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    top = R.dense_search(v.join(docs, "vec_id", "left_semi"), v.filter("vec_id % 20 = 0"), k=5)
     return top.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -67,12 +79,20 @@ def hydrated_hits(spark, d):
     return rows.groupBy("label").agg(F.count("*").alias("hits"), F.count_if("stale").alias("stale"), F.countDistinct("lang").alias("languages"))
 
 
+def feature_steps(dialect):
+    """What the four features say of an item's candidates: the item's number stands for what it asks for."""
+    return [
+        {"intent": "CASE item_id % 4 WHEN 0 THEN 'activity' WHEN 1 THEN 'exercise' WHEN 2 THEN 'listening' ELSE 'general' END", "wanted_level": "CASE WHEN item_id % 3 < 2 THEN 'A1' END", "wanted_skill": "CASE WHEN item_id % 2 = 0 THEN 'reading' END"},
+        *rules.role(dialect, "kind", "heading", "content"),
+        *rules.concreteness(dialect, "kind", "heading", "content"),
+        *rules.adjustments(dialect, "intent", "level", "wanted_level", "wanted_skill", "heading", "content"),
+    ]
+
+
 def ranked_by_features(spark, d):
-    """The sparse arm again, with what source, language and length say."""
-    docs = read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    rows = sparse(spark, d).join(docs, "doc_id")
-    adjust = [F.when(F.col("lang") == "en", 0.06).otherwise(0.02), F.when(F.col("n_chars") > 1000, 0.03).otherwise(0.0)]
-    ranked = R.feature_rank(rows, adjust, "item_id", "doc_id")
+    """The sparse arm again, with what role, concreteness, level and skill say."""
+    rows = rules.applied(sparse(spark, d).join(judging.pieces(spark, d).withColumnRenamed("id", "doc_id"), "doc_id"), feature_steps(judging.S))
+    ranked = R.feature_rank(rows, [F.col(c) for c in judging.ADJUSTMENTS], "item_id", "doc_id")
     return ranked.select("item_id", "doc_id", "final_score", F.col("final_rank").cast("long").alias("final_rank"))
 
 
@@ -83,10 +103,10 @@ def composed(spark, d):
 
 
 def retrieval_metrics(spark, d):
-    """Of each item's ten first hits: those that contain its beginning, its language's share, sources, duplicates."""
+    """Of each item's ten first hits: those that contain the whole item, the first such rank, sources, duplicates."""
     docs = read(spark, d, "documents").select("doc_id", "text", "source")
     rows = sparse(spark, d).filter("rank <= 10").join(docs, "doc_id").join(items(spark, d).withColumnRenamed("text", "item"), "item_id")
-    hit = F.contains(F.col("text"), F.substring("item", 1, 40))
+    hit = F.contains(T.normalized(F.col("text")), T.normalized(F.col("item")))
     n = F.count("*")
     return rows.groupBy("item_id").agg(
         F.count_if(hit).alias("relevant"), F.min(F.when(hit, F.col("rank"))).cast("long").alias("first_relevant"), F.countDistinct("source").alias("sources"), F.round((n - F.countDistinct("text")) / n, 6).alias("duplicate_rate")
@@ -109,8 +129,16 @@ ARMS = f"""{SPARSE}, o AS (SELECT item_id, doc_id, count(*) AS score FROM p JOIN
  b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o QUALIFY rank <= 20),
  m AS (SELECT item_id, doc_id, a.rank AS r1, b.rank AS r2, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS rrf FROM a FULL JOIN b USING (item_id, doc_id)),
  f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, least(r1, r2), doc_id) AS fused_rank FROM m)"""
+NORM = r"lower(trim(regexp_replace({}, '[\p{{Z}}\x09-\x0D]+', ' ', 'g')))"
 DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 
+
+
+def _dense(which: str, k: int) -> str:
+    cosine = f"{DOT.format(a='e.embedding', b='q.embedding')} / sqrt({DOT.format(a='e.embedding', b='e.embedding')} * {DOT.format(a='q.embedding', b='q.embedding')})"
+    return f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round({cosine}, 6) AS score FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND {which}) QUALIFY rank <= {k}"""
+
+
 QUERIES = {
     "term_frequencies": (term_frequencies, f"WITH {POSTINGS} SELECT term, n, round(idf, 6) AS idf FROM w"),
     "sparse_search": (sparse_search, f"WITH {SPARSE} SELECT item_id, doc_id, rank, score FROM a"),
@@ -119,19 +147,16 @@ QUERIES = {
         provenance,
         f"WITH {ARMS} SELECT item_id, count(*) FILTER (r1 IS NOT NULL AND r2 IS NOT NULL) AS both, count(*) FILTER (r2 IS NULL) AS first_only, count(*) FILTER (r1 IS NULL) AS second_only FROM f GROUP BY item_id",
     ),
-    "dense_search": (
-        dense_search,
-        f"""WITH f AS (SELECT min(vec_id) AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
-        s AS (SELECT query_id, vec_id, round({DOT.format(a='embedding', b='q')} / sqrt({DOT.format(a='embedding', b='embedding')} * {DOT.format(a='q', b='q')}), 6) AS score FROM embeddings JOIN f ON vec_id <> query_id)
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
-    ),
+    "dense_search": (dense_search, _dense("true", 10)),
+    "dense_filtered": (dense_filtered, _dense("e.vec_id IN (SELECT doc_id FROM documents WHERE lang IN ('fr', 'en') AND n_chars > 200)", 5)),
     "hydrated_hits": (
         hydrated_hits,
         "SELECT label, count(*) AS hits, count(*) FILTER (doc_id IS NULL) AS stale, count(DISTINCT lang) AS languages FROM embeddings LEFT JOIN documents ON doc_id = vec_id GROUP BY label",
     ),
     "ranked_by_features": (
         ranked_by_features,
-        f"""WITH {SPARSE}, r AS (SELECT item_id, doc_id, rank, round(1 - 0.025::DOUBLE * (rank - 1) + greatest(0.35::DOUBLE, 1 - 0.04::DOUBLE * (rank - 1)) * (CASE WHEN lang = 'en' THEN 0.06::DOUBLE ELSE 0.02 END + CASE WHEN n_chars > 1000 THEN 0.03::DOUBLE ELSE 0 END), 6) AS final_score FROM a JOIN documents USING (doc_id))
+        f"""WITH {SPARSE}, c AS (SELECT a.*, p.* EXCLUDE (id) FROM a JOIN {judging.PIECES} p ON p.id = a.doc_id), r AS (SELECT item_id, doc_id, rank,
+        round(1 - 0.025::DOUBLE * (rank - 1) + greatest(0.35::DOUBLE, 1 - 0.04::DOUBLE * (rank - 1)) * ({' + '.join(judging.ADJUSTMENTS)}), 6) AS final_score FROM {rules.stated('c', feature_steps(judging.D))})
         SELECT item_id, doc_id, final_score, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, rank, doc_id) AS final_rank FROM r""",
     ),
     "composed": (
@@ -141,7 +166,7 @@ QUERIES = {
     ),
     "retrieval_metrics": (
         retrieval_metrics,
-        f"""WITH {SPARSE} SELECT item_id, count(*) FILTER (contains(d.text, substr(b.text, 1, 40))) AS relevant, min(rank) FILTER (contains(d.text, substr(b.text, 1, 40))) AS first_relevant, count(DISTINCT source) AS sources,
+        f"""WITH {SPARSE} SELECT item_id, count(*) FILTER (contains({NORM.format('d.text')}, {NORM.format('b.text')})) AS relevant, min(rank) FILTER (contains({NORM.format('d.text')}, {NORM.format('b.text')})) AS first_relevant, count(DISTINCT source) AS sources,
         round((count(*) - count(DISTINCT d.text)) / count(*), 6) AS duplicate_rate FROM a JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 10 GROUP BY item_id""",
     ),
     "arm_comparison": (

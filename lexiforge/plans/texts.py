@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
 from ..operators import segmentation, tables
 
@@ -30,16 +31,20 @@ TOKENS_SQL = rf"len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{Z}}\x09-\
 
 
 def source_summary(spark, d):
-    sized = docs(spark, d).withColumn("tokens", T.token_estimate(F.col("text")))
-    return sized.groupBy("source").agg(
-        F.count("*").alias("documents"),
-        F.countDistinct("lang").alias("languages"),
-        F.min("tokens").cast("long").alias("least"),
-        F.max("tokens").cast("long").alias("most"),
-        F.round(F.avg("tokens"), 2).alias("mean"),
-        F.median("tokens").alias("median"),
-        F.count_if(F.col("tokens") > 512).alias("over_limit"),
+    """Token statistics of each source; the median is exact, from counts of equal sizes."""
+    sized = docs(spark, d).withColumn("tokens", T.token_estimate(F.col("text")).cast("long"))
+    n = F.col("n")
+    counts = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
+    languages = sized.groupBy("source").agg(F.countDistinct("lang").alias("languages"))
+    summed = counts.groupBy("source").agg(
+        F.sum(n).alias("documents"),
+        F.min("tokens").alias("least"),
+        F.max("tokens").alias("most"),
+        F.round(F.sum(F.col("tokens") * n) / F.sum(n), 2).alias("mean"),
+        F.percentile("tokens", 0.5, n).alias("median"),
+        F.sum(F.when(F.col("tokens") > 512, n).otherwise(0)).alias("over_limit"),
     )
+    return summed.join(languages, "source")
 
 
 def clean_texts(spark, d):
@@ -79,30 +84,6 @@ def language_guess(spark, d):
     return docs(spark, d).groupBy("lang", guess.alias("guess")).agg(F.count("*").alias("n"))
 
 
-def quality_states(spark, d):
-    """First failing check of a page's text."""
-    words = F.regexp_count(F.col("text"), F.lit(r"[\p{L}]{2,}"))
-    odd = F.regexp_count(F.col("text"), F.lit(r"[^\p{L}\p{N}\p{Z}\x09-\x0D.,;:!?'-]"))
-    state = (
-        F.when(F.trim("text") == "", "empty")
-        .when(words < 5, "low_information")
-        .when(odd / F.char_length("text") > 0.15, "corrupted")
-        .when(F.col("quality") == 0, "rejected")
-        .otherwise("accepted")
-    )
-    joined = docs(spark, d).join(read(spark, d, "labels"), "doc_id", "left")
-    return joined.groupBy("source", state.alias("state")).agg(F.count("*").alias("n"))
-
-
-def level_estimates(spark, d):
-    """A level by words per sentence: fixed bands."""
-    words = F.regexp_count(F.col("text"), F.lit(r"[\p{L}\p{N}]+"))
-    sentences = F.greatest(F.regexp_count(F.col("text"), F.lit(r"[.!?]+")), F.lit(1))
-    mean = words / sentences
-    level = F.when(mean < 6, "A1").when(mean < 9, "A2").when(mean < 12, "B1").when(mean < 16, "B2").when(mean < 22, "C1").otherwise("C2")
-    return docs(spark, d).groupBy("lang", level.alias("level")).agg(F.count("*").alias("n"), F.round(F.avg(mean), 4).alias("mean"))
-
-
 def word_windows(spark, d):
     w = segmentation.word_windows(docs(spark, d))
     return w.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_words").cast("long").alias("n_words"), F.md5("content").alias("digest"))
@@ -140,7 +121,7 @@ def repeated_blocks(spark, d):
 
 
 def duplicate_rates(spark, d):
-    key = F.struct(T.normalized(F.col("text")), "lang")
+    key = F.sha2(F.concat_ws("\u001f", T.normalized(F.col("text")), "lang"), 256)
     n = F.count("*")
     return docs(spark, d).groupBy("source").agg(n.alias("n"), F.round((n - F.countDistinct(key)) / n, 6).alias("duplicate_rate"))
 
@@ -196,17 +177,6 @@ QUERIES = {
         + ", ".join(f"len(regexp_extract_all(lower(text), '{p}')) AS {k}" for k, p in STOPWORDS.items())
         + " FROM documents), b AS (SELECT *, greatest(en, fr, es, de) AS m FROM c) SELECT lang, CASE WHEN m = 0 THEN 'unknown' WHEN en = m THEN 'en' WHEN fr = m THEN 'fr' WHEN es = m THEN 'es' ELSE 'de' END AS guess, count(*) AS n FROM b GROUP BY ALL",
     ),
-    "quality_states": (
-        quality_states,
-        r"""SELECT source, CASE WHEN trim(text) = '' THEN 'empty' WHEN len(regexp_extract_all(text, '[\p{L}]{2,}')) < 5 THEN 'low_information'
-        WHEN len(regexp_extract_all(text, '[^\p{L}\p{N}\p{Z}\x09-\x0D.,;:!?''-]')) / length(text) > 0.15 THEN 'corrupted' WHEN quality = 0 THEN 'rejected' ELSE 'accepted' END AS state, count(*) AS n
-        FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""",
-    ),
-    "level_estimates": (
-        level_estimates,
-        r"""SELECT lang, CASE WHEN m < 6 THEN 'A1' WHEN m < 9 THEN 'A2' WHEN m < 12 THEN 'B1' WHEN m < 16 THEN 'B2' WHEN m < 22 THEN 'C1' ELSE 'C2' END AS level, count(*) AS n, round(avg(m), 4) AS mean
-        FROM (SELECT lang, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) / greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS m FROM documents) GROUP BY ALL""",
-    ),
     "word_windows": (
         word_windows,
         f"SELECT doc_id, k AS chunk_index, len(part) AS n_words, md5(array_to_string(part, ' ')) AS digest FROM (SELECT doc_id, k, w[k * 360 + 1 : k * 360 + 360] AS part FROM (SELECT doc_id, w, unnest(range((len(w) + 359) // 360)) AS k FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)))",
@@ -252,57 +222,31 @@ QUERIES = {
 }
 
 
-def exercise_scores(spark, d):
+def near_blocks(spark, d):
+    """For each chunk the first one whose beginning has most terms in common with its own, itself if there is none."""
     from ..operators import exercises
+    from . import judging
 
-    found = exercises.detected(docs(spark, d))
-    return found.select("doc_id", "score", "confidence", "is_exercise", exercises.type_of(F.col("text")).alias("kind"))
+    return exercises.near_copies(judging.pieces(spark, d), "id", "content")
 
 
-def near_turns_by_terms(spark, d):
-    """Pairs of turns of one role whose beginnings share most terms."""
-    from ..operators import exercises
+def _near_sql() -> str:
+    from . import judging
 
-    turns = read(spark, d, "conversations").withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return exercises.near_copies(turns, "id", "text", within="role")
-
-
-def _exercise_sql() -> str:
-    from ..operators import exercises as X
-
-    low, q = "lower(text)", lambda p: "'" + p.replace("'", "''") + "'"
-    n = lambda p, c=low: f"len(regexp_extract_all({c}, {q(p)}))"
-    tests = {
-        "heading": f"regexp_matches({low}, {q(rf'(?m)^\s*(?:{X.HEADINGS})\s*(?:n°\s*)?\d*\s*[:.\-–]\s*\S')})",
-        "imperative": f"regexp_matches({low}, {q(rf'(?m)(?:^|[.:\n]\s*)(?:{X.IMPERATIVES})(?:[^\p{{L}}]|$)')})",
-        "question": "regexp_matches(text, '[?؟]')",
-        "numbered": n(r"(?m)^\s*\d{1,2}[.)]\s+\S") + " >= 2",
-        "choices": n(X.TYPES["qcm"]) + " >= 2",
-        "blanks": f"regexp_matches(text, {q(X.TYPES['fill_blank'])})",
-        "long_prose": n(r"[\p{L}\p{N}]+", "text") + " > 150 AND " + n(r"[\p{L}\p{N}]+", "text") + "::DOUBLE / greatest(" + n(r"[.!?؟]", "text") + ", 1) > 18",
-    }
-    score = " + ".join(f"CASE WHEN {t} THEN {X.WEIGHTS[k]}::DOUBLE ELSE 0 END" for k, t in tests.items())
-    kind = "CASE " + " ".join(f"WHEN regexp_matches({low}, {q(p)}) THEN '{k}'" for k, p in X.TYPES.items()) + " ELSE 'open' END"
-    return f"SELECT doc_id, s AS score, round(1 / (1 + exp(2.0::DOUBLE - s)), 2) AS confidence, s >= 2 AS is_exercise, kind FROM (SELECT doc_id, {score} AS s, {kind} AS kind FROM documents)"
-
-
-QUERIES["exercise_scores"] = (exercise_scores, _exercise_sql())
-QUERIES["near_turns_by_terms"] = (
-    near_turns_by_terms,
-    f"""WITH s AS (SELECT conv_id || ':' || turn AS id, role, list_distinct(list_filter({TERMS_SQL.replace('text', 'substr(text, 1, 180)')}, lambda t: length(t) >= 2)) AS t FROM conversations),
-    e AS (SELECT id, role, unnest(t) AS term, len(t) AS n FROM s)
-    SELECT a.id AS a, b.id AS b, round(2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) AS dice FROM e a JOIN e b ON a.role = b.role AND a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING round(2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) >= 0.78""",
-)
+    terms = TERMS_SQL.replace("text", "substr(content, 1, 180)")
+    return f"""WITH s AS (SELECT id, list_sort(list_distinct(list_filter({terms}, lambda t: length(t) >= 2))) AS t FROM {judging.PIECES}),
+    c AS (SELECT min(id) AS a, t FROM s WHERE len(t) > 0 GROUP BY t), e AS (SELECT a, unnest(t) AS term, len(t) AS n FROM c),
+    p AS (SELECT y.a AS a, min(x.a) AS near FROM (SELECT x.a AS xa, y.a AS ya FROM e x JOIN e y ON x.term = y.term AND x.a < y.a GROUP BY x.a, y.a HAVING round(2 * count(*) / (any_value(x.n) + any_value(y.n)), 6) >= 0.78) z JOIN c x ON x.a = z.xa JOIN c y ON y.a = z.ya GROUP BY y.a)
+    SELECT s.id, coalesce(p.near, c.a, s.id) AS representative FROM s LEFT JOIN c USING (t) LEFT JOIN p ON p.a = c.a"""
 
 
 def preflight_rollup(spark, d):
-    """Of each source's documents how many are good, borderline and bad, and how to read the source."""
-    letters = F.regexp_count(F.col("text"), F.lit(r"\p{L}")) / F.greatest(F.char_length("text"), F.lit(1))
-    grade = F.when(letters >= 0.75, "good").when(letters >= 0.6, "borderline").otherwise("bad")
-    rows = docs(spark, d).withColumn("grade", grade)
+    """Of each source's documents how many are good, borderline and bad by their quality score, and how to read the source."""
+    scored = rules.applied(docs(spark, d), rules.quality(rules.Spark(), "text"))
+    grade = F.when(F.col("q_score") >= rules.CERTAIN, "good").when(F.col("q_score") >= rules.BORDERLINE, "borderline").otherwise("bad")
     n, bad = F.count("*"), F.count_if(F.col("grade") == "bad")
     ratio = bad / n
-    return rows.groupBy("source").agg(
+    return scored.withColumn("grade", grade).groupBy("source").agg(
         n.alias("pages"),
         F.count_if(F.col("grade") == "good").alias("good"),
         F.count_if(F.col("grade") == "borderline").alias("borderline"),
@@ -319,13 +263,6 @@ def conversation_titles(spark, d):
     return first.select("conv_id", T.preview(F.col("text"), 80).alias("title"))
 
 
-def asked_numbers(spark, d):
-    """The last number that a user named in a conversation, and in which turn."""
-    found = F.regexp_extract("text", r"(?:^|[^\p{L}\p{N}.@])(\d{1,3})(?:$|[^\p{L}\p{N}.@])", 1)
-    rows = read(spark, d, "conversations").filter("role = 'user'").withColumn("x", F.nullif(found, F.lit(""))).filter("x IS NOT NULL")
-    return rows.groupBy("conv_id").agg(F.max_by("x", "turn").alias("number"), F.max("turn").alias("turn"))
-
-
 def posting_coverage(spark, d):
     """Of each language's documents those with postings, with a vector, and with both."""
     has_terms = F.regexp(F.col("text"), F.lit(r"[\p{L}\p{N}]"))
@@ -334,21 +271,18 @@ def posting_coverage(spark, d):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(has_terms).alias("sparse"), F.count_if(v).alias("dense"), F.count_if(has_terms & v).alias("both"))
 
 
+QUERIES["near_blocks"] = (near_blocks, _near_sql())
 QUERIES["preflight_rollup"] = (
     preflight_rollup,
-    r"""SELECT source, count(*) AS pages, count(*) FILTER (x >= 0.75) AS good, count(*) FILTER (x >= 0.6 AND x < 0.75) AS borderline, count(*) FILTER (x < 0.6) AS bad,
+    f"""SELECT source, count(*) AS pages, count(*) FILTER (x >= 0.85) AS good, count(*) FILTER (x >= 0.6 AND x < 0.85) AS borderline, count(*) FILTER (x < 0.6) AS bad,
     CASE WHEN count(*) FILTER (x < 0.6) / count(*) <= 0.02 THEN 'native_only' WHEN count(*) FILTER (x < 0.6) / count(*) >= 0.6 THEN 'ocr_heavy' ELSE 'mixed' END AS strategy,
     CASE WHEN count(*) >= 150 OR count(*) FILTER (x < 0.6) / count(*) >= 0.6 THEN 'high' WHEN count(*) >= 40 OR count(*) FILTER (x < 0.6) / count(*) > 0.02 THEN 'medium' ELSE 'low' END AS complexity
-    FROM (SELECT source, len(regexp_extract_all(text, '\p{L}'))::DOUBLE / greatest(length(text), 1) AS x FROM documents) GROUP BY source""",
+    FROM (SELECT source, q_score AS x FROM {rules.stated('documents', rules.quality(rules.Duck(), 'text'))}) GROUP BY source""",
 )
 QUERIES["conversation_titles"] = (
     conversation_titles,
     rf"SELECT conv_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(t[1:79]) || '…' END AS title FROM (SELECT conv_id, trim(regexp_replace(arg_min(text, turn), '{WS}', ' ', 'g')) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)",
 )
-QUERIES["asked_numbers"] = (
-    asked_numbers,
-    r"SELECT conv_id, arg_max(x, turn) AS number, max(turn) AS turn FROM (SELECT conv_id, turn, nullif(regexp_extract(text, '(?:^|[^\p{L}\p{N}.@])(\d{1,3})(?:$|[^\p{L}\p{N}.@])', 1), '') AS x FROM conversations WHERE role = 'user') WHERE x IS NOT NULL GROUP BY conv_id",
-)
 QUERIES["posting_coverage"] = (
     posting_coverage,
     r"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS sparse, count(vec_id) AS dense, count(vec_id) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS both FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY lang",
