@@ -35,10 +35,10 @@ ORDER = 5
 HEAVY = 1_000_000
 SENT = 4_000_000
 #: Distinct words, or grams, that a task gathers before it hands them on.
-GATHERED = 400_000
-GATHERED_GRAMS = 2_000_000
+GATHERED = 150_000
+GATHERED_GRAMS = 1_000_000
 #: Bytes whose grams are looked at once, and grams that are scored at once (a two-byte context with more is whole).
-CODED = 4_000_000
+CODED = 1_000_000
 LOT = 500_000
 #: Bytes of texts whose rare grams are asked for together.
 CHUNK = 64_000_000
@@ -316,14 +316,15 @@ class Known:
         return sum(found.values()), int(n[self.known[k]].sum()), int(n @ self.base[k]), rest
 
 
-#: kind 0: answers (key, value, known) of a chunk; kind 1: its texts, with the places of their keys among the chunk's.
-CHUNK_ROWS = "chunk long, kind int, key long, value long, known boolean, id {id}, n_tokens long, n_known long, base long, ppm long, at array<int>"
+#: place: twice a chunk's number for its requests and answers (key, and twice the value plus whether a word is known), one more for its texts,
+#: with the places of their keys among the chunk's.
+CHUNK_ROWS = "place long, key long, value long, doc struct<id:{id},n_tokens:bigint,n_known:bigint,base:bigint,ppm:bigint,at:array<int>>"
+DOC = ["id", "n_tokens", "n_known", "base", "ppm", "at"]
 
 
 def chunk_rows(docs: DataFrame, shared) -> DataFrame:
-    """Of (id, text): requests (kind 0, without value) and texts (kind 1), chunk by chunk."""
+    """Of (id, text): requests, without value, and texts, chunk by chunk."""
     schema = CHUNK_ROWS.format(id=docs.schema["id"].dataType.simpleString())
-    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         known, task = shared.value, TaskContext.get().partitionId()
@@ -332,17 +333,19 @@ def chunk_rows(docs: DataFrame, shared) -> DataFrame:
         def rows():
             every = np.concatenate([k for k, _ in rare])
             asked, place = np.unique(every, return_inverse=True)
-            chunk = task << 32 | number
-            n = len(asked)
-            nothing = [pa.nulls(n, kind) for kind in (pa.int64(), pa.bool_(), held[0][0].type, *[pa.int64()] * 4, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.zeros(n, np.int32)), pa.array(asked), *nothing], names=names)
+            place_of = (task << 31 | number) << 1
+            kind = pa.struct([(n, held[0][0].type if n == "id" else pa.list_(pa.int32()) if n == "at" else pa.int64()) for n in DOC])
+
+            def batch_of(where, keys, docs_):
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), where)), pa.array(keys), pa.nulls(len(keys), pa.int64()), docs_], names=["place", "key", "value", "doc"])
+
+            yield batch_of(place_of, asked, pa.nulls(len(asked), kind))
             begin = 0
             for (ids, *columns), (keys, lengths) in zip(held, rare, strict=True):
-                n, end = len(ids), begin + len(keys)
                 offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
-                at = pa.ListArray.from_arrays(offsets, pa.array(place[begin:end].astype(np.int32)))
-                begin = end
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.ones(n, np.int32)), pa.array(np.arange(n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), ids, *map(pa.array, columns), at], names=names)
+                at = pa.ListArray.from_arrays(offsets, pa.array(place[begin : begin + len(keys)].astype(np.int32)))
+                begin += len(keys)
+                yield batch_of(place_of + 1, np.arange(len(ids)), pa.StructArray.from_arrays([ids, *map(pa.array, columns), at], fields=list(kind)))
 
         for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
@@ -369,40 +372,40 @@ def answered(rows: DataFrame) -> DataFrame:
     """(id, n_tokens, n_known, base, ppm) of the texts in ``rows`` (CHUNK_ROWS), with the answers of their chunks added."""
 
     def run(batches):
-        chunk, parts = None, []
-        table = None
+        place, parts, table = None, [], None
 
         def sums(offsets, values):
             total = np.r_[0, np.cumsum(values)]
             return total[offsets[1:]] - total[offsets[:-1]]
 
         for batch in batches:
-            chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(chunks):
+            places = batch.column(0).to_numpy()
+            if not len(places):
                 continue
-            cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(chunks)], strict=True):
+            cuts = np.flatnonzero(places[1:] != places[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(places)], strict=True):
                 part = batch.slice(a, b - a)
-                if chunks[a] != chunk:
-                    chunk, parts, table = chunks[a], [], None
-                if kinds[a] == 0:
-                    parts.append([part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)])
+                if place is None or places[a] >> 1 != place >> 1:
+                    parts, table = [], None
+                place = places[a]
+                if place & 1 == 0:
+                    parts.append([part.column(k).to_numpy() for k in (1, 2)])
                     continue
                 if table is None:
-                    key, value, known = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+                    key, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
                     order = np.argsort(key)
-                    key, value, known = key[order], value[order], known[order]
+                    key, value = key[order], value[order]
                     is_word = key >= WORD_KEY
-                    table, parts = (np.where(is_word, 0, value), np.where(is_word, value, 0), known.astype(np.int64)), []
-                lists = part.column(10)
+                    table, parts = (np.where(is_word, 0, value >> 1), np.where(is_word, value >> 1, 0), value & 1), []
+                ids, *own, lists = part.column(3).flatten()
                 offsets = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
                 at = lists.flatten().to_numpy()
                 ppm, base, n_known = (sums(offsets, x[at]) if len(at) else np.zeros(b - a, np.int64) for x in table)
-                own = [part.column(k).to_numpy() for k in (6, 7, 8, 9)]
-                yield pa.RecordBatch.from_arrays([part.column(5), *map(pa.array, (own[0], own[1] + n_known, own[2] + base, own[3] + ppm))], names=["id", "n_tokens", "n_known", "base", "ppm"])
+                own = [x.to_numpy() for x in own]
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (own[0], own[1] + n_known, own[2] + base, own[3] + ppm))], names=DOC[:5])
 
-    in_order = rows.repartition("chunk").sortWithinPartitions(F.col("chunk") * 2 + F.col("kind"))
-    return in_order.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base long, ppm long")
+    in_order = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
+    return in_order.mapInArrow(run, f"id {rows.schema['doc'].dataType['id'].dataType.simpleString()}, n_tokens long, n_known long, base long, ppm long")
 
 
 def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -437,7 +440,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
         for batch in batches:
             c = batch.column(1).to_numpy()
             keys = np.array([word_key(w) for w in batch.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base(c)), pa.array(c > 0)], names=["key", "value", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base(c) << 1 | (c > 0))], names=["key", "value"])
 
     # Words of more than 1/HEAVY of all tokens: fewer than HEAVY
     is_heavy = F.col("n") >= max(2, all_words / HEAVY)
@@ -447,10 +450,11 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     del hot, heavy
 
     rows = checkpoint(chunk_rows(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), shared))
-    rare = by_gram.filter(~is_hot).select(F.col("gram").alias("key"), F.col("p").alias("value"), F.lit(False).alias("known"))
-    rare = rare.unionByName(counts.filter(~is_heavy).select("word", "c").mapInArrow(coded, "key long, value long, known boolean"))
-    answers = rows.filter("kind = 0").drop("value", "known").join(rare, "key").select(*rows.columns)
-    found = answered(answers.unionByName(rows.filter("kind = 1")))
+    rare = by_gram.filter(~is_hot).select(F.col("gram").alias("key"), F.shiftleft("p", 1).alias("value"))
+    rare = rare.unionByName(counts.filter(~is_heavy).select("word", "c").mapInArrow(coded, "key long, value long"))
+    is_request = F.col("place").bitwiseAND(1) == 0
+    answers = rows.filter(is_request).select("place", "key").join(rare, "key").select("place", "key", "value", F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"))
+    found = answered(answers.unionByName(rows.filter(~is_request)))
     end_base, end_known = int(base(texts)), int(bool(texts))
     return found.select(
         F.col("id").alias(doc_id),
