@@ -20,22 +20,3 @@ def word_windows(docs: DataFrame, doc_id: str = "doc_id", body: str = "text", wo
 def lines(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
     """(doc_id, line_no, line): non-blank lines in order."""
     return docs.select(doc_id, F.posexplode(F.split(F.col(body), "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
-
-
-def packed(units: DataFrame, doc_id: str, place: str, unit: str, budget: int) -> DataFrame:
-    """(doc_id, chunk_index, n_units, tokens): units packed greedily, in order, to at most ``budget`` tokens.
-
-    A unit that alone is over the budget makes a chunk of its own. The fold runs over one document's units.
-    """
-    sized = units.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct(F.col(place), text.token_estimate(F.col(unit)).alias("n")))).alias("units"))
-    empty = F.array().cast("array<struct<u:int,t:int>>")
-
-    def add(chunks, x):
-        n = x["n"]
-        last = F.element_at(chunks, -1)
-        fits = (F.size(chunks) > 0) & (F.try_element_at(chunks, F.lit(-1))["t"] + n <= budget)
-        grown = F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(F.struct((last["u"] + 1).alias("u"), (last["t"] + n).alias("t"))))
-        return F.when(fits, grown).otherwise(F.concat(chunks, F.array(F.struct(F.lit(1).alias("u"), n.alias("t")))))
-
-    chunks = sized.select(doc_id, F.aggregate("units", empty, add).alias("chunks"))
-    return chunks.select(doc_id, F.posexplode("chunks").alias("chunk_index", "c")).select(doc_id, "chunk_index", F.col("c.u").alias("n_units"), F.col("c.t").alias("tokens"))

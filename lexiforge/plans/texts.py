@@ -89,13 +89,6 @@ def word_windows(spark, d):
     return w.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_words").cast("long").alias("n_words"), F.md5("content").alias("digest"))
 
 
-def packed_chunks(spark, d):
-    """Lines packed greedily into chunks of at most 256 tokens."""
-    units = segmentation.lines(docs(spark, d))
-    c = segmentation.packed(units, "doc_id", "line_no", "line", 256)
-    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_units").cast("long").alias("n_units"), F.col("tokens").cast("long").alias("tokens"))
-
-
 def chunk_digests(spark, d):
     digest = T.chunk_digest(F.col("text"), F.lit("text"), F.lit(None).cast("int"), F.lit(1), "v1")
     return docs(spark, d).select("doc_id", digest.alias("digest"))
@@ -181,12 +174,6 @@ QUERIES = {
         word_windows,
         f"SELECT doc_id, k AS chunk_index, len(part) AS n_words, md5(array_to_string(part, ' ')) AS digest FROM (SELECT doc_id, k, w[k * 360 + 1 : k * 360 + 360] AS part FROM (SELECT doc_id, w, unnest(range((len(w) + 359) // 360)) AS k FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)))",
     ),
-    "packed_chunks": (
-        packed_chunks,
-        f"""WITH RECURSIVE l AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM (SELECT doc_id, line_no, {TOKENS_SQL.replace('text', 'line')} AS n FROM (SELECT doc_id, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE trim(line) <> '')),
-        f AS (SELECT doc_id, i, 0 AS c, n AS t FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, CASE WHEN f.t + l.n <= 256 THEN f.c ELSE f.c + 1 END, CASE WHEN f.t + l.n <= 256 THEN f.t + l.n ELSE l.n END FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
-        SELECT doc_id, c AS chunk_index, count(*) AS n_units, max(t) AS tokens FROM f GROUP BY doc_id, c""",
-    ),
     "chunk_digests": (chunk_digests, f"SELECT doc_id, {CHUNK_SQL} AS digest FROM documents"),
     "point_ids": (
         point_ids,
