@@ -8,12 +8,12 @@ one-deletion neighbours (units: 2), which find those that differ in one element
 H + 1 units in all cannot each hold more differences than they tolerate, so that one of them finds the pair.
 
 Allocation by cost: small bands take neighbours (few, large segments: selective, a signature for each
-element), large bands plain subsets (a signature for every five elements or so). Each band has spare
-segments. In a large band a pair is alike in more segments than a set may leave out, so that each set leaves
-out the ``spare`` segments that cost most in an order common to all sets: those of the fewest elements, as
-they are the likeliest to be shared by unrelated sets, ties by signature. The cheapest segment that a pair
-has in common is then indexed by both. In a small band a set leaves out one segment with at most one element if it
-has no more than that one; two such sets leave out two segments, and the band has two to spare.
+element), large bands plain subsets (a signature for every five elements or so). In a small band a segment
+has twelve elements or so, however small the sets, and all segments are indexed: one set in ten thousand has
+a segment of at most one element, which unrelated sets may share. A large band has spare segments: a pair is
+alike in more of them than a set may leave out, so that each set leaves out the ``spare`` segments that cost
+most in an order common to all sets: those of the fewest elements, as they are the likeliest to be shared by
+unrelated sets, ties by signature. The cheapest segment that a pair has in common is then indexed by both.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def band(b: int, percent: int) -> tuple[int, int, int, int]:
     if not differ:
         return low, 0, 0, 0
     if low < SMALL:
-        return low, (differ + 2) // 2 + 2, 1, 2
+        return low, (differ + 2) // 2, 0, 2
     spare = 0
     for _ in range(20):
         mean = low / (differ + 1 + spare)
@@ -141,11 +141,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             cheap = np.lexsort((whole, -count))[: segments - spare]
             numbers.append(whole[cheap])
         else:
-            keep = count > WEAK
-            if segments - keep.sum() > spare:
-                keep[:] = True
             segment = at[order]
-            numbers += [whole[keep], mixed(sums[segment] - element + name[segment])[keep[segment]]]
+            numbers += [whole, mixed(sums[segment] - element + name[segment])]
     return np.unique(np.concatenate(numbers)) if numbers else np.empty(0, U64)
 
 
