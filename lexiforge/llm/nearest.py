@@ -87,6 +87,11 @@ def best_of(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     return np.concatenate([over, tied[np.argsort(ids[tied], kind="stable")][: keep - len(over)]])
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of doubles, summed from the first component to the last."""
+    return np.cumsum(a * b, axis=-1)[..., -1]
+
+
 def sound(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(id, v): vectors of doubles that are neither null nor zero and have finite components only, with an id."""
     rows = vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
@@ -115,7 +120,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, books: np.ndarray):
         self.ids, self.v, self.flat = ids, v, books.reshape(-1, v.shape[1])
-        self.lengths = np.sqrt(np.einsum("ij,ij->i", v, v))
+        self.lengths = np.sqrt(products(v, v))
         coded = [encoded(unit(v[k : k + BLOCK]), books) for k in range(0, len(v), BLOCK)]
         codes = np.concatenate([c for c, _ in coded])
         self.norms = np.maximum(np.concatenate([n for _, n in coded]), 1e-6)
@@ -123,13 +128,13 @@ class Block:
 
     def nearest(self, query: int, q: np.ndarray, nearest: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the nearest vectors but the query's own, of the ``rerank`` best by their codes."""
-        length = np.sqrt(np.einsum("i,i->", q, q))
+        length = np.sqrt(products(q, q))
         table = self.flat @ (q / length).astype(np.float32)
         estimate = table[self.places].sum(0) / self.norms
         estimate[self.ids == query] = -np.inf
         at = best_of(estimate, self.ids, rerank)
         at = at[self.ids[at] != query]
-        exact = np.einsum("ij,j->i", self.v[at], q) / (self.lengths[at] * length)
+        exact = products(self.v[at], q) / (self.lengths[at] * length)
         best = np.lexsort((self.ids[at], -exact))[:nearest]
         return self.ids[at][best], exact[best]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extraction, lm_scoring, nearest, ngram_jaccard, sharding, substring_dedup, token_counts, toxicity
+from . import bpe, decontamination, html_extraction, lm_scoring, nearest, ngram_jaccard, oracles, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries():
@@ -21,4 +21,9 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_ngram_jaccard": oracles.ngram_jaccard(),
+        "op6_decontamination": oracles.decontamination(),
+        "op7_nearest": oracles.nearest(),
+        "op10_lm_scoring": oracles.lm_scoring(),
+    }

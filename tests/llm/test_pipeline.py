@@ -101,3 +101,16 @@ def test_operators_say_what_they_do():
 def test_folds_of_null_ids(spark):
     row = spark.createDataFrame([(None,)], "i long").select(toxicity.fold(F.col("i"), 5).alias("f")).first()
     assert row.f == 0
+
+
+def test_queries_equal_their_sql(spark):
+    from lexiforge.llm import registry
+
+    from ..oracle import connected
+
+    d = "/root/testdata/sf0.001"
+    con = connected(d)
+    for name, sql in registry.oracle_sql().items():
+        want = con.sql(sql)
+        got = [tuple(r[c] for c in want.columns) for r in registry.queries()[name](spark, d).collect()]
+        assert sorted(got, key=str) == sorted(want.fetchall(), key=str), name
