@@ -1,4 +1,4 @@
-"""SQL with the rows of the registered queries, for those that SQL can express: operators 5, 6, 7 and 10."""
+"""SQL with the rows of the registered queries, for those that SQL can express: operators 1, 5 to 8 and 10."""
 
 from __future__ import annotations
 
@@ -75,3 +75,38 @@ def lm_scoring(folds: int = 7, held_out: int = 2, order: int = 5, unit: float =
     s AS (SELECT gram, round_even(({terms} - CASE WHEN {never} THEN log10(greatest(1, 256 - (SELECT count(*) FROM e0))::DOUBLE) ELSE 0 END) * {unit}, 0)::HUGEINT AS p FROM g {' '.join(joins)}),
     z AS (SELECT doc_id, sum(s.p)::DOUBLE / {unit} AS score FROM p JOIN s USING (gram) GROUP BY doc_id)
     SELECT doc_id, fold = {held_out} AS held_out, n_tokens, n_known, train_tokens, base_score, score FROM b JOIN z USING (doc_id) JOIN t USING (doc_id)"""
+
+
+def html_extraction() -> str:
+    """The article's blocks of the given pages, whose articles hold headlines, paragraphs, line breaks and bold text only."""
+    article = r"regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1)"
+    plain = rf"regexp_replace(regexp_replace({article}, '</?(?:p|h1|br)(?:\s[^>]*)?/?>', ' ', 'g'), '</?b>', '', 'g')"
+    said = rf"regexp_replace(replace({plain}, '&quot;', '\"'), '&amp;?', '&', 'g')".replace('\\"', '"')
+    return rf"""SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (SELECT page_id, url, trim(regexp_replace({said}, '[\p{{Z}}\x09-\x0D\x1C-\x1F\x{{85}}]+', ' ', 'g'), ' ') AS text FROM pages)"""
+
+
+def substring_dedup(min_bytes: int = 80) -> str:
+    """Chunk ends from the sixteen bytes before them, the first document of each chunk, runs of partners in one piece."""
+    from .substring_dedup import ENDS, GEAR, INNER
+
+    gear = "[" + ", ".join(map(str, GEAR.tolist())) + "]"
+    rolled = " + ".join(f"coalesce(lag(g, {j}) OVER w, 0) * {1 << j}" for j in range(16))
+    blank = "b <= 32 OR (b1 = 194 AND b = 160) OR (b2 = 226 AND b1 = 128 AND b BETWEEN 128 AND 138) OR (b2 = 227 AND b1 = 128 AND b = 128)"
+    return f"""WITH t AS (SELECT doc_id AS key, ('0x' || md5(text)[1:15])::BIGINT AS version, hex(encode(text)) AS code, strlen(text) AS n FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
+    p AS (SELECT key, version, n, i, ('0x' || substr(code, 2 * i + 1, 2))::INT AS b FROM (SELECT *, unnest(range(n)) AS i FROM t)),
+    q AS (SELECT *, ({gear})[b + 1]::BIGINT AS g, lag(b, 1) OVER w AS b1, lag(b, 2) OVER w AS b2, lead(b) OVER w AS after FROM p WINDOW w AS (PARTITION BY key, version ORDER BY i)),
+    r AS (SELECT key, version, n, i, after, ({rolled}) % 65536 // 256 AS h, coalesce({blank}, false) AS blank FROM q WINDOW w AS (PARTITION BY key, version ORDER BY i)),
+    s AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY key, version ORDER BY i ROWS 15 PRECEDING) AS blanks FROM r),
+    e AS (SELECT key, version, i + 1 AS stop FROM s WHERE i + 1 = n OR (i >= 15 AND (blank AND h < {ENDS} OR blanks = 0 AND after // 64 <> 2 AND h < {INNER}))),
+    c AS (SELECT key, version, lag(stop, 1, 0) OVER (PARTITION BY key, version ORDER BY stop) AS start, stop FROM e),
+    d AS (SELECT c.*, substr(code, 2 * start + 1, 2 * (stop - start)) AS chunk FROM c JOIN t USING (key, version)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key, version, chunk ORDER BY start) AS k FROM d),
+    f AS (SELECT chunk, k, min((key, version, start)) AS spot, max(key) AS final FROM o GROUP BY chunk, k),
+    j AS (SELECT o.key, o.version, o.start, o.stop, spot[1] AS first, spot[2] AS first_version, spot[3] AS first_start FROM o JOIN f USING (chunk, k) WHERE spot[1] < final),
+    y AS (SELECT *, coalesce(first < key AND lag(first) OVER w < key AND lag(first) OVER w = first AND lag(first_version) OVER w = first_version AND lag(stop) OVER w = start AND first_start - lag(first_start) OVER w = start - lag(start) OVER w, false) AS goes_on FROM j WINDOW w AS (PARTITION BY key, version ORDER BY start)),
+    u AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY key, version ORDER BY start) AS run FROM y),
+    l AS (SELECT key, version, min(start) AS start, max(stop) AS stop, any_value(first) AS first, any_value(first_version) AS first_version, min(first_start) AS first_start FROM u WHERE first < key GROUP BY key, version, run HAVING max(stop) - min(start) >= {min_bytes}),
+    m AS (SELECT DISTINCT first AS key, first_version AS version, first_start AS start, first_start + stop - start AS stop FROM l),
+    x AS (SELECT *, sum(apart) OVER (PARTITION BY key, version ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY key, version ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY key, version ORDER BY start, stop) = 1 THEN 1 ELSE 0 END AS apart FROM m))
+    SELECT key AS doc_id, start::INT AS start_byte, stop::INT AS end_byte, false AS kept, first AS first_doc_id, version FROM l
+    UNION ALL SELECT key, min(start)::INT, max(stop)::INT, true, key, version FROM x GROUP BY key, version, island"""

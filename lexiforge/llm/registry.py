@@ -22,8 +22,10 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_html_extraction": oracles.html_extraction(),
         "op5_ngram_jaccard": oracles.ngram_jaccard(),
         "op6_decontamination": oracles.decontamination(),
         "op7_nearest": oracles.nearest(),
+        "op8_substring_dedup": oracles.substring_dedup(),
         "op10_lm_scoring": oracles.lm_scoring(),
     }

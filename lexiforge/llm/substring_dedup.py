@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MAP_BITS, bit_map, checkpoint, is_set, may_have, sliced
@@ -182,8 +182,13 @@ def passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return later.select("key", "version", "start", "end", F.lit(False).alias("kept"), "first").unionByName(kept.select("key", "version", "start", "end", F.lit(True).alias("kept"), F.col("key").alias("first")))
 
 
+def version_of(text: Column) -> Column:
+    """60 bits of a text's MD5, 0 for null: tells several texts of one id apart."""
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).filter("key IS NOT NULL")
+    return docs.select(F.col(doc_id).cast("long").alias("key"), version_of(F.col(text)).alias("version"), F.col(text).alias("text")).filter("key IS NOT NULL")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -217,7 +222,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes
     names = docs.columns
     spans = checkpoint(spans)
     may_cut = F.coalesce(F.col(doc_id).isNotNull() & may_have(spans.select(F.col("__key").alias("key")), F.col(doc_id)), F.lit(False))
-    same = (F.col(doc_id).cast("long") == F.col("__key")) & (F.xxhash64(text) == F.col("__version"))
+    same = (F.col(doc_id).cast("long") == F.col("__key")) & (version_of(F.col(text)) == F.col("__version"))
     joined = docs.filter(may_cut).join(spans, same, "left")
     done = joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__spans")))).select(*names)
     return docs.filter(~may_cut).unionByName(done)
@@ -227,7 +232,7 @@ def query(spark, sf_dir):
     """The repeated passages of all documents: where they lie, whether the document keeps them, and the first that has them.
 
     Null ids and texts have no passage; rows of one id share none with each other; repeated rows come once.
-    ``version`` (xxhash64 of the text) tells several texts of one id apart. An empty table gives an empty one.
+    ``version`` (``version_of`` the text) tells several texts of one id apart. An empty table gives an empty one.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = passages(keyed(docs, "doc_id", "text"))
