@@ -316,9 +316,8 @@ class Known:
         return sum(found.values()), int(n[self.known[k]].sum()), int(n @ self.base[k]), rest
 
 
-#: place: twice a chunk's number for its requests and answers (key, and twice the value plus whether a word is known), one more for its texts,
-#: with the places of their keys among the chunk's.
-CHUNK_ROWS = "place long, key long, value long, doc struct<id:{id},n_tokens:bigint,n_known:bigint,base:bigint,ppm:bigint,at:array<int>>"
+#: place: twice a chunk's number for its requests (key), one more for its texts, with the places of their keys among the chunk's.
+CHUNK_ROWS = "place long, key long, doc struct<id:{id},n_tokens:bigint,n_known:bigint,base:bigint,ppm:bigint,at:array<int>>"
 DOC = ["id", "n_tokens", "n_known", "base", "ppm", "at"]
 
 
@@ -337,7 +336,7 @@ def chunk_rows(docs: DataFrame, shared) -> DataFrame:
             kind = pa.struct([(n, held[0][0].type if n == "id" else pa.list_(pa.int32()) if n == "at" else pa.int64()) for n in DOC])
 
             def batch_of(where, keys, docs_):
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), where)), pa.array(keys), pa.nulls(len(keys), pa.int64()), docs_], names=["place", "key", "value", "doc"])
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), where)), pa.array(keys), docs_], names=["place", "key", "doc"])
 
             yield batch_of(place_of, asked, pa.nulls(len(asked), kind))
             begin = 0
@@ -368,8 +367,35 @@ def chunk_rows(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def answered(rows: DataFrame) -> DataFrame:
-    """(id, n_tokens, n_known, base, ppm) of the texts in ``rows`` (CHUNK_ROWS), with the answers of their chunks added."""
+def packed(answers: DataFrame) -> DataFrame:
+    """(place, keys, values) of ``answers`` (place, key, value): those of a chunk that a task has, in one row."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def rows():
+            place, key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(place, kind="stable")
+            place, key, value = place[order], key[order], value[order]
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1), len(place)]
+            parts = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in (key, value)]
+            return pa.RecordBatch.from_arrays([pa.array(place[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in parts)], names=["place", "keys", "values"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(k).to_numpy() for k in range(3)])
+                size += batch.num_rows
+            if size > 2 * GATHERED_GRAMS:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
+    return answers.mapInArrow(run, "place long, keys binary, values binary")
+
+
+def answered(answers: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n_tokens, n_known, base, ppm) of ``texts`` (place, doc) with the ``answers`` (place, keys, values) of their chunks added."""
 
     def run(batches):
         place, parts, table = None, [], None
@@ -389,7 +415,7 @@ def answered(rows: DataFrame) -> DataFrame:
                     parts, table = [], None
                 place = places[a]
                 if place & 1 == 0:
-                    parts.append([part.column(k).to_numpy() for k in (1, 2)])
+                    parts += zip(*([np.frombuffer(x, np.int64) for x in part.column(k).to_pylist()] for k in (1, 2)), strict=True)
                     continue
                 if table is None:
                     key, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
@@ -404,6 +430,8 @@ def answered(rows: DataFrame) -> DataFrame:
                 own = [x.to_numpy() for x in own]
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (own[0], own[1] + n_known, own[2] + base, own[3] + ppm))], names=DOC[:5])
 
+    nothing = F.lit(None).cast("binary")
+    rows = answers.withColumn("doc", F.lit(None).cast(texts.schema["doc"].dataType)).unionByName(texts.select("place", nothing.alias("keys"), nothing.alias("values"), "doc"))
     in_order = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     return in_order.mapInArrow(run, f"id {rows.schema['doc'].dataType['id'].dataType.simpleString()}, n_tokens long, n_known long, base long, ppm long")
 
@@ -450,11 +478,12 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     del hot, heavy
 
     rows = checkpoint(chunk_rows(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), shared))
+    # twice the value, and one more for a known word
     rare = by_gram.filter(~is_hot).select(F.col("gram").alias("key"), F.shiftleft("p", 1).alias("value"))
     rare = rare.unionByName(counts.filter(~is_heavy).select("word", "c").mapInArrow(coded, "key long, value long"))
     is_request = F.col("place").bitwiseAND(1) == 0
-    answers = rows.filter(is_request).select("place", "key").join(rare, "key").select("place", "key", "value", F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"))
-    found = answered(answers.unionByName(rows.filter(~is_request)))
+    answers = rows.filter(is_request).select("place", "key").join(rare, "key").select("place", "key", "value")
+    found = answered(packed(answers), rows.filter(~is_request).select("place", "doc"))
     end_base, end_known = int(base(texts)), int(bool(texts))
     return found.select(
         F.col("id").alias(doc_id),
