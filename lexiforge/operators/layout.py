@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,19 +26,31 @@ def visual_lines(boxes: DataFrame, page: str, top: str, left: str, text: str, ga
     to the line's first box, so that the lines are a fold over one page's boxes.
     """
     listed = boxes.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(top).cast("double").alias("t"), F.col(left).cast("double").alias("l"), F.col(text).alias("x")))).alias("boxes"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("head"), F.array().cast("array<struct<line:int,l:double,x:string>>").alias("out"))
-
-    def step(s, b):
-        new = (s["line"] < 0) | (b["t"] - s["head"] > gap)
-        line = F.when(new, s["line"] + 1).otherwise(s["line"])
-        head = F.when(new, b["t"]).otherwise(s["head"])
-        return F.struct(line.alias("line"), head.alias("head"), F.concat(s["out"], F.array(F.struct(line.alias("line"), b["l"].alias("l"), b["x"].alias("x")))).alias("out"))
-
-    rows = listed.select(page, F.inline(F.aggregate("boxes", start, step, lambda s: s["out"])))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l", "x"))), lambda b: b["x"]), " ")
-    back = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l", "x")), asc=False), lambda b: b["x"]), " ")
-    arabic, latin = (F.regexp_count(whole, F.lit(p)) for p in ("[؀-ۿ]", "[A-Za-zÀ-ɏ]"))
-    return rows.groupBy(page, "line").agg(F.when(arabic > latin, back).otherwise(whole).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            out = [(p, n, line) for p, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, line in enumerate(lines_of(b, gap))]
+            kinds = (batch.column(0).type, pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)], names=[page, "line", "text"])
+
+    return listed.mapInArrow(run, f"{page} {boxes.schema[page].dataType.simpleString()}, line long, text string")
+
+
+def lines_of(boxes: list[dict], gap: float) -> list[str]:
+    """Texts of the lines of one page's boxes, which come from top to bottom."""
+    lines: list[list[tuple]] = []
+    head = 0.0
+    for b in boxes:
+        if not lines or b["t"] - head > gap:
+            lines.append([])
+            head = b["t"]
+        lines[-1].append((b["l"], b["x"] or ""))
+    out = []
+    for line in lines:
+        whole = " ".join(x for _, x in sorted(line))
+        arabic, latin = (len(re.findall(p, whole)) for p in ("[؀-ۿ]", "[A-Za-zÀ-ɏ]"))
+        out.append(" ".join(x for _, x in sorted(line, reverse=True)) if arabic > latin else whole)
+    return out
 
 
 def captions(images: DataFrame, texts: DataFrame, page: str, most: float = 120.0) -> DataFrame:

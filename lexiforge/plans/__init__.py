@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import chunking, judging, keeping, parsing, relating, retrieving, texts
+from . import arranging, chunking, judging, keeping, parsing, relating, retrieving, texts
 
 FLAGSHIP = "source_summary"
-GROUPS = (relating, texts, retrieving, judging, keeping, parsing, chunking)
+GROUPS = (relating, texts, retrieving, judging, keeping, parsing, chunking, arranging)
 
 
 def queries():
