@@ -1,7 +1,8 @@
 """A training corpus out of raw documents: five stages, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents.
+documents, others that ``docs`` has included, whatever their names. Rows with a null id pass every stage;
+null and empty texts are no near copies, hold nothing and have no tokens. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,25 +18,28 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models don't predict as toxic."""
+    """Documents that the class-conditional models don't predict as toxic. Repeated rows share their fate; without labels of both classes all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = toxicity.score(docs, toxicity.fit(docs, labels), name="__score")
     return scored.filter("__score < 0.5").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies, that of the smallest id: five-word shingles, a Jaccard similarity of 0.8 or more.
+
+    Of repeated rows of an id one stays.
+    """
     return ngram_jaccard.first_of_each(docs, words=5, percent=80)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; a passage that several have stays in the first one only. ``n_chars`` follows the text."""
+    """All documents; a passage that several have stays in the one of the smallest id only. ``n_chars`` follows the text."""
     kept = substring_dedup.dedup(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; of an id with several texts none stays if one holds an item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return docs.join(decontamination.contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
