@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +90,24 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def folded(c: Column) -> Column:
+    """Without marks, in folded case, collapsed: texts that differ in accents and case only are equal."""
+    def plain(t: str) -> str:
+        return "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn").casefold()
+
+    @F.arrow_udf("string")
+    def fold(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else plain(t) for t in texts.to_pylist()], pa.string())
+
+    return collapsed(fold(c))
+
+
+def term_id(c: Column) -> Column:
+    """The stable 31-bit number of a term: the first four bytes of its BLAKE2b digest of that size, without the sign."""
+    @F.arrow_udf("long")
+    def number(terms: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "big") & 0x7FFFFFFF for t in terms.to_pylist()], pa.int64())
+
+    return number(c)

@@ -59,3 +59,21 @@ def islands(rows: DataFrame, group: str, order: list[str], same: Column) -> Data
     w = Window.partitionBy(group).orderBy(*order)
     start = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
     return rows.withColumn("__start", start).withColumn("island", F.sum("__start").over(w)).drop("__start")
+
+
+def owned(table: DataFrame, changes: DataFrame, key: str, owner: str) -> DataFrame:
+    """The table after the changes that its rows' own owners make; a foreign change is as one of a row that isn't there."""
+    return upsert(table, changes.join(table.select(key, owner), [key, owner], "left_semi").select(*table.columns), [key])
+
+
+def attached(points: DataFrame, vectors: DataFrame, key: str, name: str) -> DataFrame:
+    """``points`` with a vector for those that are there, ``name``; (key, missing) vectors without a point make none."""
+    return points.join(vectors.select(key, name), key, "left")
+
+
+def appended(turns: DataFrame, exchanges: DataFrame, key: str, turn: str) -> DataFrame:
+    """``turns`` (key, turn, role, text) with each exchange (key, question, answer) after its conversation's last turn."""
+    last = turns.groupBy(key).agg(F.max(turn).alias("__last"))
+    both = F.array(F.struct(F.lit(1).alias("n"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(2).alias("n"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))
+    new = exchanges.join(last, key, "left").select(key, F.coalesce("__last", F.lit(0)).alias("__last"), F.inline(both))
+    return turns.select(key, turn, "role", "text").unionByName(new.select(key, (F.col("__last") + F.col("n")).alias(turn), "role", "text"))

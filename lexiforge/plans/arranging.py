@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import checks, contexts, layout, tables
 from .judging import PIECES, pieces
 
@@ -95,6 +96,31 @@ def deleted_points(spark, d):
     return tables.delete(read(spark, d, "documents").select("doc_id", "lang"), gone, ["doc_id"])
 
 
+def owned_updates(spark, d):
+    """Customers after changes of their segment, of which every second comes from another nation's user and is dropped."""
+    table = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    changes = table.filter("c_custkey % 3 = 0").selectExpr("c_custkey", "c_nationkey + CAST(c_custkey % 2 AS INT) AS c_nationkey", "'CHANGED' AS c_mktsegment")
+    return tables.owned(table, changes, "c_custkey", "c_nationkey")
+
+
+def attached_vectors(spark, d):
+    """Documents with their vector's first component, where there is one; vectors without a document make no row."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("v"))
+    return tables.attached(read(spark, d, "documents").select("doc_id"), v, "doc_id", "v")
+
+
+def appended_exchanges(spark, d):
+    """Conversations with one more question and answer each, and those that begin with one."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    new = turns.groupBy("conv_id").agg(F.count("*").alias("n")).selectExpr("conv_id + CASE WHEN conv_id % 4 = 0 THEN 1000000 ELSE 0 END AS conv_id", "concat('q', n) AS question", "concat('a', n) AS answer")
+    return tables.appended(turns, new, "conv_id", "turn").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+def folded_texts(spark, d):
+    """Digests of texts without accents and case."""
+    return read(spark, d, "documents").select("doc_id", F.md5(T.folded(F.substring("text", 1, 300))).alias("digest"))
+
+
 TERMS = r"list_distinct(list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+(?:[''’\-][\p{{L}}\p{{N}}]+)*'), lambda t: length(t) >= 2))"
 _BOX = "{0} % 300 AS {1}l, {0} % 700 AS {1}t, {0} % 300 + 50 AS {1}r, {0} % 700 + 40 AS {1}b"
 NORMAL = r"lower(trim(regexp_replace(content, '[\p{Z}\x09-\x0D]+', ' ', 'g')))"
@@ -143,4 +169,12 @@ QUERIES = {
     ),
     "first_contents": (first_contents, f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY document_id, {NORMAL} ORDER BY chunk_index, id) AS place FROM {PIECES}) WHERE place = 1"),
     "deleted_points": (deleted_points, "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
+    "owned_updates": (owned_updates, "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
+    "attached_vectors": (attached_vectors, "SELECT doc_id, round(embedding[1]::DOUBLE, 6) AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id"),
+    "appended_exchanges": (
+        appended_exchanges,
+        """WITH n AS (SELECT conv_id, count(*) AS n, max(turn) AS final FROM conversations GROUP BY conv_id), e AS (SELECT conv_id + CASE WHEN conv_id % 4 = 0 THEN 1000000 ELSE 0 END AS conv_id, CASE WHEN conv_id % 4 = 0 THEN 0 ELSE final END AS final, n FROM n)
+        SELECT conv_id, turn, role, md5(text) AS digest FROM conversations UNION ALL SELECT conv_id, final + 1, 'user', md5('q' || n) FROM e UNION ALL SELECT conv_id, final + 2, 'assistant', md5('a' || n) FROM e""",
+    ),
+    "folded_texts": (folded_texts, r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(strip_accents(substr(text, 1, 300))), 'ß', 'ss'), '[\p{Z}\x09-\x0D]+', ' ', 'g'))) AS digest FROM documents"),
 }

@@ -67,3 +67,14 @@ def report(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(line): rows as lines of a Markdown table, bars escaped, nulls as dashes."""
     cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("-")), r"\|", r"\\|") for c in columns]
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def write_debug(rows: DataFrame, path: str, document: str) -> None:
+    """Chunks, images and page states of each document as JSON lines in a folder of its own; a second run replaces it."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(document).json(path)
+
+
+def read_debug(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_debug`` wrote, with faults: an object that isn't JSON or lacks its content."""
+    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.withColumn("fault", F.when(F.col("_broken").isNotNull(), "no_json").when(F.coalesce(F.trim("content"), F.lit("")) == "", "no_content")).drop("_broken")

@@ -87,3 +87,25 @@ def test_windows_and_sessions_of_a_stream(spark):
         q = made.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).agg(F.sum("n")).first()[0] > 0
+
+
+def test_debug_artifacts(spark, tmp_path):
+    from lexiforge.sources import tables as S
+
+    path = str(tmp_path / "debug")
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, " "), (2, 0, "c")], "document_id long, chunk_index long, content string")
+    S.write_debug(rows, path, "document_id")
+    S.write_debug(rows.filter("document_id = 2"), path, "document_id")
+    got = sorted((r.document_id, r.chunk_index, r.fault) for r in S.read_debug(spark, path, "document_id long, chunk_index long, content string").collect())
+    assert got == [(1, 0, None), (1, 1, "no_content"), (2, 0, None)]
+
+
+def test_term_numbers(spark):
+    import hashlib
+
+    from lexiforge.functions import text as T
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in spark.createDataFrame([("الأسرة",), ("x",), (None,)], "t string").select(T.term_id(F.col("t"))).collect()]
+    want = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "big") & 0x7FFFFFFF for t in ("الأسرة", "x")]
+    assert got == [*want, None]
