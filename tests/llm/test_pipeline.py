@@ -63,6 +63,20 @@ def test_a_small_corpus_end_to_end(spark, tmp_path):
     assert got[103] < len(coder.encode(rows[43][1])[0]) / 4 - 60 and got[102] == len(coder.encode(rows[42][1])[0]) / 4
 
 
+def test_odd_rows_pass_the_stages(spark):
+    rows = [(1, prose(1, 80)), (1, prose(1, 80)), (None, prose(2, 60)), (None, None), (3, None), (4, ""), (5, prose(3, 60)), (6, prose(3, 60))]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key long, start long")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns, name
+        left = got.collect()
+        assert sum(r.doc_id is None for r in left) == 2 and {r.doc_id for r in left} >= {1, 3, 4, 5}, name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+        docs = spark.createDataFrame(left, docs.schema)
+    assert sorted(r.doc_id for r in docs.collect() if r.doc_id) == [1, 3, 4, 5]
+    assert all(r.n_tokens >= 0 for r in corpus_pipeline.STAGES[4][1](spark, docs, "/root/testdata/sf0.001").collect())
+
+
 def test_all_queries_are_registered():
     names = list(entry.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
