@@ -66,7 +66,7 @@ QUERIES = {
         o AS (SELECT *, coalesce(cut OR (NOT word AND lag(word) OVER v), true) AS breaks, row_number() OVER v AS r FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY k, j, i)),
         f AS (SELECT doc_id, r, 0 AS c, m AS used FROM o WHERE r = 1 UNION ALL
           SELECT o.doc_id, o.r, CASE WHEN o.breaks OR f.used + o.m > o.room THEN f.c + 1 ELSE f.c END, CASE WHEN o.breaks OR f.used + o.m > o.room THEN o.m ELSE f.used + o.m END FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1),
-        g AS (SELECT doc_id, c AS chunk_index, sum(m)::BIGINT AS tokens, CASE WHEN bool_or(word) THEN string_agg(part, ' ' ORDER BY r) ELSE string_agg(part, chr(10) || chr(10) ORDER BY r) END AS content FROM (SELECT o.*, f.c FROM f JOIN o USING (doc_id, r)) GROUP BY doc_id, c)
+        g AS (SELECT doc_id, c::BIGINT AS chunk_index, sum(m)::BIGINT AS tokens, CASE WHEN bool_or(word) THEN string_agg(part, ' ' ORDER BY r) ELSE string_agg(part, chr(10) || chr(10) ORDER BY r) END AS content FROM (SELECT o.*, f.c FROM f JOIN o USING (doc_id, r)) GROUP BY doc_id, c)
         SELECT doc_id, chunk_index, tokens, md5(content) AS digest FROM g UNION ALL SELECT doc_id, 0, len(regexp_extract_all(t, '{WORDS}')), md5(t) FROM b WHERE whole AND t <> ''""",
     ),
     "table_chunks": (
@@ -76,7 +76,7 @@ QUERIES = {
         a AS (SELECT name, string_agg(line, chr(10) ORDER BY r) AS whole FROM l GROUP BY name), z AS (SELECT name, head || chr(10) || whole AS t, len(regexp_extract_all(head || chr(10) || whole, '{WORDS}')) AS m FROM a, k),
         o AS (SELECT l.*, len(regexp_extract_all(line, '{WORDS}')) AS m FROM l JOIN z USING (name), k WHERE z.m > k.room),
         f AS (SELECT name, r, 0 AS c, m AS used FROM o WHERE r = 1 UNION ALL SELECT o.name, o.r, CASE WHEN f.used + o.m > k.room - k.hm THEN f.c + 1 ELSE f.c END, CASE WHEN f.used + o.m > k.room - k.hm THEN o.m ELSE f.used + o.m END FROM f JOIN o ON o.name = f.name AND o.r = f.r + 1, k)
-        SELECT name, c AS chunk_index, (any_value(hm) + sum(m))::BIGINT AS tokens, md5(any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY r)) AS digest FROM (SELECT o.*, f.c FROM f JOIN o USING (name, r)), k GROUP BY name, c
+        SELECT name, c::BIGINT AS chunk_index, (any_value(hm) + sum(m))::BIGINT AS tokens, md5(any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY r)) AS digest FROM (SELECT o.*, f.c FROM f JOIN o USING (name, r)), k GROUP BY name, c
         UNION ALL SELECT name, 0, m, md5(t) FROM z, k WHERE m <= room""",
     ),
     "composed_contexts": (composed_contexts, None),

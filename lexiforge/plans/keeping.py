@@ -265,7 +265,7 @@ def durations(d):
 def title_flags(d):
     """Whether a page's address names a framework's companion volume, in any spelling."""
     low = d.sub("lower(url)", "[^a-z0-9]+", " ")
-    return f"SELECT page_id, {d.has(low, 'companion|cefr|cecr')} AS flagged, length({low}) AS n FROM pages"
+    return f"SELECT page_id, {d.has(low, 'companion|cefr|cecr')} AS flagged, CAST(length({low}) AS BIGINT) AS n FROM pages"
 
 
 def semantic_requests(d):
