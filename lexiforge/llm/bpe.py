@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import sliced
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks whose codes a Python worker keeps; when full, it starts anew.
-CACHED_CHUNKS = 100_000
+#: Chunks whose codes a Python worker keeps; when full, they are kept aside and those that come again are taken over.
+CACHED_CHUNKS = 75_000
 #: The same for pre-tokens: a chunk in lower case without its punctuation.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 75_000
 
 #: Python's split() also cuts at these four, which the vocabulary's white space doesn't include.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -61,6 +61,8 @@ class Codec:
         self.inner, self.last = [self.vocab[c] for c in shown], [self.vocab[c + self.end] for c in shown]
         self.words: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
+        self.old_chunks: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -101,8 +103,8 @@ class Codec:
         """Packed ids and the decoded text of one pre-token."""
         if (got := self.words.get(piece)) is None:
             if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            got = self.coded(self.merge(piece))
+                self.words, self.old_words = {}, self.words
+            got = self.old_words.get(piece) or self.coded(self.merge(piece))
             if len(piece) <= 64:
                 self.words[piece] = got
         return got
@@ -135,8 +137,9 @@ class Codec:
             if c:
                 if (got := known.get(c)) is None:
                     if len(known) >= CACHED_CHUNKS:
-                        known.clear()
-                    got = self.chunk(c)
+                        self.chunks, self.old_chunks = {}, known
+                        known = self.chunks
+                    got = self.old_chunks.get(c) or self.chunk(c)
                     if len(c) <= 64:
                         known[c] = got
                 found.append(got)

@@ -30,7 +30,7 @@ MOST_TOXIC, MOST_ORDINARY = 3_000, 6_000
 PIECE = 4
 #: A log-likelihood ratio above this is evidence of its own, beside the mean over the text.
 STRONG = 3.0
-CACHED_CHUNKS = 100_000
+CACHED_CHUNKS = 75_000
 #: Distinct counts that a task gathers before it hands them on.
 GATHERED = 50_000
 
@@ -102,9 +102,12 @@ class Model:
     weights: np.ndarray | None = None
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     table: np.ndarray = field(default_factory=lambda: np.zeros((0, 7), np.float32), repr=False)
+    #: The cache before, from which chunks that come again are taken over.
+    old: tuple[dict, np.ndarray] = field(default_factory=lambda: ({}, np.zeros((0, 7), np.float32)), repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "table": np.zeros((0, 7), np.float32)}
+        none = np.zeros((0, 7), np.float32)
+        return {**self.__dict__, "cache": {}, "table": none, "old": ({}, none)}
 
     def chunk(self, chunk: str) -> tuple[float, ...]:
         """Words, then per reading the sum of ratios, the sum of strong ones and the largest."""
@@ -119,13 +122,14 @@ class Model:
         return (len(ratios[0]), *(x for r in ratios for x in (sum(r), sum(v for v in r if v > STRONG), max(r, default=0))))
 
     def features(self, text: str) -> list[float]:
+        if len(self.cache) > CACHED_CHUNKS:
+            self.old, self.cache, self.table = (self.cache, self.table), {}, np.zeros((0, 7), np.float32)
         cache, at, new = self.cache, [], []
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
+        before, rows = self.old
         for c in text.split():
             if (k := cache.get(c)) is None:
                 k = cache[c] = len(cache)
-                new.append(self.chunk(c))
+                new.append(self.chunk(c) if (j := before.get(c)) is None else rows[j])
             at.append(k)
         if new:
             first = len(cache) - len(new)
