@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +28,49 @@ def sliced(batches, rows: int = SLICE_ROWS):
             yield batch.slice(k, rows)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder that the session names in spark.checkpoint.dir, and cuts its lineage.
+def by_bytes(array: pa.Array, most: int):
+    """Ranges (start, end) of a string array of about ``most`` bytes each; a longer string stands alone."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(array), 0), np.int64)
+    ends, start, total = np.cumsum(sizes), 0, 0
+    while start < len(array):
+        end = max(start + 1, int(np.searchsorted(ends, total + most, "right")))
+        yield start, end
+        start, total = end, int(ends[end - 1])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
     Only a session on one machine may name none: there one is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.match(r"local(\[.*\])?$", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Versions:
+    """A table that each round writes anew in the shared folder: two places in turn, so that a round reads the one and writes the other."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n % 2}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -1,4 +1,4 @@
-"""SQL with the rows of the registered queries, for those that SQL can express: operators 1, 5 to 8 and 10."""
+"""SQL with the rows of the registered queries, for those that SQL can express: operators 1, 5 to 8 and 10 to 13."""
 
 from __future__ import annotations
 
@@ -110,3 +110,60 @@ def substring_dedup(min_bytes: int = 80) -> str:
     x AS (SELECT *, sum(apart) OVER (PARTITION BY key, version ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY key, version ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY key, version ORDER BY start, stop) = 1 THEN 1 ELSE 0 END AS apart FROM m))
     SELECT key AS doc_id, start::INT AS start_byte, stop::INT AS end_byte, false AS kept, first AS first_doc_id, version FROM l
     UNION ALL SELECT key, min(start)::INT, max(stop)::INT, true, key, version FROM x GROUP BY key, version, island"""
+
+
+def clustering(k: int = 40, rounds: int = 5, dimensions: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Each round in full: all distances, then exact sums."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda a: floor(a::DOUBLE * {scale})::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda a: a IS NULL OR NOT isfinite(a))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS cluster, x FROM v QUALIFY cluster < {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, vec_id, v.x AS x, cluster, {distance} AS distance FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS MATERIALIZED (SELECT cluster, list({floor} ORDER BY i) AS x FROM (SELECT cluster, i, sum(a)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT cluster, unnest(x) AS a, unnest(range({dimensions})) AS i FROM a{r}) GROUP BY ALL) GROUP BY cluster)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (cluster))")
+    return f"""WITH {', '.join(steps)}
+    SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
+def host_rules(barred: float = 0.5, strict: float = 0.2, times: float = 2.0, least: float = 2.0, most: float = 1000.0) -> str:
+    rules = {
+        "few_words": "n_words < 50",
+        "repeats": "100 * n_repeat_words > 50 * n_words",
+        "symbols": "100 * n_symbols > 10 * n_words",
+        "dup_lines": "100 * n_dup_lines > 30 * n_lines",
+        "word_length": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
+    }
+    names = [*rules, "failing"]
+    counts = ", ".join(f"count(*) FILTER ({r}) AS {r}" for r in names)
+    totals = ", ".join(f"sum({r}) / sum(n) AS rate_{r}, sum(({r}::DOUBLE * {r} / n)::DECIMAL(38, 3))::DOUBLE AS q_{r}" for r in names)
+    rho = lambda r: f"(q_{r} - n * rate_{r} * rate_{r}) / (rate_{r} * (1 - rate_{r})) - (hosts - 1)"
+    sizes = ", ".join(f"CASE WHEN rate_{r} > 0 AND rate_{r} < 1 AND free > 0 AND {rho(r)} > 0 THEN greatest({least}, least({most}, free / ({rho(r)}) - 1)) ELSE {most} END AS size_{r}" for r in names)
+    rate = lambda r: f"(h.{r} + rate_{r} * size_{r}) / (h.n + size_{r})"
+    strictly = ", ".join(f"{rate(r)} > {strict} AND {rate(r)} > {times} * rate_{r} AS strict_{r}" for r in rules)
+    goes = " OR ".join(f"(m.{r} AND coalesce(strict_{r}, false))" for r in rules)
+    return f"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+    g AS (SELECT row, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) AS g FROM w),
+    p AS (SELECT row, count(DISTINCT j) AS n_repeat_words FROM (SELECT row, unnest([i, i + 1, i + 2]) AS j FROM (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, g) > 1)) GROUP BY row),
+    k AS (SELECT row, doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN p USING (row)),
+    f AS (SELECT *, {', '.join(f'({sql}) AS {r}' for r, sql in rules.items())}, {' OR '.join(f'({sql})' for sql in rules.values())} AS failing FROM k),
+    h AS (SELECT source, count(*) AS n, {counts} FROM f WHERE source IS NOT NULL GROUP BY source),
+    a AS (SELECT count(*) AS hosts, sum(n)::DOUBLE AS n, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS free, {totals} FROM h),
+    b AS (SELECT *, {sizes} FROM a),
+    v AS (SELECT h.source, {rate('failing')} > {barred} AS barred, {strictly} FROM h, b)
+    SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, few_words OR repeats AS base_failed, NOT (few_words OR repeats OR coalesce(barred, false) OR {goes}) AS kept FROM f m LEFT JOIN v USING (source)"""
+
+
+def block_max(top: int = 20) -> str:
+    terms = f"regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row, doc_id, ws, len(ws) AS n FROM (SELECT row_number() OVER () AS row, doc_id, {terms} AS ws FROM documents) WHERE len(ws) > 0),
+    a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+    p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(ws) AS term FROM d) GROUP BY ALL),
+    q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms}) AS term FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, a GROUP BY term),
+    s AS (SELECT item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + 25 * n * docs // total))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), a GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {top}"""

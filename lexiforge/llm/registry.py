@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extraction, lm_scoring, nearest, ngram_jaccard, oracles, sharding, substring_dedup, token_counts, toxicity
+from . import block_max, bpe, clustering, decontamination, host_rules, html_extraction, lm_scoring, nearest, ngram_jaccard, oracles, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_substring_dedup": substring_dedup.query,
         "op9_token_counts": token_counts.query,
         "op10_lm_scoring": lm_scoring.query,
+        "op11_clustering": clustering.query,
+        "op12_host_rules": host_rules.query,
+        "op13_block_max": block_max.query,
     }
 
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_nearest": oracles.nearest(),
         "op8_substring_dedup": oracles.substring_dedup(),
         "op10_lm_scoring": oracles.lm_scoring(),
+        "op11_clustering": oracles.clustering(),
+        "op12_host_rules": oracles.host_rules(),
+        "op13_block_max": oracles.block_max(),
     }
