@@ -33,7 +33,7 @@ BYTES = 4 << 20
 #: Postings of a shard.
 SHARD = 3_000_000
 #: Postings of a block at most, and what a block costs, in mean impacts of its list.
-LONGEST, PRICE = 64, 16
+LONGEST, PRICE = 64, 4
 #: Bytes of items that are searched for at once: their terms and statistics are broadcast.
 ROUND_BYTES = 16 << 20
 #: Intervals that are scored first; their number doubles from step to step.
