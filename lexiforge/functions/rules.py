@@ -382,7 +382,7 @@ def role(d: Spark, kind: str, heading: str, content: str, speakers: bool = True)
 
 def concreteness(d: Spark, kind: str, heading: str, content: str) -> list[dict[str, str]]:
     """``concrete_reason``: the first structure of classroom material that a chunk has, or null; ``concrete``."""
-    c, both = f"lower({content})", f"lower(concat_ws(' ', {heading}, {content}))"
+    c, both = "concrete_low", "concrete_both"
     after = r"(?:[^\p{L}\p{N}_]|$)"
     cases = [
         (f"{kind} = 'worksheet_exercise'", "canonical_worksheet_exercise"),
@@ -392,7 +392,8 @@ def concreteness(d: Spark, kind: str, heading: str, content: str) -> list[dict[s
         (d.has(c, r"(?:rôle\s*[:-]|role\s*[:-]).{0,100}(?:apprenant|élève|client|serveur|teacher|learner)"), "role_play_structure"),
         (f"{d.count(content, '[?]')} >= 2 AND {d.has(both, '(?:questions?|réponses?|سؤال|أجب)')}", "learner_question_set"),
     ]
-    return [{"concrete_reason": first_of([(f"({t})", f"'{r}'") for t, r in cases], "NULL")}, {"concrete": "concrete_reason IS NOT NULL"}]
+    low = {"concrete_low": f"lower({content})", "concrete_both": f"lower(concat_ws(' ', {heading}, {content}))"}
+    return [low, {"concrete_reason": first_of([(f"({t})", f"'{r}'") for t, r in cases], "NULL")}, {"concrete": "concrete_reason IS NOT NULL"}]
 
 
 def skills_in(d: Spark, c: str, lexicon: dict) -> str:
@@ -400,8 +401,14 @@ def skills_in(d: Spark, c: str, lexicon: dict) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {any_of(d, c, [w.lower() for w in words])} THEN '{k}' END" for k, words in lexicon.items()) + ")"
 
 
-def adjustments(d: Spark, intent: str, level: str, wanted_level: str, wanted_skill: str, heading: str, content: str) -> list[dict[str, str]]:
-    """``role_adjustment``, ``concrete_adjustment``, ``level_adjustment``, ``skill_adjustment``. After ``role`` and ``concreteness``."""
+def skill_evidence(d: Spark, heading: str, content: str) -> list[dict[str, str]]:
+    """``heading_skills`` and ``content_skills`` of a chunk."""
+    low = {"skills_heading": f"lower(coalesce({heading}, ''))", "skills_content": f"lower({content})"}
+    return [low, {"heading_skills": skills_in(d, "skills_heading", RANKER_SKILLS), "content_skills": skills_in(d, "skills_content", RANKER_SKILLS)}]
+
+
+def adjustments(intent: str, level: str, wanted_level: str, wanted_skill: str) -> list[dict[str, str]]:
+    """``role_adjustment``, ``concrete_adjustment``, ``level_adjustment``, ``skill_adjustment``. After ``role``, ``concreteness`` and ``skill_evidence``."""
     by_role = [(f"{intent} = '{k}' AND role = '{r}'", num((0.06, 0.04, 0.02, 0.02)[i])) for k, prefs in PREFERRED.items() for i, r in enumerate(prefs)]
     known = ", ".join(f"'{k}'" for k in PREFERRED)
     place = lambda c: first_of([(f"upper({c}) = '{x}'", str(i)) for i, x in enumerate(LEVELS)], "NULL")
@@ -415,7 +422,7 @@ def adjustments(d: Spark, intent: str, level: str, wanted_level: str, wanted_ski
         ("content_skills <> ''", num(-0.01)),
     ]
     return [
-        {"heading_skills": skills_in(d, f"lower(coalesce({heading}, ''))", RANKER_SKILLS), "content_skills": skills_in(d, f"lower({content})", RANKER_SKILLS), "level_distance": f"abs({place(level)} - {place(wanted_level)})"},
+        {"level_distance": f"abs({place(level)} - {place(wanted_level)})"},
         {
             "role_adjustment": first_of(by_role, num(0)),
             "concrete_adjustment": f"CASE WHEN concrete AND {intent} IN ({known}) THEN {num(0.03)} ELSE {num(0)} END",

@@ -26,18 +26,6 @@ def inverse_frequencies(found: DataFrame, documents: int | Column) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("n")).withColumn("idf", F.log(1 + (documents - F.col("n") + 0.5) / (F.col("n") + 0.5)))
 
 
-#: Query terms are broadcast to the documents if there are no more.
-BROADCAST_TERMS = 500_000
-
-
-def asked_postings(docs: DataFrame, asked: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
-    """``postings`` of ``docs``, of the terms in ``asked`` (postings of queries) only: other terms aren't shuffled."""
-    terms = asked.select("term").distinct()
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    each = docs.select(doc_id, F.explode(text.terms(F.col(body))).alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    return each.groupBy(doc_id, "term").agg(F.count("*").alias("n")).select(doc_id, "term", (1 + F.log("n")).alias("tf"))
-
-
 def top(scored: DataFrame, query_id: str, doc_id: str, k: int, score: str = "score") -> DataFrame:
     """The k best of each query, ranked from 1, ties to the smaller id."""
     order = Window.partitionBy(query_id).orderBy(F.desc(score), doc_id)

@@ -165,7 +165,8 @@ def ranked_steps(d):
         {"intent": ASKED, "wanted_level": "CASE WHEN document_id % 3 < 2 THEN 'A1' END", "wanted_skill": "CASE WHEN document_id % 2 = 0 THEN 'listening' END", "rank": "chunk_index + 1"},
         *rules.role(d, "kind", "heading", "content"),
         *rules.concreteness(d, "kind", "heading", "content"),
-        *rules.adjustments(d, "intent", "level", "wanted_level", "wanted_skill", "heading", "content"),
+        *rules.skill_evidence(d, "heading", "content"),
+        *rules.adjustments("intent", "level", "wanted_level", "wanted_skill"),
         {"gate": f"greatest({rules.num(0.35)}, 1 - {rules.num(0.04)} * (rank - 1))"},
         {"final_score": f"round(1 - {rules.num(0.025)} * (rank - 1) + gate * (role_adjustment + concrete_adjustment + level_adjustment + skill_adjustment), 6)"},
     ]

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..operators import impacts as I
 from ..operators import retrieval as R
+from ..sources.shared import built, spread
 from . import judging
 from .texts import TERMS_SQL
 
@@ -24,22 +26,21 @@ def term_frequencies(spark, d):
     return R.inverse_frequencies(R.postings(docs), docs.count()).select("term", "n", F.round("idf", 6).alias("idf"))
 
 
-def posted(spark, d):
-    """Postings of the items, and of the documents by the items' terms: one table for all arms of a query."""
-    asked = R.postings(items(spark, d), "item_id")
-    return asked, R.asked_postings(read(spark, d, "documents").select("doc_id", "text"), asked)
+def indexed(spark, d):
+    """Postings of the items, and one index of the documents for all arms of a query."""
+    asked = built(R.postings(items(spark, d), "item_id"))
+    return asked, I.index(spread(read(spark, d, "documents").select("doc_id", "text")), asked)
 
 
 def sparse(spark, d):
-    asked, found = posted(spark, d)
-    return R.sparse_search(found, asked, R.inverse_frequencies(found, read(spark, d, "documents").count()), "item_id")
+    asked, index = indexed(spark, d)
+    return I.search(index, asked, "item_id")
 
 
-def overlap(spark, d):
-    """The second arm: how many distinct terms of the item a document has."""
-    asked, found = posted(spark, d)
-    scores = found.join(asked.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return R.top(scores, "item_id", "doc_id", R.DEPTH)
+def both_arms(spark, d):
+    """The sparse arm, and by how many distinct terms of the item a document has, in one list."""
+    asked, index = indexed(spark, d)
+    return R.fuse(I.search(index, asked, "item_id"), I.overlap(index, asked, "item_id"), ["item_id", "doc_id"])
 
 
 def sparse_search(spark, d):
@@ -47,13 +48,13 @@ def sparse_search(spark, d):
 
 
 def fused_search(spark, d):
-    fused = R.fuse(sparse(spark, d), overlap(spark, d), ["item_id", "doc_id"])
+    fused = both_arms(spark, d)
     return fused.select("item_id", "doc_id", "rrf", F.col("fused_rank").cast("long").alias("fused_rank"))
 
 
 def provenance(spark, d):
     """Of each item's candidates how many come from both arms, and from either alone."""
-    fused = R.fuse(sparse(spark, d), overlap(spark, d), ["item_id", "doc_id"])
+    fused = both_arms(spark, d)
     a, b = F.col("first_rank").isNotNull(), F.col("second_rank").isNotNull()
     return fused.groupBy("item_id").agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("first_only"), F.count_if(~a & b).alias("second_only"))
 
@@ -79,19 +80,26 @@ def hydrated_hits(spark, d):
     return rows.groupBy("label").agg(F.count("*").alias("hits"), F.count_if("stale").alias("stale"), F.countDistinct("lang").alias("languages"))
 
 
-def feature_steps(dialect):
-    """What the four features say of an item's candidates: the item's number stands for what it asks for."""
-    return [
-        {"intent": "CASE item_id % 4 WHEN 0 THEN 'activity' WHEN 1 THEN 'exercise' WHEN 2 THEN 'listening' ELSE 'general' END", "wanted_level": "CASE WHEN item_id % 3 < 2 THEN 'A1' END", "wanted_skill": "CASE WHEN item_id % 2 = 0 THEN 'reading' END"},
-        *rules.role(dialect, "kind", "heading", "content"),
-        *rules.concreteness(dialect, "kind", "heading", "content"),
-        *rules.adjustments(dialect, "intent", "level", "wanted_level", "wanted_skill", "heading", "content"),
-    ]
+def asked_features():
+    """The item's number stands for what it asks for."""
+    return {"intent": "CASE item_id % 4 WHEN 0 THEN 'activity' WHEN 1 THEN 'exercise' WHEN 2 THEN 'listening' ELSE 'general' END", "wanted_level": "CASE WHEN item_id % 3 < 2 THEN 'A1' END", "wanted_skill": "CASE WHEN item_id % 2 = 0 THEN 'reading' END"}
+
+
+def document_features(dialect):
+    """What a document says for itself: role, concreteness, skills."""
+    return [*rules.role(dialect, "kind", "heading", "content"), *rules.concreteness(dialect, "kind", "heading", "content"), *rules.skill_evidence(dialect, "heading", "content")]
+
+
+def candidate_features():
+    return [asked_features(), *rules.adjustments("intent", "level", "wanted_level", "wanted_skill")]
 
 
 def ranked_by_features(spark, d):
-    """The sparse arm again, with what role, concreteness, level and skill say."""
-    rows = rules.applied(sparse(spark, d).join(judging.pieces(spark, d).withColumnRenamed("id", "doc_id"), "doc_id"), feature_steps(judging.S))
+    """The sparse arm again, with what role, concreteness, level and skill say. Each document that any item found is judged once."""
+    hits = built(sparse(spark, d).withColumnRenamed("doc_id", "id"))
+    docs = spread(judging.pieces(spark, d).join(I.if_small(hits.select("id").distinct(), I.BROADCAST_ROWS), "id", "left_semi"))
+    judged = rules.settled(rules.applied(docs, document_features(judging.S)), "id", "level", "role", "concrete", "heading_skills", "content_skills")
+    rows = rules.applied(judged.join(I.if_small(hits, I.BROADCAST_ROWS), "id"), candidate_features()).withColumnRenamed("id", "doc_id")
     ranked = R.feature_rank(rows, [F.col(c) for c in judging.ADJUSTMENTS], "item_id", "doc_id")
     return ranked.select("item_id", "doc_id", "final_score", F.col("final_rank").cast("long").alias("final_rank"))
 
@@ -115,7 +123,7 @@ def retrieval_metrics(spark, d):
 
 def arm_comparison(spark, d):
     """How often fusion places a document better than the sparse arm, as well, or worse."""
-    fused = R.fuse(sparse(spark, d), overlap(spark, d), ["item_id", "doc_id"]).filter("first_rank IS NOT NULL")
+    fused = both_arms(spark, d).filter("first_rank IS NOT NULL")
     delta = F.sign(F.col("first_rank") - F.col("fused_rank"))
     return fused.groupBy("item_id").agg(F.count_if(delta > 0).alias("improved"), F.count_if(delta == 0).alias("unchanged"), F.count_if(delta < 0).alias("regressed"))
 
@@ -156,7 +164,7 @@ QUERIES = {
     "ranked_by_features": (
         ranked_by_features,
         f"""WITH {SPARSE}, c AS (SELECT a.*, p.* EXCLUDE (id) FROM a JOIN {judging.PIECES} p ON p.id = a.doc_id), r AS (SELECT item_id, doc_id, rank,
-        round(1 - 0.025::DOUBLE * (rank - 1) + greatest(0.35::DOUBLE, 1 - 0.04::DOUBLE * (rank - 1)) * ({' + '.join(judging.ADJUSTMENTS)}), 6) AS final_score FROM {rules.stated('c', feature_steps(judging.D))})
+        round(1 - 0.025::DOUBLE * (rank - 1) + greatest(0.35::DOUBLE, 1 - 0.04::DOUBLE * (rank - 1)) * ({' + '.join(judging.ADJUSTMENTS)}), 6) AS final_score FROM {rules.stated('c', [*document_features(judging.D), *candidate_features()])})
         SELECT item_id, doc_id, final_score, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, rank, doc_id) AS final_rank FROM r""",
     ),
     "composed": (

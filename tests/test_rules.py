@@ -69,7 +69,7 @@ def test_roles_and_concreteness(judged):
 
 def test_adjustments(judged):
     rows = [("activity", "A1", "A1", "reading", "Lecture", "x", "ACTIVITY", True), ("general", "B1", "A1", None, None, "x", "TASK", True), ("exercise", "A2", "A1", "speaking", None, "lecture et listening", "TASK", False), ("task", None, "A1", "reading", "Écoute", "x", "OTHER", False)]
-    steps = rules.adjustments(S, "intent", "level", "wl", "ws", "h", "c")
+    steps = [*rules.skill_evidence(S, "h", "c"), *rules.adjustments("intent", "level", "wl", "ws")]
     got = judged(rows, "intent string, level string, wl string, ws string, h string, c string, role string, concrete boolean", steps, "role_adjustment", "concrete_adjustment", "level_adjustment", "skill_adjustment")
     assert got == [(0.06, 0.03, 0.025, 0.02), (0.0, 0.0, -0.02, 0.0), (0.04, 0.0, -0.005, 0.0), (0.0, 0.0, 0.0, -0.01)]
 
