@@ -79,58 +79,3 @@ def diverse(candidates: DataFrame, query_id: str, source: str, rank: str, per_so
     own = Window.partitionBy(query_id, source).orderBy(rank)
     kept = candidates.withColumn("of_source", F.row_number().over(own)).filter(F.col("of_source") <= per_source)
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(query_id).orderBy(rank))).filter(F.col("place") <= most)
-
-
-#: Vectors and queries of a block: a block of vectors meets one block of queries after the other.
-BLOCK = 16_384
-
-
-def dense_search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = DEPTH, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k vectors nearest to each query but itself, by cosine rounded to so many digits.
-
-    Vectors are dealt into blocks; queries, a stated set, pass by each block, which keeps its k best, by a
-    matrix product. Null and zero vectors take no part.
-    """
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-    v = F.transform(embedding, lambda x: x.cast("double"))
-    kind = lambda df, at, which: df.filter(F.col(embedding).isNotNull() & F.exists(embedding, lambda x: x != 0)).select(at.cast("int").alias("block"), F.lit(which).alias("kind"), F.col(vec_id).alias("id"), v.alias("v"))
-    members = kind(vectors, F.pmod(F.xxhash64(vec_id), F.lit(blocks)), 0)
-    probes = kind(queries, F.lit(0), 1).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = members.unionByName(probes).repartition("block").sortWithinPartitions("block", "kind", "id")
-    found = rows.mapInArrow(lambda batches: nearest(batches, k, digits), "query_id long, vec_id long, score double")
-    return top(found, "query_id", "vec_id", k)
-
-
-def nearest(batches, k: int, digits: int):
-    """The k best of each block for each query, of rows (block, kind, id, v) in order of block and kind."""
-    import numpy as np
-    import pyarrow as pa
-
-    block, ids, unit = None, [], []
-    for batch in batches:
-        numbers, kinds, keys = (batch.column(c).to_numpy() for c in range(3))
-        if not len(keys):
-            continue
-        v = batch.column(3).flatten().to_numpy().reshape(len(keys), -1)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            if numbers[a] != block:
-                block, ids, unit = numbers[a], [], []
-            if kinds[a] == 0:
-                ids.append(keys[a:b])
-                unit.append(v[a:b])
-                continue
-            if not ids:
-                continue
-            ids, unit = [np.concatenate(ids)], [np.concatenate(unit)]
-            for q in range(a, b, 256):
-                part = slice(q, min(b, q + 256))
-                scores = np.round(v[part] @ unit[0].T, digits)
-                scores[keys[part][:, None] == ids[0][None, :]] = -np.inf
-                for query, row in zip(keys[part], scores, strict=True):
-                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    at = np.flatnonzero((row >= least) & (row > -np.inf))
-                    at = at[np.lexsort((ids[0][at], -row[at]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), query)), pa.array(ids[0][at]), pa.array(row[at])], names=["query_id", "vec_id", "score"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..operators import cells
 from ..operators import impacts as I
 from ..operators import retrieval as R
 from ..sources.shared import built, spread
@@ -62,7 +63,7 @@ def provenance(spark, d):
 def dense_search(spark, d):
     """The ten vectors nearest to every twentieth vector."""
     v = read(spark, d, "embeddings").select("vec_id", "embedding")
-    top = R.dense_search(v, v.filter("vec_id % 20 = 0"), k=10)
+    top = cells.search(v, v.filter("vec_id % 20 = 0"), k=10)
     return top.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -70,7 +71,7 @@ def dense_filtered(spark, d):
     """The same among vectors whose document is French or English and longer than 200 characters: filters come before the search."""
     docs = read(spark, d, "documents").filter(F.col("lang").isin("fr", "en") & (F.col("n_chars") > 200)).select(F.col("doc_id").alias("vec_id"))
     v = read(spark, d, "embeddings").select("vec_id", "embedding")
-    top = R.dense_search(v.join(docs, "vec_id", "left_semi"), v.filter("vec_id % 20 = 0"), k=5)
+    top = cells.search(v.join(docs, "vec_id", "left_semi"), v.filter("vec_id % 20 = 0"), k=5)
     return top.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
