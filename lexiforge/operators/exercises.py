@@ -1,11 +1,12 @@
-"""Near copies among exercises; what makes a block an exercise is in ``functions.rules``."""
+"""Exercise items: what speaks against one, and copies among them; what makes a block an exercise is in ``functions.rules``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import built
 
 
 def near_copies(rows: DataFrame, key: str, body: str, least: float = 0.78) -> DataFrame:
@@ -30,3 +31,111 @@ def near_copies(rows: DataFrame, key: str, body: str, least: float = 0.78) -> Da
     near = with_sets.filter(F.round(T.dice(F.col("s"), F.col("t")), 6) >= least).groupBy("b").agg(F.min("a").alias("near"))
     own = sets.join(classes, "t", "left").join(near.withColumnRenamed("b", "c"), "c", "left")
     return own.select(F.col("k").alias(key), F.coalesce("near", "c", "k").alias("representative"))
+
+
+#: What a verdict says, in the order in which it says it.
+EMPTY_PROMPT, BAD_LEVEL, NO_TYPE, OTHER_LEVEL = "consigne vide", "niveau invalide (%s)", "type d'exercice manquant", "niveau (%s) != demandé (%s)"
+NOT_ARABIC, MIXED = "arabe requis mais texte non arabe", "mélange français/arabe"
+NO_OPTIONS, SAME_OPTIONS, ANSWER_MISSING, LIKE_OPTIONS = "QCM sans options", "options identiques", "réponse correcte absente des options", "options quasi identiques"
+NO_TRUTH, NO_ANSWER, NO_WORDS, WORD_MISSING = "vrai/faux sans réponse", "réponse attendue manquante", "mots à ordonner absents", "mot essentiel manquant pour reconstruire la phrase"
+COPIED = "la correction recopie la consigne"
+#: Types that need an answer, and types that need none.
+ANSWERED, OPEN = ("complete", "matching", "grammar_transformation"), ("open_question", "writing", "reading_comprehension")
+#: How like two options, and how Latin an Arabic text may be.
+LIKE_OPTION, LATIN_SHARE = 0.9, 0.15
+ARABIC, LATIN = r"[؀-۾ݐ-ݾﭐ-﷾ﹰ-﻾]", r"[A-Za-zÀ-Ɏ]"
+_MARK = "\u0001"
+
+
+def word_list(folded: Column) -> Column:
+    """Words of two characters or more of a folded text."""
+    return F.filter(F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: F.char_length(w) >= 2)
+
+
+def too_latin(c: Column) -> Column:
+    """Whether a text with Arabic letters has more Latin ones among both than it may."""
+    arabic, latin = F.regexp_count(c, F.lit(ARABIC)), F.regexp_count(c, F.lit(LATIN))
+    return (arabic > 0) & (latin / (arabic + latin) > LATIN_SHARE)
+
+
+def verdicts(items: DataFrame) -> DataFrame:
+    """``items`` with ``reasons``: what speaks against each, none for a sound one.
+
+    ``items`` has level, exercise_type, prompt, answer, options (array<string>), is_true, left_right
+    (array<string>, both sides of its pairs), request_level, language. An answer that is to be put in order must
+    be made of the words of its prompt; near copies of options are told by the Dice similarity of their words.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    options = F.filter(F.transform(F.coalesce("options", F.array().cast("array<string>")), lambda o: F.trim(F.coalesce(o, F.lit("")))), lambda o: o != "")
+    base = items.withColumn("__o", options).withColumn("__p", blank("prompt")).withColumn("__a", blank("answer"))
+    folded = base.withColumn("__np", T.folded(F.col("__p"))).withColumn("__na", T.folded(F.col("__a"))).withColumn("__no", F.split(T.folded(F.array_join("__o", _MARK)), _MARK))
+    words = folded.withColumn("__wo", F.transform("__no", word_list)).withColumn("__wp", word_list(F.col("__np"))).withColumn("__wa", word_list(F.col("__na")))
+    kind, level = F.lower(blank("exercise_type")), F.upper(F.coalesce("level", F.lit("")))
+    prompt, answer, n = F.col("__p"), F.col("__a"), F.size("__o")
+    lower_options = F.transform("__o", lambda o: F.lower(o))
+    learner = F.concat(F.coalesce("options", F.array().cast("array<string>")), F.coalesce("left_right", F.array().cast("array<string>")), F.array("__a"))
+    arabic = F.col("language") == "ar"
+    has_arabic = lambda c: F.coalesce(F.regexp(c, F.lit(r"[؀-ۿ]")), F.lit(False))
+    like = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.exists(F.sequence(i, F.greatest(n, i)), lambda j: (j > i) & (T.dice(F.get("__wo", i - 1), F.get("__wo", j - 1)) >= LIKE_OPTION)))
+    known = kind.isin("qcm", "true_false", "ordering", *ANSWERED, *OPEN)
+    ordering = (kind == "ordering") & (answer != "")
+    said = [
+        (prompt == "", F.lit(EMPTY_PROMPT)),
+        ((level != "") & ~level.isin(*T.LEVELS), F.format_string(BAD_LEVEL, "level")),
+        (kind == "", F.lit(NO_TYPE)),
+        ((F.coalesce("request_level", F.lit("")) != "") & (level != "") & (level != F.upper("request_level")), F.format_string(OTHER_LEVEL, "level", "request_level")),
+        (arabic & (F.char_length(prompt) >= 12) & ~has_arabic(prompt), F.lit(NOT_ARABIC)),
+        (arabic & (F.char_length(prompt) >= 12) & has_arabic(prompt) & too_latin(prompt), F.lit(MIXED)),
+        (arabic & F.exists(learner, lambda x: F.coalesce(has_arabic(x) & too_latin(x), F.lit(False))), F.lit(MIXED)),
+        ((kind == "qcm") & (n == 0), F.lit(NO_OPTIONS)),
+        ((kind == "qcm") & (F.size(F.array_distinct(lower_options)) != n), F.lit(SAME_OPTIONS)),
+        ((kind == "qcm") & (answer != "") & (n > 0) & ~F.array_contains(lower_options, F.lower(answer)), F.lit(ANSWER_MISSING)),
+        ((kind == "qcm") & (n > 1) & like, F.lit(LIKE_OPTIONS)),
+        ((kind == "true_false") & F.col("is_true").isNull() & (answer == ""), F.lit(NO_TRUTH)),
+        (kind.isin("ordering", *ANSWERED) & (answer == ""), F.lit(NO_ANSWER)),
+        (ordering & (F.size("__wp") == 0), F.lit(NO_WORDS)),
+        (ordering & (F.size("__wp") > 0) & (F.size(F.array_except("__wa", "__wp")) > 0), F.lit(WORD_MISSING)),
+        (~known & (prompt == ""), F.lit(EMPTY_PROMPT)),
+        ((F.col("__na") != "") & F.contains("__np", F.col("__na")), F.lit(COPIED)),
+    ]
+    return words.withColumn("reasons", F.array_compact(F.array(*[F.when(test, what) for test, what in said]))).select(*items.columns, "reasons")
+
+
+def kept_in_order(rows: DataFrame, group: str, order: str, body: str, least: float = 0.78) -> DataFrame:
+    """(group, order, kept): a row goes only if an earlier row of its group that is kept itself is like it.
+
+    Likeness is the Dice similarity of the words in the first 180 characters of the folded text; a row without
+    words is always kept. ``order`` is unique in a group. Rows with the same words are one class, for which the
+    first speaks; all others of it go. Classes meet by one of their rarest words. What is kept follows in
+    rounds: a class that no undecided or kept earlier one is like is kept, and those like it go; a round decides
+    at least the first undecided class of each group, and only links between classes are looked at.
+    """
+    words = F.array_sort(F.array_distinct(word_list(F.substring(T.folded(F.coalesce(F.col(body), F.lit(""))), 1, 180))))
+    sets = built(rows.select(F.col(group).alias("g"), F.col(order).alias("o"), words.alias("t")))
+    classes = built(sets.filter(F.size("t") > 0).groupBy("g", "t").agg(F.min("o").alias("o")))
+    each = classes.select("g", "o", F.explode("t").alias("term"), F.size("t").alias("n"))
+    counted = each.join(each.groupBy("g", "term").agg(F.count("*").alias("df")), ["g", "term"])
+    place = F.row_number().over(Window.partitionBy("g", "o").orderBy("df", "term"))
+    reach = F.col("n") - F.ceil(F.col("n") * least / (2 - least)) + 1
+    prefix = counted.withColumn("p", place).filter(F.col("p") <= reach).select("g", "o", "term", "n")
+    b = prefix.select("g", "term", F.col("o").alias("b"), F.col("n").alias("m"))
+    # sizes bound the similarity: 2 min / (n + m)
+    near_size = 2 * F.least("n", "m") >= least * (F.col("n") + F.col("m"))
+    pairs = prefix.withColumnRenamed("o", "a").join(b, ["g", "term"]).filter((F.col("a") < F.col("b")) & near_size).select("g", "a", "b").distinct()
+    sides = pairs.join(classes.select("g", F.col("o").alias("a"), F.col("t").alias("s")), ["g", "a"]).join(classes.select("g", F.col("o").alias("b"), "t"), ["g", "b"])
+    links = built(sides.filter(F.round(T.dice(F.col("s"), F.col("t")), 9) >= least).select("g", "a", "b"))
+    gone = None
+    while not links.isEmpty():
+        later = links.select("g", F.col("b").alias("a")).distinct()
+        kept = links.select("g", "a").distinct().join(later, ["g", "a"], "left_anti")
+        out = built(links.join(kept, ["g", "a"], "left_semi").select("g", "b").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        # links of classes that are decided now: all links to those that go, all from them, all from those kept
+        rest = links.join(out, ["g", "b"], "left_anti").join(out.withColumnRenamed("b", "a"), ["g", "a"], "left_anti")
+        links = built(rest)
+    own = sets.join(classes.select("g", "t", F.col("o").alias("c")), ["g", "t"], "left")
+    first = F.col("c").isNull() | (F.col("c") == F.col("o"))
+    if gone is not None:
+        own = own.join(gone.select("g", F.col("b").alias("c"), F.lit(True).alias("like")), ["g", "c"], "left")
+        first = first & F.col("like").isNull()
+    return own.select(F.col("g").alias(group), F.col("o").alias(order), first.alias("kept"))
