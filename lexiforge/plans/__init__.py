@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import arranging, chunking, exercising, judging, keeping, parsing, relating, retrieving, texts
+from . import arranging, chunking, exercising, judging, keeping, parsing, relating, retrieving, shaping, texts
 
 FLAGSHIP = "source_summary"
-GROUPS = (relating, texts, retrieving, judging, keeping, parsing, chunking, arranging, exercising)
+GROUPS = (relating, texts, retrieving, judging, keeping, parsing, chunking, arranging, exercising, shaping)
 
 
 def queries():

@@ -6,17 +6,6 @@ from ..functions import rules
 from . import judging, keeping
 from .keeping import D, S
 
-#: What models have answered: fenced, noisy, of another shape, cut off.
-ANSWERS = [
-    (1, '```json {"title": "Famille", "items": ["a", "b"]} ```'),
-    (2, 'Voici : {"title": "École", "items": [{"number": 1, "content": "c"}]} merci'),
-    (3, '{"title": "Maison"}'),
-    (4, '{"title": "", "items": []}'),
-    (5, "no object here"),
-    (6, '{"items": "one; two", "title": "Jeux", "extra": 1}'),
-    (7, '{"title": "Cut'),
-    (8, '{"note": "x"} then {"title": "Deux", "items": ["d"]}'),
-]
 #: Descriptor rows as they are extracted, some over two lines of a table.
 DESCRIPTORS = [
     (1, 1, "A1, Production orale = Peut se présenter simplement."),
@@ -37,39 +26,10 @@ def rows(d, name, data, schema):
     return name if d is S else f"({judging.literal(data, schema)})"
 
 
-def answers(d):
-    return rows(d, "answers", ANSWERS, "id long, text string")
-
-
 def descriptors(d):
     return rows(d, "descriptors", DESCRIPTORS, "document_id long, line long, text string")
 
 
-def envelopes(d):
-    """The object of an answer with a title: without fence, its last candidate, its state, and its items as lines."""
-    bare = d.sub("text", r"```(?:json)?")
-    found = d.every("bare", r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}")
-    with_title = d.keep("objects", "x", """contains(x, '"title"')""")
-    title = d.first("object", r"\x22title\x22\s*:\s*\x22([^\x22]*)\x22", 1)
-    listed = d.first("object", r"\x22items\x22\s*:\s*(\[[^\]]*\]|\x22[^\x22]*\x22)", 1)
-    parts = d.every("listed", r"\x22(?:content|text)\x22\s*:\s*\x22[^\x22]*\x22|\x22[^\x22]+\x22")
-    plain = d.keep(d.each(parts, "x", d.sub(d.sub("x", r"^\x22(?:content|text)\x22\s*:\s*"), r"\x22")), "x", "x NOT IN ('number', 'content', 'text')")
-    state = [(f"{d.size}(objects) = 0", "'no_object'"), (f"{d.size}(titled) = 0", "'no_signature'"), ("title = ''", "'incomplete'"), ("listed = ''", "'no_items'")]
-    steps = [
-        {"bare": bare}, {"objects": found}, {"titled": with_title}, {"object": f"CASE WHEN {d.size}(titled) > 0 THEN titled[{0 if d is S else 1}] ELSE '' END"}, {"title": title, "listed": listed},
-        {"items": d.join(d.keep(d.each(d.split(d.join(plain, "; "), "; *"), "x", "trim(x)"), "x", "x <> ''"), "|")},
-    ]
-    return f"SELECT id, title, items, {rules.first_of(state, chr(39) + 'complete' + chr(39))} AS state FROM {rules.stated(answers(d), steps)}"
-
-
-def closed_schema(d):
-    """Keys of an answer's objects that a closed schema doesn't know, and those it lacks."""
-    keys = d.each(d.every("text", r"\x22[a-z_]+\x22\s*:"), "x", d.sub("x", r"\x22|\s*:"))
-    known = "('title', 'items', 'number', 'content', 'text')"
-    return f"""SELECT id, {d.join(d.keep('keys', 'x', f'x NOT IN {known}'), ',')} AS unknown, concat_ws(',', CASE WHEN NOT contains(concat(',', {d.join('keys', ',')}, ','), ',title,') THEN 'title' END, CASE WHEN NOT contains(concat(',', {d.join('keys', ',')}, ','), ',items,') THEN 'items' END) AS missing
-    FROM (SELECT id, {keys} AS keys FROM {answers(d)})"""
-
-
 def descriptor_rows(d):
     """Descriptors of lines: rows of a table with its bars, repeated headers joined, and the first fault of each."""
     from_bars = d.sub("text", r"^([A-Za-z0-9+]+) *\| *([^|]+?) *\| *", "$1, $2 = " if d is S else r"\1, \2 = ")
@@ -153,12 +113,11 @@ def activity_faults(d):
     return f"SELECT fault, count(*) AS n, min(o_orderkey) AS first_id FROM (SELECT o_orderkey, {rules.first_of(why, chr(39) + 'valid' + chr(39))} AS fault FROM ({inner})) GROUP BY fault"
 
 
-ALL = (envelopes, closed_schema, descriptor_rows, descriptor_facts, fragment_windows, item_faults, generated_plans, knowledge_sets, skill_scales, orchestrated, activity_faults)
+ALL = (descriptor_rows, descriptor_facts, fragment_windows, item_faults, generated_plans, knowledge_sets, skill_scales, orchestrated, activity_faults)
 
 
 def run(rule):
     def query(spark, sf_dir):
-        spark.createDataFrame(ANSWERS, "id long, text string").createOrReplaceTempView("answers")
         spark.createDataFrame(DESCRIPTORS, "document_id long, line long, text string").createOrReplaceTempView("descriptors")
         return keeping.run(rule)(spark, sf_dir)
 
