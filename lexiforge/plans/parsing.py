@@ -1,61 +1,10 @@
-"""Queries over noisy output of models and over descriptor texts: objects, shapes, fragments, exercise items."""
+"""Queries over fragments of exercises, exercise items, plans and activities."""
 
 from __future__ import annotations
 
 from ..functions import rules
-from . import judging, keeping
-from .keeping import D, S
-
-#: Descriptor rows as they are extracted, some over two lines of a table.
-DESCRIPTORS = [
-    (1, 1, "A1, Production orale = Peut se présenter simplement."),
-    (1, 2, "A1, Production orale = Peut dire où il habite."),
-    (1, 3, "suite du texte sans titre"),
-    (1, 4, "B2, = Peut argumenter."),
-    (2, 1, "C1, Lecture = Pas de descripteur disponible, voir B2."),
-    (2, 2, "A2, 12 = x"),
-    (2, 3, "Z9, Lecture = Peut lire."),
-    (2, 4, "A2 | Lecture | Peut lire un texte court."),
-    (3, 1, "A1, traitement = Peut traiter."),
-    (3, 2, "B1, Écriture = court"),
-    (3, 3, "B1, Écriture = Peut écrire une lettre à un ami."),
-]
-
-
-def rows(d, name, data, schema):
-    return name if d is S else f"({judging.literal(data, schema)})"
-
-
-def descriptors(d):
-    return rows(d, "descriptors", DESCRIPTORS, "document_id long, line long, text string")
-
-
-def descriptor_rows(d):
-    """Descriptors of lines: rows of a table with its bars, repeated headers joined, and the first fault of each."""
-    from_bars = d.sub("text", r"^([A-Za-z0-9+]+) *\| *([^|]+?) *\| *", "$1, $2 = " if d is S else r"\1, \2 = ")
-    steps = [
-        {"norm": from_bars},
-        {"level": d.first("norm", "^ *([A-Za-z][0-9][+]?) *,", 1), "scale": f"trim({d.first('norm', '^[^,=]*,([^=]*)=', 1)})", "said": f"trim({d.sub('norm', '^[^=]*=', '')})"},
-        {"is_header": d.has("norm", "^[^,=]*,[^=]*=")},
-    ]
-    why = [
-        ("NOT is_header", "'CONTINUATION'"),
-        ("scale = ''", "'MISSING_SCALE'"),
-        (d.has("scale", r"^[\p{N}\p{P}\s]+$"), "'NUMERIC_OR_PUNCTUATION_SCALE'"),
-        (d.has("scale", r"^\p{Ll}"), "'INCOMPLETE_SCALE_FRAGMENT'"),
-        (f"{rules.level_name('level')} IS NULL", "'UNKNOWN_LEVEL'"),
-        (rules.any_of(d, "lower(said)", ("pas de descripteur disponible", "no descriptor available")), "'NO_DESCRIPTOR_AVAILABLE'"),
-        (f"{d.count('said', rules.W + '+')} < 3", "'TOO_SHORT'"),
-    ]
-    refers = d.first("said", r"(?:voir|see) ([A-C][12])", 1)
-    return f"SELECT document_id, line, level, scale, said, {refers} AS refers, {rules.first_of(why, chr(39) + 'ACCEPTED' + chr(39))} AS status FROM {rules.stated(descriptors(d), steps)}"
-
-
-def descriptor_facts(d):
-    """Accepted descriptors of a document with lines of a repeated header joined, and a digest of each: what a replacement would write."""
-    inner = f"SELECT document_id, level, scale, {keeping.joined(d, 'said', ' ', 'line')} AS text, min(line) AS line, count(*) AS lines FROM ({descriptor_rows(d)}) WHERE status = 'ACCEPTED' GROUP BY document_id, level, scale"
-    return f"SELECT document_id, level, scale, line, lines, {keeping.sha(d, f'concat_ws({d.lit(chr(31))}, level, scale, text)')} AS digest FROM ({inner})"
-
+from . import keeping
+from .keeping import D
 
 def fragment_windows(d):
     """A titled chunk with the chunks after it up to the next title, four at most: the text of an exercise in fragments."""
@@ -94,18 +43,6 @@ def knowledge_sets(d):
     return f"SELECT exercise_type, id, CAST(place AS BIGINT) AS place FROM (SELECT exercise_type, id, row_number() OVER (PARTITION BY exercise_type ORDER BY exercise_score DESC, id) AS place FROM ({first}) WHERE copy = 1) WHERE place <= 3"
 
 
-def skill_scales(d):
-    """Scales that a request's skills need, and those that have no descriptor at its level."""
-    skills = "(VALUES ('speaking', 'Production orale'), ('speaking', 'Interaction orale'), ('reading', 'Lecture'), ('writing', 'Écriture'), ('listening', 'Compréhension orale')) s(skill, scale)"
-    return f"SELECT r.level, s.skill, s.scale, count(f.digest) AS n, count(f.digest) = 0 AS missing FROM (VALUES ('A1'), ('B1')) r(level) CROSS JOIN {skills} LEFT JOIN ({descriptor_facts(d)}) f ON f.level = r.level AND f.scale = s.scale GROUP BY r.level, s.skill, s.scale"
-
-
-def orchestrated(d):
-    """What a request gets to know: descriptors of its level, resource chunks of it, and a warning for what is missing."""
-    rows_ = f"""SELECT r.level, (SELECT count(*) FROM ({descriptor_facts(d)}) f WHERE f.level = r.level) AS descriptors, (SELECT count(*) FROM {keeping.pieces_of(d)} p WHERE p.level = r.level) AS resources FROM (VALUES ('A1'), ('A2'), ('B1'), ('C2')) r(level)"""
-    return f"SELECT level, descriptors, resources, concat_ws(',', CASE WHEN descriptors = 0 THEN 'NO_DESCRIPTORS' END, CASE WHEN resources = 0 THEN 'NO_RESOURCES' END) AS warnings FROM ({rows_})"
-
-
 def activity_faults(d):
     """Faults of an activity made of an order: steps that don't add up, no material, a repeated step, a duration out of bounds."""
     why = [("lines = 0", "'no_steps'"), ("parts < lines", "'repeated_material'"), ("minutes < 10 OR minutes > 180", "'duration_out_of_bounds'"), ("lines > 6", "'too_many_steps'")]
@@ -113,16 +50,7 @@ def activity_faults(d):
     return f"SELECT fault, count(*) AS n, min(o_orderkey) AS first_id FROM (SELECT o_orderkey, {rules.first_of(why, chr(39) + 'valid' + chr(39))} AS fault FROM ({inner})) GROUP BY fault"
 
 
-ALL = (descriptor_rows, descriptor_facts, fragment_windows, item_faults, generated_plans, knowledge_sets, skill_scales, orchestrated, activity_faults)
-
-
-def run(rule):
-    def query(spark, sf_dir):
-        spark.createDataFrame(DESCRIPTORS, "document_id long, line long, text string").createOrReplaceTempView("descriptors")
-        return keeping.run(rule)(spark, sf_dir)
-
-    query.__doc__ = rule.__doc__
-    return query
+ALL = (fragment_windows, item_faults, generated_plans, knowledge_sets, activity_faults)
 
 
-QUERIES = {rule.__name__: (run(rule), rule(D)) for rule in ALL}
+QUERIES = {rule.__name__: (keeping.run(rule), rule(D)) for rule in ALL}

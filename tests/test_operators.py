@@ -100,28 +100,6 @@ def test_near_copies_equal_brute_force(spark):
     assert got == want
 
 
-def test_descriptors(spark):
-    from lexiforge.operators import descriptors as D
-
-    texts = [
-        (1, "C2, Scale X = Can understand everything heard. C1, Scale X = Can follow long speech well. B2, Scale Y = Can follow lectures ."),
-        (2, "A1, 1 = Can say who they are"),
-        (3, "A1, traitement = Can say who they are"),
-        (4, "C2, Scale X = Pas de descripteur disponible, voir C1."),
-        (5, "A1 | Peut répondre brièvement."),
-        (6, None),
-        (7, "C1, Scale  x = Can follow  long speech well."),
-    ]
-    records = D.parsed(spark.createDataFrame(texts, "chunk_id int, text string")).cache()
-    got = [(r.chunk_id, r.level, r.scale, r.status, r.reference_level, r.reason) for r in records.orderBy("chunk_id", "place").collect()]
-    assert [g[1] for g in got[:3]] == ["C2", "C1", "B2"] and all(g[3] == "AVAILABLE" for g in got[:3])
-    assert got[3][5] == "NUMERIC_OR_PUNCTUATION_SCALE" and got[4][5] == "INCOMPLETE_SCALE_FRAGMENT"
-    assert got[5][3:5] == ("NO_DESCRIPTOR_AVAILABLE", "C1") and len(got) == 7
-    made = D.star(records)
-    assert {r.scale_key for r in made["scales"].collect()} == {"scale x", "scale y"}
-    assert made["descriptors"].count() == 4 and made["sources"].count() == 5
-
-
 def test_contexts(spark):
     from lexiforge.operators import contexts as C
 
