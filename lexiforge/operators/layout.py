@@ -53,15 +53,30 @@ def lines_of(boxes: list[dict], gap: float) -> list[str]:
     return out
 
 
+#: What a unit of vertical and of horizontal distance costs.
+DOWN, ACROSS = 2.0, 0.35
+
+
 def captions(images: DataFrame, texts: DataFrame, page: str, most: float = 120.0) -> DataFrame:
-    """Each image (image_id, page, box) with the text (page, box, text) next to it: the least 2 dy + 0.35 dx, up to ``most``."""
-    near = texts.select(page, F.col("box").alias("b"), F.col("text").alias("near_text"))
-    pairs = images.join(near, page)
+    """Each image (image_id, page, box) with the text (page, box, text) next to it: the least 2 dy + 0.35 dx, up to ``most``.
+
+    A page is a grid whose cells are as large as the reach of an image; an image meets only the texts in the
+    cells that its reach touches, so that pairs grow with the boxes and not with their square.
+    """
+    high, wide = most / DOWN, most / ACROSS
+
+    def in_cells(rows: DataFrame, box: str, dy: float, dx: float) -> DataFrame:
+        steps = lambda low, top, size: F.sequence(F.floor(low / size), F.floor(top / size))
+        b = F.col(box)
+        rows = rows.withColumn("row", F.explode(steps(b["t"] - dy, b["b"] + dy, high)))
+        return rows.withColumn("column", F.explode(steps(b["l"] - dx, b["r"] + dx, wide)))
+
+    near = in_cells(texts.select(page, F.col("box").alias("b"), F.col("text").alias("near_text")), "b", 0.0, 0.0)
+    pairs = in_cells(images.select("image_id", page, "box"), "box", high, wide).join(near, [page, "row", "column"])
     apart = lambda a, b, c, d: F.greatest(F.lit(0.0), a - d, c - b)
     dy = apart(F.col("box.t"), F.col("box.b"), F.col("b.t"), F.col("b.b"))
     dx = apart(F.col("box.l"), F.col("box.r"), F.col("b.l"), F.col("b.r"))
-    cost = 2 * dy + 0.35 * dx
-    best = pairs.withColumn("cost", cost).filter(F.col("cost") <= most).groupBy("image_id").agg(F.min_by("near_text", F.struct("cost", "near_text")).alias("caption"))
+    best = pairs.withColumn("cost", DOWN * dy + ACROSS * dx).filter(F.col("cost") <= most).groupBy("image_id").agg(F.min_by("near_text", F.struct("cost", "near_text")).alias("caption"))
     return images.join(best, "image_id", "left")
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks, contexts, layout, tables
+from ..sources import vectors
+from ..sources.shared import shared_folder
 from .judging import PIECES, pieces
 
 
@@ -116,9 +121,20 @@ def appended_exchanges(spark, d):
     return tables.appended(turns, new, "conv_id", "turn").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
+def stored_vectors(spark, d):
+    """The vectors as points of a store, every third one written again with another payload, read back from "v2" on."""
+    vectors.register(spark)
+    options = {"path": f"{urlparse(shared_folder(spark)).path}/{uuid.uuid4().hex}", "collection": "points"}
+    points = read(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("payload"), "vec_id")
+    for rows in (points, points.filter("vec_id % 3 = 0").withColumn("payload", F.lit("changed"))):
+        rows.drop("vec_id").write.format("vector_store").mode("append").options(**options).save()
+    found = spark.read.format("vector_store").options(**options).load().filter("id >= 'v2'")
+    return found.select("id", "payload", F.size("vector").alias("width"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+
+
 def folded_texts(spark, d):
     """Digests of texts without accents and case."""
-    return read(spark, d, "documents").select("doc_id", F.md5(T.folded(F.substring("text", 1, 300))).alias("digest"))
+    return read(spark, d, "documents").select("doc_id", F.md5(T.folded(F.col("text"))).alias("digest"))
 
 
 TERMS = r"list_distinct(list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+(?:[''’\-][\p{{L}}\p{{N}}]+)*'), lambda t: length(t) >= 2))"
@@ -176,5 +192,6 @@ QUERIES = {
         """WITH n AS (SELECT conv_id, count(*) AS n, max(turn) AS final FROM conversations GROUP BY conv_id), e AS (SELECT conv_id + CASE WHEN conv_id % 4 = 0 THEN 1000000 ELSE 0 END AS conv_id, CASE WHEN conv_id % 4 = 0 THEN 0 ELSE final END AS final, n FROM n)
         SELECT conv_id, turn, role, md5(text) AS digest FROM conversations UNION ALL SELECT conv_id, final + 1, 'user', md5('q' || n) FROM e UNION ALL SELECT conv_id, final + 2, 'assistant', md5('a' || n) FROM e""",
     ),
-    "folded_texts": (folded_texts, r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(strip_accents(substr(text, 1, 300))), 'ß', 'ss'), '[\p{Z}\x09-\x0D]+', ' ', 'g'))) AS digest FROM documents"),
+    "folded_texts": (folded_texts, r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[\p{Z}\x09-\x0D]+', ' ', 'g'))) AS digest FROM documents"),
+    "stored_vectors": (stored_vectors, "SELECT 'v' || vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'changed' ELSE coalesce(label::VARCHAR, 'none') END AS payload, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE 'v' || vec_id >= 'v2'"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, tables
 from ..operators import chunking, composing
 from . import judging
 
@@ -89,3 +89,28 @@ QUERIES = {
         SELECT request, (n - 1)::BIGINT AS place, id FROM f WHERE took""",
     ),
 }
+
+
+def sql_contexts(spark, d):
+    """The same contexts by a table function in SQL: each request's candidates in order, within 1,800 tokens."""
+    tables.register(spark)
+    rows = candidates(spark, d).select("request", "id", "tokens")
+    return spark.sql("SELECT request, id, place, tokens FROM context_within(TABLE({rows}) PARTITION BY (request) ORDER BY (id), 6, 1800)", rows=rows)
+
+
+def sql_composed(spark, d):
+    """The composer's six of each request's twenty first candidates by a table function in SQL."""
+    tables.register(spark)
+    rows = candidates(spark, d).drop("content", "tokens")
+    return spark.sql("SELECT request, place, id, reason FROM composed_context(TABLE({rows}) PARTITION BY (request) ORDER BY (id))", rows=rows)
+
+
+_REQUESTED = f"SELECT document_id // 5 AS request, id, len(regexp_extract_all(content, '{WORDS}')) AS tokens FROM {judging.PIECES}"
+QUERIES["sql_contexts"] = (
+    sql_contexts,
+    f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY id) AS n FROM ({_REQUESTED})),
+    f AS (SELECT DISTINCT request, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS taken, NULL::BIGINT AS id, 0::BIGINT AS tokens, false AS kept FROM c
+      UNION ALL SELECT f.request, c.n, CASE WHEN {{fits}} THEN f.used + c.tokens ELSE f.used END, CASE WHEN {{fits}} THEN f.taken + 1 ELSE f.taken END, c.id, c.tokens, {{fits}} FROM f JOIN c ON c.request = f.request AND c.n = f.n + 1)
+    SELECT request, id, taken - 1 AS place, tokens FROM f WHERE kept""".replace("{fits}", "(f.used + c.tokens <= 1800 AND f.taken < 6)"),
+)
+QUERIES["sql_composed"] = (sql_composed, None)
