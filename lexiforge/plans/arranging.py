@@ -51,8 +51,8 @@ def page_sections(spark, d):
 def associated_images(spark, d):
     """Each file's first chunk as the text near a picture: the chunk that shares terms with it."""
     rows = pieces(spark, d).drop("page").withColumnRenamed("document_id", "page")
-    images = rows.filter("chunk_index = 0").select(F.col("id").alias("image_id"), "page", F.substring("content", 1, 200).alias("nearby_text"))
-    chunks = rows.filter("chunk_index > 0").select(F.col("id").alias("chunk_id"), "page", F.substring("content", 1, 400).alias("text"))
+    images = rows.filter("chunk_index = 0").select(F.col("id").alias("image_id"), "page", F.col("content").alias("nearby_text"))
+    chunks = rows.filter("chunk_index > 0").select(F.col("id").alias("chunk_id"), "page", F.col("content").alias("text"))
     return layout.associated(images, chunks, least=4)
 
 
@@ -162,7 +162,7 @@ QUERIES = {
     "page_sections": (page_sections, rf"SELECT id, sum(CASE WHEN kind = 'list' OR regexp_matches(content, '^\s*\d{{1,2}}[.)]\s') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY chunk_index)::BIGINT AS section FROM {PIECES}"),
     "associated_images": (
         associated_images,
-        f"""WITH p AS (SELECT * FROM {PIECES}), i AS (SELECT id AS image_id, document_id AS page, unnest({TERMS.format('substr(content, 1, 200)')}) AS term FROM p WHERE chunk_index = 0), c AS (SELECT id AS chunk_id, document_id AS page, unnest({TERMS.format('substr(content, 1, 400)')}) AS term FROM p WHERE chunk_index > 0),
+        f"""WITH p AS (SELECT * FROM {PIECES}), i AS (SELECT id AS image_id, document_id AS page, unnest({TERMS.format('content')}) AS term FROM p WHERE chunk_index = 0), c AS (SELECT id AS chunk_id, document_id AS page, unnest({TERMS.format('content')}) AS term FROM p WHERE chunk_index > 0),
         s AS (SELECT image_id, chunk_id FROM i JOIN c USING (page, term) GROUP BY ALL HAVING count(*) >= 4), m AS (SELECT image_id, CASE WHEN count(*) = 1 THEN min(chunk_id) END AS matched FROM s GROUP BY image_id),
         a AS (SELECT document_id AS page, CASE WHEN count(*) = 1 THEN min(id) END AS alone FROM p WHERE chunk_index > 0 GROUP BY 1)
         SELECT p.id AS image_id, coalesce(matched, alone) AS chunk_id FROM p LEFT JOIN m ON m.image_id = p.id LEFT JOIN a ON a.page = p.document_id WHERE chunk_index = 0""",

@@ -151,7 +151,7 @@ def answer_sources(d):
 
 def case_summary(d):
     """Measures of all cases: booleans summed, numbers averaged over the cases that have them."""
-    rows = f"""SELECT b.item_id, b.item_id % 4 AS stage, p.level, length(p.content) AS n, contains(p.content, substr(b.text, 1, 30)) AS hit FROM benchmark b LEFT JOIN {pieces_of(d)} p ON p.id = b.item_id"""
+    rows = f"""SELECT b.item_id, b.item_id % 4 AS stage, p.level, length(p.content) AS n, contains(p.content, b.text) AS hit FROM benchmark b LEFT JOIN {pieces_of(d)} p ON p.id = b.item_id"""
     return f"SELECT stage, count(*) AS cases, count(*) FILTER (WHERE hit) AS hits, round(avg(n), 4) AS mean_length, count(level) AS levelled FROM ({rows}) GROUP BY stage"
 
 
@@ -217,7 +217,7 @@ def page_spans(d):
 def labels_removed(d):
     """Answers without internal labels, in brackets, after a cue or bare, with any dash."""
     label = r"(?:BLOCK|SOURCE|CHUNK)[ _–—‑-]?[0-9]+"
-    said = "concat(substr(content, 1, 60), ' (voir BLOCK-', CAST(id % 9 AS STRING), ') [SOURCE ', CAST(id % 7 AS STRING), '], selon CHUNK_3 BLOCK–2')"
+    said = "concat(content, ' (voir BLOCK-', CAST(id % 9 AS STRING), ') [SOURCE ', CAST(id % 7 AS STRING), '], selon CHUNK_3 BLOCK–2')"
     clean = d.sub(d.sub(d.sub(d.sub("said", rf"\((?:voir |see )?{label}\)"), rf"\[{label}\]"), rf"(?:selon|d.après|according to) {label}"), label)
     return f"SELECT id, {clean} AS answer FROM (SELECT id, {said} AS said FROM {pieces_of(d)})"
 
@@ -242,8 +242,8 @@ def passages_rendered(d):
 
 
 def demanded_complexity(d):
-    """Chunks of the levels up to B1 that ask for complex sentences."""
-    return f"SELECT id, level FROM {pieces_of(d)} WHERE {rules.level_name('level')} IN ('A1', 'A2', 'B1') AND ({d.has('lower(content)', '(?:phrases?|sentences?|texte?s?) (?:très )?(?:complexes?|longues?)')} OR {d.has('lower(content)', 'argument|nuance|complex')} OR length(content) % 97 = 0)"
+    """Whether a chunk of the levels up to B1 asks for complex sentences."""
+    return f"SELECT id, level, ({d.has('lower(content)', '(?:phrases?|sentences?|texte?s?) (?:très )?(?:complexes?|longues?)')} OR {d.has('lower(content)', 'argument|nuance|complex')}) AS demanded FROM {pieces_of(d)} WHERE {rules.level_name('level')} IN ('A1', 'A2', 'B1')"
 
 
 def provider_notes(d):
