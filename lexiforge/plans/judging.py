@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rules import Duck, Spark
+from ..operators.impacts import BROADCAST_ROWS, if_small
+from ..sources.shared import built
 
 S, D = Spark(), Duck()
 
@@ -278,16 +280,17 @@ REQUEST_STEPS = lambda d: [*rules.search_request(d, "text"), {"asked_words": d.s
 
 
 def exercise_search(spark, d):
-    """For each stated request the twelve best exercises of its type, or of any where it names none, by the blended score.
+    """For each request, the items' included, the twelve best exercises of its type, or of any where it names none, by the blended score.
 
-    A block of another explicit level than the asked one is excluded. The request set is stated and small;
-    blocks meet it by type.
+    A block of another explicit level than the asked one is excluded. Requests are a stated set; blocks meet
+    them by type.
     """
-    asked = rules.applied(spark.createDataFrame(REQUESTS, "item_id long, text string"), REQUEST_STEPS(S))
+    asked = rules.applied(requests(spark, d), REQUEST_STEPS(S))
     asked = asked.withColumn("kinds", F.when(F.col("asked_type").isNull(), F.array(*map(F.lit, TYPES))).otherwise(F.array("asked_type"))).withColumn("exercise_type", F.explode("kinds"))
     judged = rules.applied(pieces(spark, d), candidate_steps(S))
+    asked = if_small(built(asked.select("item_id", "asked_level", "asked_type", "asked_first_skill", "asked_words", "exercise_type")), BROADCAST_ROWS)
     blocks = rules.settled(judged, "id", "content", "exercise_type", "exercise_confidence", "explicit_level", "skill", "is_exercise").filter("is_exercise")
-    met = blocks.join(F.broadcast(asked.select("item_id", "asked_level", "asked_type", "asked_first_skill", "asked_words", "exercise_type")), "exercise_type")  # REQUESTS x TYPES rows
+    met = blocks.join(asked, "exercise_type")
     sound = met.filter("asked_level IS NULL OR explicit_level IS NULL OR explicit_level = asked_level")
     shared = F.size(F.filter("asked_words", lambda w: (w != "") & F.contains(F.lower("content"), w)))
     counted = sound.withColumn("n_shared", shared).withColumn("n_theme", F.size(F.filter("asked_words", lambda w: w != "")))
@@ -299,7 +302,7 @@ def exercise_search(spark, d):
 
 
 TYPES = ("matching", "true_false", "ordering", "transformation", "production", "fill_blank", "qcm", "open_question", "mixed")
-_SEARCH = f"""WITH a AS (SELECT *, unnest(CASE WHEN asked_type IS NULL THEN [{', '.join(f"'{t}'" for t in TYPES)}] ELSE [asked_type] END) AS exercise_type FROM {rules.stated(f"({literal(REQUESTS, 'item_id long, text string')})", REQUEST_STEPS(D))}),
+_SEARCH = f"""WITH a AS (SELECT *, unnest(CASE WHEN asked_type IS NULL THEN [{', '.join(f"'{t}'" for t in TYPES)}] ELSE [asked_type] END) AS exercise_type FROM {rules.stated(ASKED_SQL, REQUEST_STEPS(D))}),
  b AS (SELECT id, content, exercise_type, exercise_confidence, explicit_level, skill FROM {rules.stated(PIECES, candidate_steps(D))} WHERE is_exercise),
  m AS (SELECT item_id, asked_level, asked_type, asked_first_skill, b.*, len(list_filter(asked_words, lambda w: w <> '' AND contains(lower(content), w))) AS n_shared, len(list_filter(asked_words, lambda w: w <> '')) AS n_theme
    FROM b JOIN a USING (exercise_type) WHERE asked_level IS NULL OR explicit_level IS NULL OR explicit_level = asked_level),
