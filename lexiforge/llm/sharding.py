@@ -42,8 +42,8 @@ def longest_first(sizes: list[tuple[int, object]], shards: int) -> dict:
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", shard_name: str = "shard", slot: str = "slot", order: str = "doc_id") -> DataFrame:
     """``docs`` without its text, with ``size``, ``text_crc32``, a shard (0 to shards - 1) and a gapless slot in it.
 
-    A null text counts as an empty one (and shares its group). Slots follow ``order``, nulls first;
-    repeated rows have slots of their own. An empty table gives an empty one. Other columns stay;
+    A null text counts as an empty one (and shares its group). Slots follow ranges of a hash of ``order``, so that
+    they are numbered in many tasks, and say nothing of its own order; repeated rows have slots of their own. An empty table gives an empty one. Other columns stay;
     those with a new column's name are replaced.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
