@@ -6,6 +6,8 @@ Each is one SQL text that Spark runs over views of the tables; ``d`` spells what
 
 from __future__ import annotations
 
+import re
+
 from ..functions import rules
 from ..functions.rules import Duck, Spark
 from . import judging
@@ -300,15 +302,22 @@ ALL = (
 )
 
 
+def bound(spark, sql: str, tables: dict):
+    """A query over DataFrames by name, which leaves the session's views as they are."""
+    used = {}
+
+    def name(found):
+        used[found[3]] = tables[found[3]]()
+        return f"{found[1]}{found[2]}{{{found[3]}}}"
+
+    text = re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(tables)})\b", name, sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **used)
+
+
 def run(rule):
     def query(spark, sf_dir):
-        sql = rule(S)
-        for t in TABLES:
-            if t in sql or t == "documents":
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        judging.pieces(spark, sf_dir).createOrReplaceTempView("pieces")
-        judging.requests(spark, sf_dir).createOrReplaceTempView("asked")
-        return spark.sql(sql)
+        tables = {t: lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+        return bound(spark, rule(S), tables | {"pieces": lambda: judging.pieces(spark, sf_dir), "asked": lambda: judging.requests(spark, sf_dir)})
 
     query.__doc__ = rule.__doc__
     return query
