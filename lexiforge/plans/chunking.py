@@ -21,12 +21,12 @@ def packed_chunks(spark, d):
 
 
 def table_chunks(spark, d):
-    """Tables of labels, one for each language, cut by rows under a repeated header."""
+    """Tables of documents, one for each language and 64 ids, cut by rows under a repeated header."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     line = F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), "source", F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" |"))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("line")))), lambda x: x["line"])
     text = F.concat(F.lit("| id | source | chars |\n|---|---|---|\n"), F.array_join(rows, "\n"))
-    tables = docs.groupBy("lang", (F.col("doc_id") % 16).alias("part")).agg(text.alias("text")).select(F.concat_ws("-", "lang", "part").alias("name"), "text", F.lit("table").alias("kind"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("heading"))
+    tables = docs.groupBy("lang", F.floor(F.col("doc_id") / 64).alias("part")).agg(text.alias("text")).select(F.concat_ws("-", "lang", "part").alias("name"), "text", F.lit("table").alias("kind"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("heading"))
     c = chunking.chunks(tables, "name", "text", "kind", "title", "heading", BUDGET)
     return c.select("name", "chunk_index", "tokens", F.md5("content").alias("digest"))
 
@@ -71,7 +71,7 @@ QUERIES = {
     ),
     "table_chunks": (
         table_chunks,
-        rf"""WITH RECURSIVE l AS (SELECT lang || '-' || doc_id % 16 AS name, row_number() OVER (PARTITION BY lang, doc_id % 16 ORDER BY doc_id) AS r, '| ' || doc_id || ' | ' || source || ' | ' || n_chars || ' |' AS line FROM documents),
+        rf"""WITH RECURSIVE l AS (SELECT lang || '-' || doc_id // 64 AS name, row_number() OVER (PARTITION BY lang, doc_id // 64 ORDER BY doc_id) AS r, '| ' || doc_id || ' | ' || source || ' | ' || n_chars || ' |' AS line FROM documents),
         h AS (SELECT '| id | source | chars |' || chr(10) || '|---|---|---|' AS head), k AS (SELECT head, len(regexp_extract_all(head, '{WORDS}')) AS hm, {BUDGET} - len(regexp_extract_all('Document: t', '{WORDS}')) AS room FROM h),
         a AS (SELECT name, string_agg(line, chr(10) ORDER BY r) AS whole FROM l GROUP BY name), z AS (SELECT name, head || chr(10) || whole AS t, len(regexp_extract_all(head || chr(10) || whole, '{WORDS}')) AS m FROM a, k),
         o AS (SELECT l.*, len(regexp_extract_all(line, '{WORDS}')) AS m FROM l JOIN z USING (name), k WHERE z.m > k.room),
