@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import accepting, arranging, chunking, describing, exercising, judging, keeping, owning, parsing, relating, retrieving, shaping, texts
+from . import accepting, arranging, chunking, describing, exercising, judging, keeping, materials, owning, parsing, relating, retrieving, shaping, texts
 
 FLAGSHIP = "source_summary"
-GROUPS = (relating, texts, retrieving, judging, keeping, parsing, chunking, arranging, exercising, shaping, describing, accepting, owning)
+GROUPS = (relating, texts, retrieving, judging, keeping, parsing, chunking, arranging, exercising, shaping, describing, accepting, owning, materials)
 
 
 def queries():
