@@ -111,15 +111,30 @@ class Model:
 
     def chunk(self, chunk: str) -> tuple[float, ...]:
         """Words, then per reading the sum of ratios, the sum of strong ones and the largest."""
-        ratios = [[], []]
-        for w in words(chunk):
-            ratios[0].append(self.seen.get(w, self.unseen))
-            total = 0.0
-            for _, a, b in grams(w)[1:]:
-                r = self.pieces.get(f"{a}\n{b}")
-                total += self.escapes.get(a, 0.0) if r is None else r
-            ratios[1].append(total)
-        return (len(ratios[0]), *(x for r in ratios for x in (sum(r), sum(v for v in r if v > STRONG), max(r, default=0))))
+        found = _LETTERS.findall(chunk.lower())
+        if not found:
+            return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        seen, unseen, pieces, escapes = self.seen, self.unseen, self.pieces, self.escapes
+        whole, whole_strong, whole_top, parts, parts_strong, parts_top = 0.0, 0.0, -math.inf, 0.0, 0.0, -math.inf
+        for w in found:
+            r = seen.get(w, unseen)
+            whole += r
+            if r > whole_top:
+                whole_top = r
+            if r > STRONG:
+                whole_strong += r
+            total, before = 0.0, ""
+            for i in range(0, len(w), PIECE):
+                piece = w[i : i + PIECE]
+                r = pieces.get(f"{before}\n{piece}")
+                total += escapes.get(before, 0.0) if r is None else r
+                before = piece
+            parts += total
+            if total > parts_top:
+                parts_top = total
+            if total > STRONG:
+                parts_strong += total
+        return (len(found), whole, whole_strong, whole_top, parts, parts_strong, parts_top)
 
     def features(self, text: str) -> list[float]:
         if len(self.cache) > CACHED_CHUNKS:
