@@ -7,28 +7,62 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import built
+from .impacts import BROADCAST_ROWS, if_small
+
+
+#: Fixed value: rows of a term that meet in one task; a more frequent term's rows are dealt out in tiles.
+TILE = 2_000
+#: Fixed value: candidates of a class that are looked at in one round after the first.
+RESIDUES = 16
 
 
 def near_copies(rows: DataFrame, key: str, body: str, least: float = 0.78) -> DataFrame:
     """(key, representative): for each row the first one whose first 180 characters share so many terms with its own.
 
     Rows with the same terms are one class, which its least key stands for; only classes are compared, so that
-    copies make no pairs. Candidates share one of the rarest terms that two such texts cannot all miss. A row
-    without terms, or without a like before it, stands for itself.
+    copies make no pairs. Candidates share one of the rarest terms that two such texts cannot all miss, and the
+    bit maps of their terms differ in no more places than their terms may. Pairs are never written: each class
+    keeps its least candidate, is held against it term by term, and goes on to the next one where that fails.
+    A row without terms, or without a like before it, stands for itself.
     """
     terms = F.array_sort(F.array_distinct(F.filter(T.terms(F.substring(F.col(body), 1, 180)), lambda t: F.char_length(t) >= 2)))
-    sets = rows.select(F.col(key).alias("k"), terms.alias("t"))
-    classes = sets.filter(F.size("t") > 0).groupBy("t").agg(F.min("k").alias("c"))
-    each = classes.select("c", F.explode("t").alias("term"), F.size("t").alias("n"))
+    sets = built(rows.select(F.col(key).alias("k"), terms.alias("t")))
+    classes = built(sets.filter(F.size("t") > 0).groupBy("t").agg(F.min("k").alias("c")))
+    each = classes.select("c", F.explode("t").alias("term"), F.size("t").alias("n")).withColumn("h", F.xxhash64("term"))
     # by rarity, ties by term: two sets with the similarity share a term among the first ones of both
     rare = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term")
     place = F.row_number().over(Window.partitionBy("c").orderBy("df", "term"))
-    reach = F.col("n") - F.ceil(F.col("n") * least / (2 - least)) + 1
-    prefix = rare.withColumn("p", place).filter(F.col("p") <= reach).select("c", "term")
-    a, b = (prefix.select(F.col("c").alias(n), "term") for n in ("a", "b"))
-    pairs = a.join(b, "term").filter("a < b").select("a", "b").distinct()
-    with_sets = pairs.join(classes.select(F.col("c").alias("a"), F.col("t").alias("s")), "a").join(classes.select(F.col("c").alias("b"), "t"), "b")
-    near = with_sets.filter(F.round(T.dice(F.col("s"), F.col("t")), 6) >= least).groupBy("b").agg(F.min("a").alias("near"))
+    reach = F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1
+    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    maps = [F.bit_or(F.when(F.expr(f"(h >> 6) & 3 = {i}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"x{i}") for i in range(4)]
+    first = F.collect_list(F.when((F.col("p") <= reach) & (F.col("df") > 1), F.struct("h", F.ceil(F.col("df") / TILE).cast("int").alias("tiles")))).alias("first")
+    marked = rare.withColumn("p", place).groupBy("c", "n").agg(*maps, first)
+    prefix = built(marked.select("c", "n", "x0", "x1", "x2", "x3", F.inline("first")))
+    a = prefix.select("h", F.pmod(F.xxhash64("c"), "tiles").cast("int").alias("tile"), F.col("c").alias("a"), F.col("n").alias("m"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(4)])
+    b = prefix.select("h", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("c").alias("b"), "n", "x0", "x1", "x2", "x3")
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, 4)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    # a similarity is rounded to six places
+    both = F.col("n") + F.col("m")
+    like = (F.abs(F.col("n") - F.col("m")) <= both * (1 - least + 1e-6)) & (apart <= both * (1 - least + 1e-6))
+    kind = prefix.schema["c"].dataType
+    residue = F.pmod(F.xxhash64("a"), F.lit(RESIDUES)).cast("int")
+    left, keys, near = b.withColumn("r", F.lit(0)).withColumn("past", F.lit(None).cast(kind)).withColumn("best", F.lit(None).cast(kind)), ["h", "tile"], None
+    while True:
+        met = a.withColumn("r", residue).join(left, keys) if near is not None else a.join(left, keys)
+        open_ = F.coalesce(F.col("a") > F.col("past"), F.lit(True)) & (F.col("a") < F.coalesce("best", "b"))
+        least_of = met.filter(open_ & like).groupBy("b", "r").agg(F.min("a").alias("a"), F.min("best").alias("best"))
+        held = least_of.join(classes.select(F.col("c").alias("a"), F.col("t").alias("s")), "a").join(classes.select(F.col("c").alias("b"), "t"), "b")
+        judged = built(held.select("b", "r", "a", "best", (F.round(T.dice(F.col("s"), F.col("t")), 6) >= least).alias("found")))
+        found = judged.filter("found").select("b", F.col("a").alias("near"))
+        open_rows = judged.filter("NOT found").select("b", "r", F.col("a").alias("past"), "best")
+        # from the second round on a class has a candidate of each residue, so that few rounds are left
+        more = open_rows.drop("r").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(RESIDUES - 1)))) if near is None else open_rows
+        more = built(more.join(found.groupBy("b").agg(F.min("near").alias("near")), "b", "left").withColumn("best", F.least("best", "near")).filter("best IS NULL OR past < best").drop("near"))
+        near = found if near is None else near.unionByName(found)
+        if more.isEmpty():
+            break
+        left, keys = b.join(if_small(more, BROADCAST_ROWS), "b"), ["h", "tile", "r"]
+    near = near.groupBy("b").agg(F.min("near").alias("near"))
     own = sets.join(classes, "t", "left").join(near.withColumnRenamed("b", "c"), "c", "left")
     return own.select(F.col("k").alias(key), F.coalesce("near", "c", "k").alias("representative"))
 

@@ -100,6 +100,41 @@ def test_near_copies_equal_brute_force(spark):
     assert got == want
 
 
+def written(spark, job) -> int:
+    """Bytes that the stages of a job write for shuffles."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+    every = lambda: {s.stageId(): s.shuffleWriteBytes() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()))}
+    before = every()
+    job()
+    return sum(n for i, n in every().items() if i not in before)
+
+
+def test_near_copies_of_few_words_write_no_pairs(spark):
+    """Texts of a small vocabulary share their rarest words with most others; near copies of one text are like each other."""
+    import random
+
+    from lexiforge.operators import exercises as X
+
+    r = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(70)]
+    texts = [" ".join(r.sample(vocabulary, 30)) for _ in range(1_200)]
+    texts += [" ".join(w if r.random() < 0.9 else f"x{r.randrange(4)}" for w in vocabulary[:30]) for _ in range(150)]
+    rows, got = spark.createDataFrame(list(enumerate(texts)), "i long, text string"), {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = written(spark, lambda: got.update({p.i: p.representative for p in X.near_copies(rows, "i", "text").collect()}))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sets = [frozenset(t[:180].split()) for t in texts]
+    first = {s: sets.index(s) for s in sets}
+    near = lambda a, b: round(2 * len(a & b) / (len(a) + len(b)), 6) >= 0.78
+    want = {i: min([j for t, j in first.items() if j < first[s] and near(s, t)] or [first[s]]) for i, s in enumerate(sets)}
+    assert got == want
+    assert len(set(want.values())) < len(texts) - 50
+    assert n < 10_000_000, n
+
+
 def test_contexts(spark):
     from lexiforge.operators import contexts as C
 
