@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -286,92 +285,91 @@ def unpacked(data: bytes) -> tuple[Node, list[int]]:
     return shaped(path[0]), rows["text"].tolist()
 
 
-#: Pairs of children that are aligned exactly; longer lists are first cut at children of a shape that only they have.
+#: Pairs of children up to which a plain table is filled; beyond it numpy fills it row by row.
 CELLS = 400
-#: How far a child of a long list without such cuts looks for its like.
-AHEAD = 50
+#: Pairs of children up to which a table is kept for the way back; beyond it the lists are halved, which needs two rows only.
+TABLE = 4_000_000
 
 
-def blocks_of(p: list[Node], q: list[Node]) -> list[tuple[list[Node], list[Node]]]:
-    """Two lists of children cut into pairs of runs, in order, that are aligned each by itself.
-
-    Equal shapes at both ends pair off. What remains is one block, if it is small; else it is cut at the
-    longest chain of shapes that occur once in either list, and a long block without such is paired off by
-    tags, each child with the next of its tag.
-    """
+def ends_of(p: list[Node], q: list[Node]) -> tuple[int, int]:
+    """How many children of equal shapes two lists have at their beginnings, and at their ends: these pair off in a largest matching."""
     i, n = 0, min(len(p), len(q))
     while i < n and p[i].shape == q[i].shape:
         i += 1
     j = 0
     while j < n - i and p[-1 - j].shape == q[-1 - j].shape:
         j += 1
-    ends = [([c], [d]) for c, d in zip(p[len(p) - j :], q[len(q) - j :], strict=True)]
-    out = [([c], [d]) for c, d in zip(p[:i], q[:i], strict=True)]
-    p, q = p[i : len(p) - j], q[i : len(q) - j]
-    if not p or not q:
-        return out + ends
-    if len(p) * len(q) <= CELLS:
-        return [*out, (p, q), *ends]
-    once_p, once_q = (Counter(c.shape for c in x) for x in (p, q))
-    place = {d.shape: k for k, d in enumerate(q) if once_q[d.shape] == 1}
-    common = [(k, place[c.shape]) for k, c in enumerate(p) if once_p[c.shape] == 1 and c.shape in place]
-    cuts = longest_chain(common)
-    if cuts:
-        a = b = 0
-        for k, m in [*cuts, (len(p), len(q))]:
-            out += blocks_of(p[a:k], q[b:m])
-            if k < len(p):
-                out.append(([p[k]], [q[m]]))
-            a, b = k + 1, m + 1
-        return out + ends
-    b = 0
-    for c in p:
-        found = next((m for m in range(b, min(len(q), b + AHEAD)) if q[m].tag == c.tag), None)
-        if found is not None:
-            out.append(([c], [q[found]]))
-            b = found + 1
-    return out + ends
-
-
-def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A longest chain of pairs, sorted by the first, that rises in the second."""
-    tops: list[int] = []
-    at: list[int] = []
-    before = [-1] * len(pairs)
-    for k, (_, m) in enumerate(pairs):
-        n = bisect_left(tops, m)
-        before[k] = at[n - 1] if n else -1
-        tops[n : n + 1] = [m]
-        at[n : n + 1] = [k]
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = before[k]
-    return out[::-1]
+    return i, j
 
 
 def match(a: Node, b: Node) -> list[tuple[int, int]]:
     """Pairs (index in a, index in b) of an order-preserving matching of two trees with equal roots' tags.
 
-    Simple tree matching: a largest one wherever no two lists of children have more than CELLS pairs that
-    differ. It needs no recursion, so that depth doesn't matter.
+    Simple tree matching: a largest one, however long the lists of children. What two subtrees have in common
+    follows from their shapes, so that each pair of shapes is looked at once. It needs no recursion, so that
+    depth doesn't matter.
     """
     known: dict[tuple[int, int], int] = {}
-    cut: dict[tuple[int, int], list] = {}
+    cut: dict[tuple[int, int], tuple[int, int]] = {}
 
     def size(x: Node, y: Node) -> int | None:
         if x.tag != y.tag:
             return 0
-        return x.size if x.shape == y.shape else known.get((x.index, y.index))
-
-    def table(p: list[Node], q: list[Node]) -> list[list[int]]:
-        rows = [[0] * (len(q) + 1)]
+        return x.size if x.shape == y.shape else known.get((x.shape, y.shape))
+
+    def rows_of(p: list[Node], q: list[Node]):
+        """The rows of the table one after another; each has one number more than ``q`` has children."""
+        if len(p) * len(q) <= CELLS:
+            above = [0] * (len(q) + 1)
+            yield above
+            for x in p:
+                row = [0]
+                for k, y in enumerate(q):
+                    row.append(max(above[k + 1], row[-1], above[k] + size(x, y)))
+                above = row
+                yield above
+            return
+        kinds = {y.shape: y for y in q}
+        at = {shape: k for k, shape in enumerate(kinds)}
+        place = np.array([at[y.shape] for y in q])
+        gains: dict[int, np.ndarray] = {}
+        above = np.zeros(len(q) + 1, np.int64)
+        yield above
         for x in p:
-            above, row = rows[-1], [0]
-            for k, y in enumerate(q):
-                row.append(max(above[k + 1], row[-1], above[k] + size(x, y)))
-            rows.append(row)
-        return rows
+            if x.shape not in gains:
+                gains[x.shape] = np.array([size(x, y) for y in kinds.values()], np.int64)
+            row = np.zeros(len(q) + 1, np.int64)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gains[x.shape][place]), out=row[1:])
+            above = row
+            yield above
+
+    def last(p: list[Node], q: list[Node]):
+        for row in rows_of(p, q):
+            pass
+        return row
+
+    def aligned(p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
+        """Pairs of children in a largest matching of two lists."""
+        out, lists = [], [(p, q)]
+        while lists:
+            p, q = lists.pop()
+            m, n = len(p), len(q)
+            if m > 1 and m * n > TABLE:
+                half = m // 2
+                both = np.asarray(last(p[:half], q)) + np.asarray(last(p[half:][::-1], q[::-1]))[::-1]
+                k = int(both.argmax())
+                lists += [(p[:half], q[:k]), (p[half:], q[k:])]
+                continue
+            rows = list(rows_of(p, q))
+            while m and n:
+                if rows[m][n] == rows[m - 1][n]:
+                    m -= 1
+                elif rows[m][n] == rows[m][n - 1]:
+                    n -= 1
+                else:
+                    m, n = m - 1, n - 1
+                    out.append((p[m], q[n]))
+        return out
 
     pairs: list[tuple[int, int]] = []
     if a.tag != b.tag:
@@ -379,33 +377,31 @@ def match(a: Node, b: Node) -> list[tuple[int, int]]:
     todo = [(a, b)]
     while todo:
         x, y = todo[-1]
-        key = (x.index, y.index)
+        key = (x.shape, y.shape)
         if size(x, y) is not None:
             todo.pop()
             continue
+        i, j = cut[key] if key in cut else ends_of(x.children, y.children)
+        p, q = x.children[i : len(x.children) - j], y.children[i : len(y.children) - j]
         if key not in cut:
-            cut[key] = blocks_of(x.children, y.children)
-            if missing := [(c, d) for p, q in cut[key] for c in p for d in q if size(c, d) is None]:
+            cut[key] = i, j
+            kinds_p, kinds_q = ({c.shape: c for c in z}.values() for z in (p, q))
+            if missing := [(c, d) for c in kinds_p for d in kinds_q if size(c, d) is None]:
                 todo += missing
                 continue
-        known[key] = 1 + sum(table(p, q)[-1][-1] for p, q in cut[key])
+        same = sum(c.size for c in x.children[:i]) + sum(c.size for c in x.children[len(x.children) - j :])
+        known[key] = 1 + same + int(last(p, q)[-1])
         todo.pop()
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
         pairs.append((x.index, y.index))
+        c, d = x.children, y.children
         if x.shape == y.shape:
-            todo += zip(x.children, y.children, strict=True)
+            todo += zip(c, d, strict=True)
             continue
-        for p, q in cut[x.index, y.index]:
-            rows = table(p, q)
-            m, n = len(p), len(q)
-            while m and n:
-                if rows[m][n] == rows[m - 1][n]:
-                    m -= 1
-                elif rows[m][n] == rows[m][n - 1]:
-                    n -= 1
-                else:
-                    m, n = m - 1, n - 1
-                    todo.append((p[m], q[n]))
+        i, j = cut[x.shape, y.shape]
+        todo += zip(c[:i], d[:i], strict=True)
+        todo += zip(c[len(c) - j :], d[len(d) - j :], strict=True)
+        todo += aligned(c[i : len(c) - j], d[i : len(d) - j])
     return pairs

@@ -138,3 +138,33 @@ def test_odd_tables(spark):
     assert got[3] == got[4] and all(t in got[3][1] for t in story(4))
     assert {(r.host, r.layout, r.templates) for r in made.collect()} == {("h", 7, "t")}
     assert html_extraction.extract(table.limit(0)).count() == 0
+
+
+def test_long_lists_of_children_match_in_full(monkeypatch):
+    """Lists without shapes of their own, far shifted: as many pairs as the plain programme finds, also by halves."""
+    import random
+
+    r = random.Random(3)
+    kinds = [f"<div>{'<p>x</p>' * k}</div>" for k in range(6)]
+    lists = [[r.choice(kinds) for _ in range(120)] for _ in range(2)]
+    lists[1] = [kinds[0]] * 70 + lists[0][5:60] + lists[1][:30]
+    a, b = (html_tree.parse("".join(x)) for x in lists)
+
+    def plain(x, y, known):
+        if x.tag != y.tag:
+            return 0
+        if (x.shape, y.shape) not in known:
+            rows = [[0] * (len(y.children) + 1)]
+            for c in x.children:
+                row = [0]
+                for k, d in enumerate(y.children):
+                    row.append(max(rows[-1][k + 1], row[-1], rows[-1][k] + plain(c, d, known)))
+                rows.append(row)
+            known[x.shape, y.shape] = 1 + rows[-1][-1]
+        return known[x.shape, y.shape]
+
+    want = plain(a, b, {})
+    for table in (html_tree.TABLE, 500):
+        monkeypatch.setattr(html_tree, "TABLE", table)
+        pairs = html_tree.match(a, b)
+        assert len(pairs) == want == len({i for i, _ in pairs}) == len({j for _, j in pairs})
