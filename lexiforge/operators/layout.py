@@ -61,7 +61,8 @@ def captions(images: DataFrame, texts: DataFrame, page: str, most: float = 120.0
     """Each image (image_id, page, box) with the text (page, box, text) next to it: the least 2 dy + 0.35 dx, up to ``most``.
 
     A page is a grid whose cells are as large as the reach of an image; an image meets only the texts in the
-    cells that its reach touches, so that pairs grow with the boxes and not with their square.
+    cells that its reach touches, so that pairs grow with the boxes and not with their square. Equal boxes of a
+    page are looked at once: of their texts the least counts, and their images have the same caption.
     """
     high, wide = most / DOWN, most / ACROSS
 
@@ -71,13 +72,15 @@ def captions(images: DataFrame, texts: DataFrame, page: str, most: float = 120.0
         rows = rows.withColumn("row", F.explode(steps(b["t"] - dy, b["b"] + dy, high)))
         return rows.withColumn("column", F.explode(steps(b["l"] - dx, b["r"] + dx, wide)))
 
-    near = in_cells(texts.select(page, F.col("box").alias("b"), F.col("text").alias("near_text")), "b", 0.0, 0.0)
-    pairs = in_cells(images.select("image_id", page, "box"), "box", high, wide).join(near, [page, "row", "column"])
+    said = texts.groupBy(page, F.col("box").alias("b")).agg(F.min(F.struct(F.col("text").alias("near_text"))).alias("said"))
+    near = in_cells(said.select(page, "b", "said.near_text"), "b", 0.0, 0.0)
+    places = images.select(page, "box").distinct()
+    pairs = in_cells(places, "box", high, wide).join(near, [page, "row", "column"])
     apart = lambda a, b, c, d: F.greatest(F.lit(0.0), a - d, c - b)
     dy = apart(F.col("box.t"), F.col("box.b"), F.col("b.t"), F.col("b.b"))
     dx = apart(F.col("box.l"), F.col("box.r"), F.col("b.l"), F.col("b.r"))
-    best = pairs.withColumn("cost", DOWN * dy + ACROSS * dx).filter(F.col("cost") <= most).groupBy("image_id").agg(F.min_by("near_text", F.struct("cost", "near_text")).alias("caption"))
-    return images.join(best, "image_id", "left")
+    best = pairs.withColumn("cost", DOWN * dy + ACROSS * dx).filter(F.col("cost") <= most).groupBy(page, "box").agg(F.min_by("near_text", F.struct("cost", "near_text")).alias("caption"))
+    return images.join(best, [page, "box"], "left")
 
 
 def sections(rows: DataFrame, page: str, place: str, label: str, text: str) -> DataFrame:

@@ -61,3 +61,14 @@ def test_images_belong_to_their_only_match(spark):
     chunks = spark.createDataFrame([(10, 1, "A red house stands"), (11, 1, "a red door, a barn"), (12, 2, "only one")], "chunk_id int, page int, text string")
     got = {r.image_id: r.chunk_id for r in layout.associated(images, chunks).collect()}
     assert got == {1: 10, 2: None, 3: 12, 4: 11}
+
+
+def test_captions_of_equal_boxes_are_found_once(spark):
+    """Many images and texts with few different boxes: each image has the least of the nearest texts, and pairs don't multiply."""
+    box = "named_struct('l', CAST(id % 3 * 40 AS DOUBLE), 't', 0D, 'r', CAST(id % 3 * 40 + 30 AS DOUBLE), 'b', 30D)"
+    images = spark.range(30_000).selectExpr("id AS image_id", "id % 2 AS page", f"{box} AS box")
+    texts = spark.range(30_000).selectExpr("id % 2 AS page", f"{box} AS box", "concat('t', id) AS text")
+    got = layout.captions(images, texts, "page").groupBy("page", "box", "caption").count().collect()
+    least = {(i % 2, i % 3 * 40): min(f"t{k}" for k in range(i, 30_000, 6)) for i in range(6)}
+    assert {(r.page, r.box.l): r.caption for r in got} == least
+    assert sum(r["count"] for r in got) == 30_000
