@@ -2,8 +2,8 @@
 
 A rule is a list of steps, each a dictionary of new columns; ``applied`` adds them to a DataFrame and
 ``stated`` to a SELECT. The spelling of regex and array functions comes from a dialect, so that the same
-rule can be held against another engine. Patterns use no look-around and no word boundaries, whose meaning
-differs between engines.
+rule can be held against another engine. Patterns that both run use no look-around and no word boundaries,
+whose meaning differs between engines; where the dialects count in different ways, each has its own.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
 BLANK = r"\p{Z}\x09-\x0D"
+#: Punctuation that may stand at a word's ends.
+ENDS = ".,;:!?…؟"
 ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}"
 
 
@@ -52,6 +54,48 @@ class Spark:
     def repeated_symbols(self, c: str) -> str:
         return rf'regexp_count({c}, r"([^\p{{L}}\p{{N}}_{BLANK}])\1{{2,}}")'
 
+    # one pass over the text each; the other engine, which has no look-around, filters lists of words
+
+    def most(self, c: str, p: str) -> str:
+        """How many characters aren't in a class that is given with ``^``: of a class that most are in."""
+        return f"(length({c}) - {self.count(c, p.replace('[^', '[', 1) if p.startswith('[^') else p.replace('[', '[^', 1))})"
+
+    def glyphs(self, c: str) -> str:
+        """Above 0 if a text holds the name of a glyph."""
+        return f"CAST({any_of(self, f'lower({c})', GLYPHS)} AS INT)"
+
+    def words_in(self, c: str, words: str) -> str:
+        return self.count(c, f"{W}+")
+
+    def single(self, c: str, words: str) -> str:
+        return self.count(c, f"(?<!{W}){W}(?!{W})")
+
+    def meant(self, c: str, words: str) -> str:
+        return self.count(c, rf"(?<!{W})(?=[\p{{N}}_]*+\p{{L}}){W}{{3,}}+")
+
+    def suspicious(self, c: str, words: str) -> str:
+        return self.count(c, rf"(?<!{W})(?=[0-9]*+[A-Za-z])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{3,}}+(?!{W})")
+
+    def mixed(self, c: str, mixed: str, inside: str = "") -> str:
+        """How many tokens with a letter there are, or of these those with a digit or a symbol ``inside``."""
+        at = rf"(?<![^{BLANK}])(?=[^\p{{L}}{BLANK}]*+\p{{L}})"
+        also = {"": "", "digit": rf"(?=[^\p{{Nd}}{BLANK}]*+\p{{Nd}})", "symbol": rf"(?=[{ENDS}]*+[\p{{L}}\p{{N}}]*+(?:[^\p{{L}}\p{{N}}{ENDS}{BLANK}]|[{ENDS}]++[^{ENDS}{BLANK}]))"}
+        return self.count(c, rf"{at}{also[inside]}[^{BLANK}]++")
+
+    def hints(self, c: str, words: str, some: str) -> str:
+        """How many different words of a text are among some, in any case."""
+        found = self.every(c, f"(?iu)(?<!{W})(?:{some})(?!{W})")
+        return f"size({self.keep(f'array_distinct({found})', 'w', self.has('lower(w)', f'^(?:{some})$'))})"
+
+    def once(self, columns: dict[str, str]) -> tuple[list[dict[str, str]], dict[str, str]]:
+        """A step of columns that are computed once, and how later steps name them."""
+        return [columns], {k: k for k in columns}
+
+    def url_or_mail(self) -> str:
+        """A run of an address's characters is looked at once, not anew from each of them."""
+        before, after = URL_OR_MAIL.split(f"{MAIL}+@")
+        return rf"{before}(?:(?<!{MAIL})|\G){MAIL}++@{after}"
+
 
 class Duck(Spark):
     """The spelling of the reference engine that queries are held against."""
@@ -93,6 +137,38 @@ class Duck(Spark):
         starts = "len(list_filter(range(3, length(r) + 1), lambda i: r[i] = r[i - 1] AND r[i] = r[i - 2] AND (i = 3 OR r[i - 3] <> r[i])))"
         return f"coalesce(list_sum(list_transform({runs}, lambda r: {starts})), 0)"
 
+    def most(self, c, p):
+        return self.count(c, p)
+
+    def glyphs(self, c):
+        return "(" + " + ".join(self.count(f"lower({c})", g) for g in GLYPHS) + ")"
+
+    def words_in(self, c, words):
+        return f"len({words})"
+
+    def single(self, c, words):
+        return f"len({self.keep(words, 'w', 'length(w) = 1')})"
+
+    def meant(self, c, words):
+        return f"len({self.keep(words, 'w', 'length(w) >= 3 AND ' + self.has('w', r'\p{L}'))})"
+
+    def suspicious(self, c, words):
+        return f"len({self.keep(words, 'w', ' AND '.join(self.has('w', x) for x in ('^[A-Za-z0-9]{3,}$', '[0-9]', '[A-Za-z]')))})"
+
+    def mixed(self, c, mixed, inside=""):
+        inner = self.sub("x", rf"^[{ENDS}]+|[{ENDS}]+$")
+        kept = {"": mixed, "digit": self.keep(mixed, "x", self.has("x", r"\p{Nd}")), "symbol": self.keep(mixed, "x", self.has(inner, r"[^\p{L}\p{N}]"))}
+        return f"len({kept[inside]})"
+
+    def hints(self, c, words, some):
+        return f"len({self.keep(f'list_distinct({words})', 'w', self.has('lower(w)', f'^(?:{some})$'))})"
+
+    def once(self, columns):
+        return [], columns
+
+    def url_or_mail(self):
+        return URL_OR_MAIL
+
 
 def num(x: float) -> str:
     return f"CAST({x} AS DOUBLE)"
@@ -158,7 +234,9 @@ def quality(d: Spark, c: str, p: str = "q_") -> list[dict[str, str]]:
     t, words, tokens, mixed = f"{p}t", f"{p}words", f"{p}tokens", f"{p}mixed"
     seen = lambda b: f"{p}{b}"
     ratio = lambda a, b, none: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE {num(none)} END"
-    hints = lambda k: f"{d.size}({d.keep(f'array_distinct({words})' if d.size == 'size' else f'list_distinct({words})', 'w', d.has('lower(w)', f'^(?:{HINTS[k]})$'))}) >= 2 AND {seen('meaningful')} >= {num(0.5)}"
+    counts = {seen(f"{k}_hints"): d.hints(t, words, HINTS[k]) for k in HINTS} | {seen(f"mixed_{k}"): d.mixed(t, mixed, k) for k in ("", "digit", "symbol")}
+    counted, told = d.once(counts)
+    hints = lambda k: f"{told[seen(f'{k}_hints')]} >= 2 AND {seen('meaningful')} >= {num(0.5)}"
     n, symbols, single = seen("n_words"), seen("symbol_ratio"), seen("single_ratio")
     checks = {
         "empty_text": f"{t} = ''",
@@ -189,34 +267,34 @@ def quality(d: Spark, c: str, p: str = "q_") -> list[dict[str, str]]:
     }
     score = f"CASE WHEN {t} = '' THEN {num(0)} ELSE {num(0.95)} END" + "".join(f" - CASE WHEN {checks[k]} THEN {v} ELSE {num(0)} END" for k, v in loss.items())
     hard = ("empty_text", "glyph_noise", "replacement_characters", "control_characters")
-    inner = d.sub("x", r"^[.,;:!?…؟]+|[.,;:!?…؟]+$")
     return [
         {t: trimmed(d, f"coalesce({c}, '')")},
         {
             words: d.every(t, f"{W}+"),
             tokens: d.every(t, rf"[^{BLANK}]+"),
-            seen("chars"): d.count(t, rf"[^{BLANK}]"),
+            seen("chars"): d.most(t, rf"[^{BLANK}]"),
             seen("arabic"): d.count(t, rf"[{ARABIC}]"),
-            seen("latin"): d.count(t, r"[A-Za-zÀ-ÖØ-öø-ÿ]"),
+            seen("latin"): d.most(t, r"[A-Za-zÀ-ÖØ-öø-ÿ]"),
             seen("digits"): d.count(t, r"\p{Nd}"),
             seen("symbols"): d.count(t, rf"[^\p{{L}}\p{{N}}{BLANK}{ARABIC}]"),
-            seen("glyphs"): "(" + " + ".join(d.count(f"lower({t})", g) for g in GLYPHS) + ")",
+            seen("glyphs"): d.glyphs(t),
             seen("broken"): d.count(t, r"\x{FFFD}"),
             seen("controls"): d.count(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\p{Cf}\p{Co}]"),
             seen("repeated"): d.repeated_symbols(t),
         },
         {
-            n: f"{d.size}({words})",
-            seen("single"): f"{d.size}({d.keep(words, 'w', 'length(w) = 1')})",
-            seen("meant"): f"{d.size}({d.keep(words, 'w', 'length(w) >= 3 AND ' + d.has('w', r'\p{L}'))})",
-            seen("suspicious"): f"{d.size}({d.keep(words, 'w', ' AND '.join(d.has('w', x) for x in ('^[A-Za-z0-9]{3,}$', '[0-9]', '[A-Za-z]')))})",
+            n: d.words_in(t, words),
+            seen("single"): d.single(t, words),
+            seen("meant"): d.meant(t, words),
+            seen("suspicious"): d.suspicious(t, words),
             mixed: d.keep(tokens, "x", d.has("x", r"\p{L}")),
         },
+        *counted,
         {
             single: ratio(seen("single"), n, 1),
             seen("meaningful"): ratio(seen("meant"), n, 0),
-            seen("digit_inside"): ratio(f"{d.size}({d.keep(mixed, 'x', d.has('x', r'\p{Nd}'))})", f"{d.size}({mixed})", 0),
-            seen("symbol_inside"): ratio(f"{d.size}({d.keep(mixed, 'x', d.has(inner, r'[^\p{L}\p{N}]'))})", f"{d.size}({mixed})", 0),
+            seen("digit_inside"): ratio(told[seen("mixed_digit")], told[seen("mixed_")], 0),
+            seen("symbol_inside"): ratio(told[seen("mixed_symbol")], told[seen("mixed_")], 0),
             seen("repeated_ratio"): f"CAST({seen('repeated')} AS DOUBLE) / greatest(1, {n})",
             **{seen(f"{k}_ratio"): f"CAST({seen(v)} AS DOUBLE) / greatest(1, {seen('chars')})" for k, v in (("arabic", "arabic"), ("latin", "latin"), ("symbol", "symbols"))},
         },
@@ -259,20 +337,23 @@ def page_decision(d: Spark) -> list[dict[str, str]]:
     return [{"decision": first_of(why, "'native_text_quality_uncertain'")}, {"native_usable": "decision IN ('high_confidence_native_text', 'borderline_but_structurally_usable_table')"}]
 
 
+MAIL = r"[\p{L}\p{N}_.+\-]"
 URL_OR_MAIL = r"(?:https?://|www\.)[^\s<>()]+|[\p{L}\p{N}_.+\-]+@[\p{L}\p{N}_\-]+(?:\.[\p{L}\p{N}_\-]+)+"
 REFERENCE = r"(?:[a-c][1-2]\+?|cm[0-9]+|[0-9]{1,4}(?:er|e|ème)?|mene[0-9]+[a-z]?)"
 
 
 def chunk_class(d: Spark, c: str, kind: str, tokens: str) -> list[dict[str, str]]:
     """``chunk_class`` and ``chunk_reason``: the first that holds. Decoration and references are no corruption."""
-    bare = d.sub(d.sub(f"lower(coalesce({c}, ''))", URL_OR_MAIL, " "), rf"(^|[^\p{{L}}\p{{N}}_]){REFERENCE}([^\p{{L}}\p{{N}}_]|$)", " ")
+    bare = d.sub(d.sub(f"lower(coalesce({c}, ''))", d.url_or_mail(), " "), rf"(^|[^\p{{L}}\p{{N}}_]){REFERENCE}([^\p{{L}}\p{{N}}_]|$)", " ")
     poor = f"(b_score < {num(0.45)} OR b_single_ratio > {num(0.55)})"
+    cited = f"{d.has(c, '(?i)' + d.url_or_mail())} AND NOT {d.has('bare', r'\p{L}')}"
+    counted, told = d.once({"cited": cited})
     cases = [
         ("compact = 0", "low_information", "empty"),
         (f"compact <= 48 AND letters <= 2 AND q_n_words <= 2 AND (decoration >= {num(0.35)} * greatest(1, compact) OR {tokens} <= 3) AND {kind} <> 'table'", "low_information", "decorative_or_blank_field"),
         ("q_glyphs > 0", "corrupted", "glyph_noise"),
         (f"{kind} = 'table' AND letters + q_digits >= 1", "valid_semantic", "meaningful_table_cell"),
-        (f"{d.has(c, '(?i)' + URL_OR_MAIL)} AND NOT {d.has('bare', r'\p{L}')}", "low_information", "structured_reference"),
+        (told["cited"], "low_information", "structured_reference"),
         (f"compact >= 12 AND b_suspicious >= 2 AND ({poor} OR b_symbol_ratio > {num(0.3)})", "corrupted", "severe_random_ascii_corruption"),
         (f"compact >= 40 AND {poor}", "corrupted", "substantial_extraction_garbage"),
     ]
@@ -280,6 +361,7 @@ def chunk_class(d: Spark, c: str, kind: str, tokens: str) -> list[dict[str, str]
         *quality(d, c),
         {"bare": bare},
         *quality(d, "bare", "b_"),
+        *counted,
         {"compact": "q_chars", "letters": d.count("q_t", r"\p{L}"), "decoration": d.count("q_t", "[_.–—□☐☑▪•-]")},
         {"chunk_class": first_of([(t, f"'{k}'") for t, k, _ in cases], "'valid_semantic'"), "chunk_reason": first_of([(t, f"'{r}'") for t, _, r in cases], "'semantic_content'")},
     ]

@@ -140,3 +140,19 @@ def test_store_guards_and_sets(spark):
 
     names = {r.__name__ for r in keeping.ALL}
     assert len(names) == len(keeping.ALL) == len(keeping.QUERIES)
+
+
+def test_quality_counts_odd_tokens_as_the_other_engine_does_and_once(spark):
+    """Counts by one pass over the text equal those over lists of words; no list of words is filtered for them."""
+    import duckdb
+
+    texts = ["", "...", "a_1 b2c ..x-y.. ?é! x.", "Le le LE la a7b@@@c3d a@b.co+d@e.fr ___ -a- a.b. ؟نص؟ 3x3x", "x" * 500 + "!", "K Make make makE Texte l'été §§§§ a§b ..§.. .a..b"]
+    names = [f"q_{x}" for x in ("n_words", "single", "meant", "suspicious", "chars", "latin", "digit_inside", "symbol_inside", "score", "reasons", "languages")]
+    got = rules.applied(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), rules.quality(rules.Spark(), "text")).orderBy("i").select(*names).collect()
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE g (i BIGINT, text VARCHAR)")
+        c.executemany("INSERT INTO g VALUES (?, ?)", list(enumerate(texts)))
+        want = c.sql(f"SELECT {', '.join(names)} FROM {rules.stated('g', rules.quality(rules.Duck(), 'text'))} ORDER BY i").fetchall()
+    assert [tuple(r) for r in got] == want
+    counts = [e for step in rules.quality(rules.Spark(), "text") for n, e in step.items() if n in ("q_single", "q_meant", "q_suspicious", "q_digit_inside", "q_symbol_inside")]
+    assert len(counts) == 5 and not any("filter(" in e for e in counts)
