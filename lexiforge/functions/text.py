@@ -13,6 +13,35 @@ from pyspark.sql import functions as F
 SPACE = r"[\p{Z}\x09-\x0D]+"
 #: The six levels, from the lowest.
 LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
+#: Characters that stay as they are in normal form C, wherever they stand.
+SETTLED = r"\x00-\u02FF\u0400-\u0482\u048A-\u0513\u0620-\u064A\u0660-\u066F\u0671-\u06D5\u2010-\u206F\u20A0-\u20C0\u2190-\u21FF\u3001-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
+#: Texts that a worker holds as Python objects at once.
+SLICE = 64
+
+
+def each(texts: pa.Array, of, kind: pa.DataType) -> pa.Array:
+    """``of`` every text that isn't null, some texts at a time."""
+    parts = [pa.array([None if t is None else of(t) for t in texts.slice(k, SLICE).to_pylist()], kind) for k in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def uncomposed(c: Column) -> Column:
+    """A text that may not be in Unicode normal form C, else null."""
+    return F.when(~is_ascii(c) & F.regexp(c, F.lit(r"[^\x00-\u02FF]")) & F.regexp(c, F.lit(f"[^{SETTLED}]")), c)
+
+
+def composed(c: Column) -> Column:
+    """In Unicode normal form C. Only texts that may change go to a Python worker."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return each(texts, lambda t: unicodedata.normalize("NFC", t), pa.string())
+
+    return F.coalesce(run(uncomposed(c)), c)
 
 
 def collapsed(c: Column) -> Column:
@@ -93,15 +122,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Without marks, in folded case, collapsed: texts that differ in accents and case only are equal."""
+    """Without marks, in folded case, collapsed: texts that differ in accents and case only are equal. ASCII stays with Spark."""
     def plain(t: str) -> str:
         return "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn").casefold()
 
     @F.arrow_udf("string")
     def fold(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else plain(t) for t in texts.to_pylist()], pa.string())
+        return each(texts, plain, pa.string())
+
+    return collapsed(F.coalesce(fold(F.when(~is_ascii(c), c)), F.lower(c)))
+
 
-    return collapsed(fold(c))
+def head(c: Column, n: int) -> Column:
+    """The beginning with the first ``n`` letters and digits, or all of a text with fewer: enough for the first ``n`` characters of its folded form, as marks and blanks don't count."""
+    start = F.regexp_extract(c, rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]){{{n}}}", 0)
+    return F.when(start != "", start).otherwise(c)
 
 
 def term_id(c: Column) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,24 +29,21 @@ EDITORIAL = (
     r"(?iu)(?:^|[^\p{L}\p{N}_])(?:plusieurs\s+modifications?|modifications?\s+(?:présentées?|apportées?|introduites?)|liste\s+de\s+l['’]annexe|consulter\s+l['’]annexe|"
     r"changements?\s+(?:dans|introduits?)|(?:cette|la)\s+(?:édition|annexe)|version\s+(?:précédente|révisée))(?:[^\p{L}\p{N}_]|$)"
 )
+#: What an ASCII text that EDITORIAL matches has one of.
+EDITORIAL_STEMS = ("modification", "annexe", "changement", "version")
 LEADING = r"^(?:[,;:)\]]|(?:enregistr[ée]s?|de|du|des|ainsi\s+que|et|ou|mais|avec|pour|dans|sur|à|au)(?:[^\p{L}\p{N}_]|$))"
 MID_SENTENCE = r"^(?:[,;:]|(?:exemple|information|ainsi|mais|et|ou|avec|pour|dans|sur)(?:[^\p{L}\p{N}_]|$))"
 SENTINEL = "\u0001"
 
 
-def composed(c: Column) -> Column:
-    """In Unicode normal form C."""
-
-    @F.arrow_udf("string")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
-
-    return run(c)
-
-
 def tidy(c: Column) -> Column:
     """Bars as blanks, collapsed, no blank before a full stop."""
-    return F.regexp_replace(T.collapsed(F.translate(c, "|", " ")), r" ([.!…])", "$1")
+    return F.regexp_replace(T.collapsed(F.replace(c, F.lit("|"), F.lit(" "))), r" ([.!…])", "$1")
+
+
+def held(c: Column, x: str) -> Column:
+    """How often a text has an ASCII character."""
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(x), F.lit("")))
 
 
 def level_name(c: Column) -> Column:
@@ -60,8 +56,7 @@ def is_leading(c: Column) -> Column:
 
 
 def is_unfinished(c: Column) -> Column:
-    more = lambda a, b: F.regexp_count(c, F.lit(a)) > F.regexp_count(c, F.lit(b))
-    return F.regexp(c, F.lit(TAIL)) | more(r"\(", r"\)") | more(r"\[", r"\]")
+    return F.regexp(c, F.lit(TAIL)) | (held(c, "(") > held(c, ")")) | (held(c, "[") > held(c, "]"))
 
 
 def fault_of_scale(scale: Column) -> Column:
@@ -71,19 +66,23 @@ def fault_of_scale(scale: Column) -> Column:
         F.when(F.regexp_count(scale, F.lit(r"\p{L}")) == 0, "NUMERIC_OR_PUNCTUATION_SCALE")
         .when(F.regexp(scale, F.lit(TAIL)), "INCOMPLETE_SCALE_FRAGMENT")
         .when((F.char_length(scale) > 220) | F.regexp(scale, F.lit(CONTAMINATED)), "CONTAMINATED_SCALE")
-        .when(F.regexp_count(scale, F.lit(r"\(")) != F.regexp_count(scale, F.lit(r"\)")), "INCOMPLETE_SCALE_FRAGMENT")
-        .when(F.regexp(outside, F.lit("[.!?]")) | F.regexp(scale, F.lit(SIGNAL)), "CONTAMINATED_SCALE")
+        .when(held(scale, "(") != held(scale, ")"), "INCOMPLETE_SCALE_FRAGMENT")
+        .when(F.regexp(outside, F.lit("[.!?]")) | (F.regexp(scale, F.lit("[,;|]")) & F.regexp(scale, F.lit(SIGNAL))), "CONTAMINATED_SCALE")
         .when(F.regexp(scale, F.lit(r"^[!-@\[-~]+$")), "INCOMPLETE_SCALE_FRAGMENT")
     )
 
 
 def fault_of_text(value: Column) -> Column:
-    """The first reason why a descriptor isn't taken, or null."""
+    """The first reason why a descriptor isn't taken, or null. What a pattern can't match without is looked for first."""
+    has = lambda x: F.contains(value, F.lit(x))
+    # in ASCII, lower case says what a pattern without regard to case may match
+    low = F.lower(value)
+    editorial = reduce(lambda a, x: a | F.contains(low, F.lit(x)), EDITORIAL_STEMS, ~T.is_ascii(value)) & F.regexp(value, F.lit(EDITORIAL))
     return (
-        F.when(F.regexp(value, F.lit(HEADER)), "EMBEDDED_NEXT_ROW_MARKER")
-        .when(F.regexp(value, F.lit(CELL)), "EMBEDDED_SERIALIZED_CELL")
-        .when(F.regexp(value, F.lit(ORPHAN_TAIL)), "TAIL_CONTAMINATION")
-        .when(F.regexp(value, F.lit(NARRATIVE)) | F.regexp(value, F.lit(EDITORIAL)), "NARRATIVE_FALSE_POSITIVE")
+        F.when(has("=") & F.regexp(value, F.lit(HEADER)), "EMBEDDED_NEXT_ROW_MARKER")
+        .when(has("=") & has(",") & F.regexp(value, F.lit(CELL)), "EMBEDDED_SERIALIZED_CELL")
+        .when(has(",") & F.regexp(value, F.lit(ORPHAN_TAIL)), "TAIL_CONTAMINATION")
+        .when(F.regexp(value, F.lit(NARRATIVE)) | editorial, "NARRATIVE_FALSE_POSITIVE")
         .when(is_leading(value), "AVAILABLE_LEADING_FRAGMENT")
         .when(is_unfinished(value), "TRUNCATED_DESCRIPTOR")
         .when(F.regexp(value, F.lit(MID_SENTENCE)), "MID_SENTENCE_TRUNCATED")
@@ -102,9 +101,9 @@ def reconstructed(rows: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("key").orderBy("place")
     goes_on = F.col("headed") & (F.col("level") == F.lag("level").over(order)) & (F.col("scale") == F.lag("scale").over(order)) & is_leading(F.col("value"))
-    count = lambda p: F.regexp_count("value", F.lit(p))
+    count = lambda x: held(F.col("value"), x)
     marked = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("leads", is_leading(F.col("value"))).withColumn("tail", F.regexp(F.col("value"), F.lit(TAIL)))
-    marked = marked.withColumn("round", count(r"\(") - count(r"\)")).withColumn("square", count(r"\[") - count(r"\]"))
+    marked = marked.withColumn("round", count("(") - count(")")).withColumn("square", count("[") - count("]"))
     runs = marked.withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(order))
     within = Window.partitionBy("key", "run").orderBy("place")
     unfinished = F.col("tail") | (F.sum("round").over(within) > 0) | (F.sum("square").over(within) > 0)
@@ -129,7 +128,7 @@ def parsed(chunks: DataFrame, key: str = "chunk_id", body: str = "text", default
     Keys are unique.
     """
     scale_of = F.col(default_scale) if default_scale else F.lit(None).cast("string")
-    base = chunks.select(F.col(key).alias("key"), composed(F.col(body)).alias("t"), tidy(scale_of).alias("default"))
+    base = chunks.select(F.col(key).alias("key"), T.composed(F.col(body)).alias("t"), tidy(scale_of).alias("default"))
     marked = F.regexp_replace(F.col("t"), HEADER, SENTINEL + "$1" + SENTINEL + "$2" + SENTINEL)
     cut = base.withColumn("cut", F.split(marked, SENTINEL))
     row = lambda level, scale, value, headed: F.struct(level_name(level).alias("level"), scale.alias("scale"), value.alias("value"), F.lit(headed).alias("headed"))
@@ -172,6 +171,14 @@ def star(records: DataFrame, key: str = "chunk_id") -> dict[str, DataFrame]:
     }
 
 
+def summary(records: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(descriptor_hash, level, scale_key, sources, first_source): distinct descriptors with the number of chunks that have them and the first of these, in one pass."""
+    kept = records.filter("status <> 'REJECTED'").select(descriptor_hash().alias("descriptor_hash"), "level", F.lower("scale").alias("scale_key"), key)
+    # the hash is of level and scale too, so that these are equal within a group
+    once = kept.groupBy("descriptor_hash", key).agg(F.first("level").alias("level"), F.first("scale_key").alias("scale_key"))
+    return once.groupBy("descriptor_hash").agg(F.first("level").alias("level"), F.first("scale_key").alias("scale_key"), F.count("*").alias("sources"), F.min(key).alias("first_source"))
+
+
 def replaced(old: dict[str, DataFrame], records: DataFrame, documents: DataFrame, document: str = "document_id", key: str = "chunk_id") -> dict[str, DataFrame]:
     """The tables of ``star`` after the records of some ``documents`` (document) have been replaced by ``records`` (with a column of the document).
 

@@ -34,9 +34,7 @@ def descriptor_rows(spark, d):
 
 def descriptor_facts(spark, d):
     """Distinct descriptors with their first source and the number of sources."""
-    star = D.star(records(spark, d), "doc_id")
-    held = star["sources"].groupBy("descriptor_hash").agg(F.count("*").alias("sources"), F.min("doc_id").alias("first_source"))
-    return star["descriptors"].join(held, "descriptor_hash").select("descriptor_hash", "level", "scale_key", "sources", "first_source")
+    return D.summary(records(spark, d), "doc_id")
 
 
 def skill_scales(spark, d):
