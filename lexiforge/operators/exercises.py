@@ -10,6 +10,8 @@ from ..sources.shared import built
 from .impacts import BROADCAST_ROWS, if_small
 
 
+#: Fixed value: characters of a folded text that tell which rows are alike.
+BEGINNING = 180
 #: Fixed value: rows of a term that meet in one task; a more frequent term's rows are dealt out in tiles.
 TILE = 2_000
 #: Fixed value: candidates of a class that are looked at in one round after the first.
@@ -144,7 +146,7 @@ def kept_in_order(rows: DataFrame, group: str, order: str, body: str, least: flo
     rounds: a class that no undecided or kept earlier one is like is kept, and those like it go; a round decides
     at least the first undecided class of each group, and only links between classes are looked at.
     """
-    words = F.array_sort(F.array_distinct(word_list(F.substring(T.folded(F.coalesce(F.col(body), F.lit(""))), 1, 180))))
+    words = F.array_sort(F.array_distinct(word_list(F.substring(T.folded(T.head(F.coalesce(F.col(body), F.lit("")), BEGINNING)), 1, BEGINNING))))
     sets = built(rows.select(F.col(group).alias("g"), F.col(order).alias("o"), words.alias("t")))
     classes = built(sets.filter(F.size("t") > 0).groupBy("g", "t").agg(F.min("o").alias("o")))
     each = classes.select("g", "o", F.explode("t").alias("term"), F.size("t").alias("n"))

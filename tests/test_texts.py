@@ -6,10 +6,13 @@ import re
 import sys
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
+from lexiforge.operators import composing
 from lexiforge.operators import descriptors as D
+from lexiforge.operators import impacts as I
 
 TEXTS = ["plain", "déjà vu", "Ἀθῆναι", "été", "Ω ohm", "각 각", "نص عربي", "نَصّ", "𝒜 \U0001d15e", "ſtraße ŒUVRE", "日本語 が", "", None, "KK", "á̧"]
 
@@ -40,3 +43,34 @@ def test_distinct_descriptors_in_one_pass_equal_those_of_the_star(spark):
     # the texts are parsed once
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def plain_folded(t):
+    bare = "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn").casefold()
+    return re.sub(r"\s+", " ", bare).strip()
+
+
+def test_head_is_enough_for_the_beginning_of_the_folded_text(spark):
+    texts = [*(t for t in TEXTS if t), "a\u0301" * 400, " \n" * 500 + "é" * 300, "ß ŉ ǰ " * 200, "..." * 300, "x" + "\u0301" * 5000 + "y" * 400, "نَصّ " * 300, "각각 " * 200]
+    n = 20
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.head(F.col("t"), n).alias("h"), F.substring(T.folded(T.head(F.col("t"), n)), 1, n).alias("f"), T.folded(F.col("t")).alias("whole"))
+    for r in rows.collect():
+        assert r.t.startswith(r.h) and r.f == plain_folded(r.t)[:n] and r.whole == plain_folded(r.t), r.t[:40]
+    assert {len(r.h) for r in rows.filter("(t LIKE '각각%' OR t LIKE 'a%') AND length(t) > 20").collect()} <= {29, 39}
+
+
+def test_terms_are_counted_in_slices(spark, monkeypatch):
+    lists = pa.array([["a"] * 5, [], ["b", "c"], ["a", "d"], ["e"] * 9, []], pa.list_(pa.string()))
+    assert I.slices(lists, 4) == [(0, 1), (1, 3), (4, 1), (5, 1)]
+    assert I.slices(lists.slice(0, 0), 4) == [(0, 0)]
+    assert I.slices(lists.slice(1), 4) == [(0, 3), (3, 1), (4, 1)]
+    docs = spark.createDataFrame([(k, "a b a " * (k % 4) + f"c{k % 3}") for k in range(40)], "k long, t string").coalesce(1)
+    counts = lambda among: sorted((r.k, sorted((x.term, x.n) for x in r.c)) for r in docs.select("k", I.counted(T.terms(F.col("t")), among).alias("c")).collect())
+    want = [counts(None), counts(["a", "c1", "z"])]
+    monkeypatch.setattr(I, "SLICE", 5)
+    assert [counts(None), counts(["a", "c1", "z"])] == want
+
+
+def test_requests_are_looked_at_singly():
+    batch = pa.RecordBatch.from_pydict({"request": [1, 2, 3]})
+    assert [b.to_pydict() for b in composing.singly(iter([batch, batch.slice(0, 0)]))] == [{"request": [k]} for k in (1, 2, 3)]
