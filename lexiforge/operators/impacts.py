@@ -32,18 +32,30 @@ BLOCK = 1_024
 FIRST_ROWS, FIRST_DOCS = 4_096, 64
 #: The share of the threshold up to which bounds of unread layers add up: the more, the fewer postings are read, but the more documents may reach it.
 SHARE = 0.7
+#: Terms that a worker counts at once.
+SLICE = 250_000
 #: Scores are compared after rounding to six digits.
 SLACK = 2e-6
 #: Terms, terms of queries, candidates and large layers are broadcast if there are no more, else shuffled.
 BROADCAST_ROWS = 500_000
 
 
+def slices(lists: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(offset, rows) of slices of an array of lists that have ``most`` elements each at most, or one list; one slice at least."""
+    ends, out, k = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)), [], 0
+    while k < len(lists) or not out:
+        before = ends[k - 1] if k else 0
+        upto = max(k + 1, int(np.searchsorted(ends, before + most, "right")))
+        out.append((k, min(upto, len(lists)) - k))
+        k = upto
+    return out
+
+
 def counted(words: Column, among: list[str] | None) -> Column:
     """A row's distinct terms, those of ``among`` where given, with their numbers: array<struct<term, n>>."""
     known = None if among is None else pa.array(among, pa.string())
 
-    @F.arrow_udf("array<struct<term: string, n: bigint>>")
-    def run(lists: pa.Array) -> pa.Array:
+    def part(lists: pa.Array) -> pa.Array:
         flat, of = lists.flatten(), np.asarray(pc.list_parent_indices(lists), np.int64)
         dictionary = flat.unique() if known is None else known
         number = pc.index_in(flat, dictionary)
@@ -54,6 +66,10 @@ def counted(words: Column, among: list[str] | None) -> Column:
         ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(lists)))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([dictionary.take(pa.array(word)), pa.array(n)], ["term", "n"]))
 
+    @F.arrow_udf("array<struct<term: string, n: bigint>>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([part(lists.slice(k, rows)) for k, rows in slices(lists, SLICE)])
+
     return run(F.coalesce(words, F.array().cast("array<string>")))
 
 
