@@ -75,6 +75,11 @@ def budgeted(candidates: list[dict], most: int, tokens: int) -> list[int]:
     return out
 
 
+def singly(batches):
+    """The rows of batches as batches of one, as each may hold whole texts."""
+    return (b.slice(k, 1) for b in batches for k in range(b.num_rows))
+
+
 def per_request(rows: DataFrame, request: str, order: list[str], choose, result: str) -> DataFrame:
     """(request, place, ...) of what ``choose`` picks of each request's rows in order: one list a request, POOL rows at most."""
     w = Window.partitionBy(request).orderBy(*order)
@@ -84,7 +89,7 @@ def per_request(rows: DataFrame, request: str, order: list[str], choose, result:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in singly(batches):
             out = [(i, place, *picked) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for place, picked in enumerate(choose(c))]
             fields = [(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in result.split(", "))]
             columns = list(zip(*out, strict=True)) if out else [[]] * (2 + len(fields))
