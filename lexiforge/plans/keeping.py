@@ -314,10 +314,12 @@ def bound(spark, sql: str, tables: dict):
     return spark.sql(text, **used)
 
 
-def run(rule):
+def run(rule, arranged=lambda tables: tables):
+    """The query of a rule; ``arranged`` may lay out the tables for it."""
+
     def query(spark, sf_dir):
         tables = {t: lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-        return bound(spark, rule(S), tables | {"pieces": lambda: judging.pieces(spark, sf_dir), "asked": lambda: judging.requests(spark, sf_dir)})
+        return bound(spark, rule(S), arranged(tables | {"pieces": lambda: judging.pieces(spark, sf_dir), "asked": lambda: judging.requests(spark, sf_dir)}))
 
     query.__doc__ = rule.__doc__
     return query

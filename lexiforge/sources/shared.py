@@ -29,3 +29,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer parts than there are, as a table in one small file has; else as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(rows: dict[str, DataFrame], keys: dict[str, str], most: int) -> dict[str, DataFrame]:
+    """Tables that are to meet by a key each, in as many parts as leave about ``most`` rows of the largest one in each, however Spark would merge parts."""
+    largest = max(df.count() for df in rows.values())
+    parts = max(-(-largest // most), next(iter(rows.values())).sparkSession.sparkContext.defaultParallelism)
+    return {name: df.repartition(parts, keys[name]) for name, df in rows.items()}
