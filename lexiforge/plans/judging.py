@@ -289,10 +289,10 @@ def exercise_search(spark, d):
     asked = asked.withColumn("kinds", F.when(F.col("asked_type").isNull(), F.array(*map(F.lit, TYPES))).otherwise(F.array("asked_type"))).withColumn("exercise_type", F.explode("kinds"))
     judged = rules.applied(pieces(spark, d), candidate_steps(S))
     asked = if_small(built(asked.select("item_id", "asked_level", "asked_type", "asked_first_skill", "asked_words", "exercise_type")), BROADCAST_ROWS)
-    blocks = rules.settled(judged, "id", "content", "exercise_type", "exercise_confidence", "explicit_level", "skill", "is_exercise").filter("is_exercise")
+    blocks = rules.settled(judged.withColumn("low", F.lower("content")), "id", "low", "exercise_type", "exercise_confidence", "explicit_level", "skill", "is_exercise").filter("is_exercise")
     met = blocks.join(asked, "exercise_type")
     sound = met.filter("asked_level IS NULL OR explicit_level IS NULL OR explicit_level = asked_level")
-    shared = F.size(F.filter("asked_words", lambda w: (w != "") & F.contains(F.lower("content"), w)))
+    shared = F.size(F.filter("asked_words", lambda w: (w != "") & F.contains("low", w)))
     counted = sound.withColumn("n_shared", shared).withColumn("n_theme", F.size(F.filter("asked_words", lambda w: w != "")))
     order = Window.partitionBy("item_id").orderBy(F.desc("n_shared"), F.desc("exercise_confidence"), "id")
     found = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FOUND)
