@@ -38,6 +38,38 @@ def by_bytes(array: pa.Array, most: int):
         start, total = end, int(ends[end - 1])
 
 
+def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """As ``df.groupBy(keys).applyInArrow(run, schema)``, for many small groups: those of a batch come in one call. Keys are numbers, none null."""
+
+    def each(table: pa.Table, edges: np.ndarray):
+        table = table.combine_chunks()
+        yield from pa.concat_tables([run(table.slice(a, b - a)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]).combine_chunks().to_batches()
+
+    def stream(batches):
+        held, last = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column(key).to_numpy(zero_copy_only=False) for key in keys]
+            new = np.zeros(len(batch), bool)
+            for x in columns:
+                new[1:] |= x[1:] != x[:-1]
+            new[0] = last != tuple(x[0] for x in columns)
+            last = tuple(x[-1] for x in columns)
+            starts, table, before = np.flatnonzero(new), pa.Table.from_batches([batch]), sum(map(len, held))
+            if not len(starts):
+                held.append(table)
+                continue
+            edges = np.concatenate([np.zeros(min(before, 1), np.int64), starts + before])
+            if len(edges) > 1:
+                yield from each(pa.concat_tables([*held, table.slice(0, starts[-1])]), edges)
+            held = [table.slice(starts[-1])]
+        if held:
+            yield from each(pa.concat_tables(held), np.array([0, sum(map(len, held))]))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -31,8 +32,8 @@ SMALL = 100
 WEAK = 1
 #: Cells of the counts that bound how much two sets differ.
 CELLS = 256
-#: Words whose hashes a task keeps.
-KEPT = 150_000
+#: Elements, counted once for each of their set's bands, whose signatures are made at once.
+PIECE = 1 << 19
 U64 = np.uint64
 
 
@@ -47,47 +48,78 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept until there are too many."""
+def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of these lengths start and end."""
+    ends = np.cumsum(counts)
+    return ends - counts, ends
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices of runs with these starts and lengths, one run after the other."""
+    return np.repeat(starts - spans(counts)[0], counts) + np.arange(counts.sum())
 
-def shingles(text: str | None, n: int, known: WordHashes) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-word shingles; of all words where there are fewer; empty without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, U64)
-    h = np.fromiter(map(known.__getitem__, words), U64, len(words))
-    width = min(n, len(h))
-    total = np.zeros(len(h) - width + 1, U64)
-    for k in range(width):
-        total = total * U64(0x9E3779B97F4A7C15) + mixed(h[k : len(h) - width + 1 + k])
-    return np.unique(mixed(total + U64(width)))
 
+def sums(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``x``, modulo 2^64."""
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)])
+    return total[ends] - total[starts]
 
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit number for a set."""
-    return int(mixed(np.array([mixed(s ^ U64(0xD6E8FEB86659FD93)).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0])
+
+def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of each text's distinct n-word shingles, one text after the other, and how many each has; of all words where there are fewer; none without words."""
+    words = [(text or "").encode().lower().split() for text in texts]
+    many = np.fromiter(map(len, words), np.int64, len(words))
+    h = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), U64, int(many.sum())))
+    del words
+    counts = np.where(many < n, many > 0, many - n + 1).astype(np.int64)
+    starts, ends = spans(counts)
+    found = np.zeros(int(counts.sum()), U64)
+    for width in (n, *np.unique(many[(many > 0) & (many < n)]).tolist()):
+        chosen = np.flatnonzero(many >= n if width == n else many == width)
+        at = runs(spans(many)[0][chosen], counts[chosen])
+        total = np.zeros(len(at), U64)
+        for k in range(width):
+            total = total * U64(0x9E3779B97F4A7C15) + h[at + k]
+        found[runs(starts[chosen], counts[chosen])] = mixed(total + U64(width))
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        if end - start > 1:
+            found[start:end].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[starts[counts > 0]] = True
+    kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(new)])
+    return found[new], kept[ends] - kept[starts]
+
+
+def set_ids(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set."""
+    return mixed(sums(mixed(s ^ U64(0xD6E8FEB86659FD93)), *spans(counts)) + counts.astype(U64))
+
+
+def cell_counts(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many elements of each set fall into each cell, 255 at most."""
+    at = np.repeat(np.arange(len(counts)) * CELLS, counts) + ((s >> U64(8)).astype(np.int64) & (CELLS - 1))
+    return np.minimum(np.bincount(at, minlength=len(counts) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
 
 
 def cells(s: np.ndarray) -> bytes:
-    """How many elements of a set fall into each cell, 255 at most."""
-    return np.minimum(np.bincount((s >> U64(8)).astype(np.int64) & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """The counts of one set."""
+    return cell_counts(s, np.array([len(s)])).tobytes()
+
 
+def plausible(sizes: np.ndarray, counts: np.ndarray, percent: int, apart: np.ndarray | None = None, queries: int | None = None) -> np.ndarray:
+    """Which sets may pair with another one here: two sets differ at least as much as their cells' counts do.
 
-def plausible(sizes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets may pair with another one here: two sets differ at least as much as their cells' counts do."""
+    With ``apart``, only with one of another number; with ``queries``, only pairs with one of the first so many sets.
+    """
     k = len(sizes)
     found = np.zeros(k, bool)
     counts = counts.astype(np.int16)
-    for i in range(k - 1):
+    for i in range(k - 1 if queries is None else queries):
         least = np.abs(counts[i + 1 :] - counts[i]).sum(1, dtype=np.int64)
         near = (100 + percent) * least <= (100 - percent) * (sizes[i + 1 :] + sizes[i])
+        if apart is not None:
+            near &= apart[i + 1 :] != apart[i]
         found[i] |= near.any()
         found[i + 1 :] |= near
     return found
@@ -115,42 +147,63 @@ def band(b: int, percent: int) -> tuple[int, int, int, int]:
     return low, differ + 1 + spare, spare, 1
 
 
-def bands(size: int, percent: int):
-    """The bands where a set of this size may stand in a pair, with their figures."""
-    b = band_of(size)
-    while size and (found := band(b, percent))[0] <= size * 100 // percent:
-        if found[3]:
-            yield b, *found
+@lru_cache(None)
+def bands(size: int, percent: int) -> tuple[tuple[int, int, int, int], ...]:
+    """The bands where a set of this size may stand in a pair: number, segments, how many a set may leave out, units."""
+    found, b = [], band_of(size)
+    while size and (figures := band(b, percent))[0] <= size * 100 // percent:
+        if figures[3]:
+            found.append((b, *figures[1:]))
         b += 1
-
-
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Of a set, for each of its bands: a number for each indexed subset."""
-    numbers = []
-    for b, _, segments, spare, units in bands(len(s), percent):
-        at = ((s >> U64(33)) * U64(segments) >> U64(31)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        count = np.bincount(at, minlength=segments)
-        element = mixed(s[order] + U64(b))
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(element, dtype=U64)])
-        end = np.cumsum(count)
-        sums = total[end] - total[end - count]
-        name = mixed(np.arange(segments, dtype=U64) + U64(b << 32))
-        whole = mixed(sums + name)
-        if units == 1:
-            cheap = np.lexsort((whole, -count))[: segments - spare]
-            numbers.append(whole[cheap])
-        else:
-            segment = at[order]
-            numbers += [whole, mixed(sums[segment] - element + name[segment])]
-    return np.unique(np.concatenate(numbers)) if numbers else np.empty(0, U64)
+    return tuple(found)
+
+
+def signatures(s: np.ndarray, counts: np.ndarray, percent: int):
+    """Of sets that lie one after the other, in pieces of about PIECE elements: the indexed subsets' numbers, and each one's set."""
+    listed = [(k, *band) for k, size in enumerate(counts.tolist()) for band in bands(size, percent)]
+    if not listed:
+        return
+    pairs = np.array(listed, np.int64)
+    starts = spans(counts)[0]
+    ends = np.cumsum(counts[pairs[:, 0]])
+    at = 0
+    while at < len(pairs):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        yield piece(s, starts, counts, *pairs[at:end].T)
+        at = end
+
+
+def piece(s: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.ndarray, b: np.ndarray, segments: np.ndarray, spare: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the indexed subsets, and each one's set, of sets ``of`` in one band each."""
+    n = counts[of]
+    elements = s[runs(starts[of], n)]
+    first = spans(segments)[0]
+    # sets are sorted, and segments follow the leading bits
+    at = ((elements >> U64(33)) * np.repeat(segments, n).astype(U64) >> U64(31)).astype(np.int64) + np.repeat(first, n)
+    held = np.bincount(at, minlength=int(segments.sum()))
+    elements = mixed(elements + np.repeat(b, n).astype(U64))
+    pair = np.repeat(np.arange(len(of)), segments)
+    place = np.arange(len(pair)) - first[pair]
+    name = mixed(place.astype(U64) + (b.astype(U64) << U64(32))[pair])
+    total = sums(elements, *spans(held))
+    whole = mixed(total + name)
+    indexed = np.ones(len(pair), bool)
+    if (units == 1).any():
+        # the cheapest: those of the most elements, ties by signature
+        order = np.argsort(whole)
+        order = order[np.argsort(((pair << 32) - held)[order], kind="stable")]
+        indexed[order] = place < (segments - spare)[pair]
+    deleted = (units == 2)[np.repeat(np.arange(len(of)), n)]
+    near = at[deleted]
+    return np.concatenate([whole[indexed], mixed((total + name)[near] - elements[deleted])]), of[np.concatenate([pair[indexed], pair[near]])]
 
 
 def linked(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None, queries: int | None = None) -> np.ndarray:
     """For each set the index of the first one of its component, by links among these sets.
 
     ``apart`` gives components known before: their members count as linked. With ``queries``, only pairs
-    with one of the first so many sets are looked at.
+    with one of the first so many sets are looked at; else each set outside the largest component so far is
+    held against all others, beginning with the first.
     """
     k = len(sets)
     root = np.arange(k) if apart is None else np.unique(apart, return_index=True)[1][np.unique(apart, return_inverse=True)[1]]
@@ -159,18 +212,18 @@ def linked(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None
     owner = np.repeat(np.arange(k), sizes)
     order = np.argsort(elements, kind="stable")
     elements, owner = elements[order], owner[order]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(k - 1 if queries is None else queries):
-        if (root[i + 1 :] == root[i]).all():
-            continue
+    left, i = np.arange(k) < (k if queries is None else queries), 0
+    while len(left) and left[i] and (root != root[i]).any():
+        left[i] = False
         low, high = np.searchsorted(elements, sets[i], "left"), np.searchsorted(elements, sets[i], "right")
         n = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(owner[at], minlength=k)
         alike = 100 * both >= percent * (sizes + sizes[i] - both)
-        alike[: i + 1] = False
         for j in np.unique(root[np.flatnonzero(alike)]):
             if j != root[i]:
                 a, b = min(j, root[i]), max(j, root[i])
                 root[root == b] = a
+        # sets of the largest component are linked; only those outside it are still to be held against all
+        i = int(np.argmax(left & (root != np.bincount(root).argmax()) if queries is None else left))
     return root

@@ -1,24 +1,26 @@
 """Operator 5: components of documents whose word n-gram sets have a Jaccard similarity of a given percentage.
 
-One pass over the texts makes each document's shingle set and its segment signatures (``jaccard_core``),
-which a shuffle brings together. Of the documents with a signature the one with the smallest id is the
-centre, and all of them join the centre's group, once however many signatures they share with it; two
-documents with a common signature thus meet in a group. There the counts of their sets' elements in 256
-cells tell which may reach the similarity at all, and only those documents' texts are read again. A group
-is split into blocks of bounded size, in which sets are compared exactly; documents that a
-block doesn't link with the group's main component are then compared with the group's other blocks. Pairs
-are not emitted, only a spanning tree of the links that are found.
+One pass over the texts makes each document's shingle set and its segment signatures (``jaccard_core``), which
+travel packed: a row holds thousands of signatures of one part of their range, and a shuffle brings the rows of a
+part together. Of the documents with a signature the one with the smallest id is the centre, and all of them join
+the centre's group, once however many signatures they share with it; two documents with a common signature thus
+meet in a group. There the counts of their sets' elements in 256 cells tell which may reach the similarity at all,
+and only those documents' texts are read again. A group is split into blocks of bounded size, each with the centre,
+in which sets are compared exactly; documents that this doesn't link with the group's main component then meet the
+group's other blocks in tiles of bounded size, again by the cells first. Pairs are not emitted, only a spanning tree
+of the links that are found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_core as core
-from .common import checkpoint, may_have, sliced
+from .common import by_bytes, by_group, checkpoint, may_have, sliced
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -26,101 +28,134 @@ WORDS, PERCENT = 4, 85
 BLOCK = 300
 #: Sets that a task remembers, to tell copies without a signature for each.
 KEPT = 200_000
+#: Bytes of texts that are split at once, and signatures that are packed at once.
+SPLIT, PACKED = 1 << 20, 1 << 20
+#: Bytes and rows of texts whose signatures meet in one part.
+PART_BYTES, PART_ROWS = 8 << 20, 40_000
 SIGNATURE, FIRST, COPY = 0, 1, 2
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def split(batches):
+    """(key, text) in pieces of about SPLIT bytes, as lists."""
+    for batch in sliced(batches):
+        for start, end in by_bytes(batch.column(1), SPLIT):
+            yield batch.column(0).slice(start, end - start).to_pylist(), batch.column(1).slice(start, end - start).to_pylist()
 
 
-def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(bucket, kind, key, extra, cells): signatures; sets (bucket: the set's number, extra: its size); copies of a set that its task has seen (extra: that key)."""
+def binaries(x: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The bytes of runs of ``x``."""
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]) * (x.itemsize * int(np.prod(x.shape[1:])))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def packed(kind: int, parts: int, buckets: np.ndarray, keys: np.ndarray, extras: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the buckets' range that has any."""
+    part = ((buckets >> core.U64(32)) * core.U64(parts) >> core.U64(32)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    there, counts = np.unique(part[order], return_counts=True)
+    columns = [binaries(x[order], counts) if len(x) else pa.nulls(len(there), pa.binary()) for x in (buckets, keys, extras, cells)]
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(np.full(len(there), kind, np.int8)), *columns], names=["part", "kind", "buckets", "keys", "extras", "cells"])
+
+
+def signature_rows(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """(part, kind, buckets, keys, extras, cells), packed: signatures; sets (bucket: the set's number, extra: its size); copies of a set that its task has seen (extra: that key)."""
+    none = np.zeros(0, np.int64)
 
     def run(batches):
-        known, seen = core.WordHashes(), {}
-        for batch in sliced(batches):
-            buckets, kinds, keys, extras, counts = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = core.shingles(text, words, known)
-                number = core.set_id(s) if len(s) else None
-                if number in seen:
-                    found, kind, extra = core.mixed(np.array([key], np.int64).view(core.U64)), COPY, seen[number]
-                elif number is None:
-                    found, kind, extra = core.mixed(np.array([key], np.int64).view(core.U64)), FIRST, 0
+        seen, held, total = {}, [], 0
+        for keys, texts in split(batches):
+            s, sizes = core.shingles(texts, words)
+            keys = np.array(keys, np.int64)
+            of_key = core.mixed(keys.view(core.U64))
+            numbers = np.where(sizes > 0, core.set_ids(s, sizes), of_key)
+            copied, new = [], np.ones(len(keys), bool)
+            for k in np.flatnonzero(sizes).tolist():
+                number, key = int(numbers[k]), int(keys[k])
+                if (first := seen.get(number)) is not None:
+                    copied.append((k, first))
+                    new[k] = False
                 else:
                     if len(seen) > KEPT:
                         seen.clear()
                     seen[number] = key
-                    found, kind, extra = np.array([number], np.int64).view(core.U64), FIRST, len(s)
-                    more = core.signatures(s, percent)
-                    buckets.append(more)
-                    kinds.append(np.zeros(len(more), np.int8))
-                    keys.append(np.full(len(more), key, np.int64))
-                    extras.append(np.zeros(len(more), np.int64))
-                    counts += [None] * len(more)
-                buckets.append(found)
-                kinds.append(np.full(1, kind, np.int8))
-                keys.append(np.full(1, key, np.int64))
-                extras.append(np.full(1, extra, np.int64))
-                counts.append(core.cells(s) if kind == FIRST else None)
-            if buckets:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(buckets)), *(pa.array(np.concatenate(x)) for x in (kinds, keys, extras)), pa.array(counts, pa.binary())], names=["bucket", "kind", "key", "extra", "cells"])
-
-    return docs.mapInArrow(run, "bucket long, kind byte, key long, extra long, cells binary")
+            if copied:
+                at = np.array([k for k, _ in copied])
+                yield packed(COPY, parts, of_key[at], keys[at], np.array([x for _, x in copied], np.int64), none)
+            s, sizes, keys, numbers = s[np.repeat(new, sizes)], sizes[new], keys[new], numbers[new]
+            if len(keys):
+                yield packed(FIRST, parts, numbers, keys, sizes, core.cell_counts(s, sizes))
+            for number, of in core.signatures(s, sizes, percent):
+                held.append((number, keys[of]))
+                total += len(of)
+                if total >= PACKED:
+                    yield packed(SIGNATURE, parts, *map(np.concatenate, zip(*held, strict=True)), none, none)
+                    held, total = [], 0
+        if held:
+            yield packed(SIGNATURE, parts, *map(np.concatenate, zip(*held, strict=True)), none, none)
+
+    return docs.mapInArrow(run, "part int, kind byte, buckets binary, keys binary, extras binary, cells binary")
+
+
+def unpacked(table: pa.Table, kind: int, name: str, dtype=np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).filter(pc.equal(table.column("kind"), kind)).to_pylist()), dtype)
+
+
+def shared(buckets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries whose bucket others have too: bucket, key, and the bucket's least key."""
+    order = np.argsort(buckets)
+    buckets = buckets[order]
+    same = buckets[1:] == buckets[:-1]
+    several = np.zeros(len(buckets), bool)
+    several[1:] = same
+    several[:-1] |= same
+    buckets, keys = buckets[several], keys[order[several]]
+    if not len(keys):
+        return buckets, keys, keys
+    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+    return buckets, keys, np.repeat(np.minimum.reduceat(keys, starts), np.diff(np.append(starts, len(keys))))
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """(kind, key, other, size, cells) by bucket: members of a centre's group, equal sets with their centre, copies."""
+    """(kind, key, other, size, cells) of each part: members of a centre's group and the centre itself, once; sets with the least key of equal ones; copies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, members, centres = shared(unpacked(table, SIGNATURE, "buckets", core.U64), unpacked(table, SIGNATURE, "keys"))
+        others = members != centres
+        centres, members = distinct_pairs(np.concatenate([centres[others], centres[others]]), np.concatenate([members[others], centres[others]]))
+        numbers, keys, sizes = unpacked(table, FIRST, "buckets", core.U64), unpacked(table, FIRST, "keys"), unpacked(table, FIRST, "extras")
+        _, at, least = np.unique(numbers, return_index=True, return_inverse=True)
+        first = keys[at]
+        np.minimum.at(first, least, keys)
+        counts = unpacked(table, FIRST, "cells", np.uint8).reshape(-1, core.CELLS)
+        copies, copied = unpacked(table, COPY, "keys"), unpacked(table, COPY, "extras")
+        kinds = np.repeat(np.array([SIGNATURE, FIRST, COPY], np.int8), [len(members), len(keys), len(copies)])
+        size = np.zeros(len(kinds), np.int64)
+        size[kinds == FIRST] = sizes
+        cells = pa.concat_arrays([pa.nulls(len(members), pa.binary()), binaries(counts, np.ones(len(counts), np.int64)), pa.nulls(len(copies), pa.binary())])
+        return pa.table({"kind": kinds, "key": np.concatenate([members, keys, copies]), "other": np.concatenate([centres, first[least], copied]), "size": size, "cells": cells})
+
+    return rows.groupBy("part").applyInArrow(run, "kind byte, key long, other long, size long, cells binary")
 
-    def run(batches):
-        last = None  # bucket, kind, centre, and whether the centre has been put out
-        for batch in batches:
-            bucket, kind, key, extra = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            if not len(bucket):
-                continue
-            new = np.ones(len(bucket), bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])
-            goes_on = last is not None and (bucket[0], kind[0]) == last[:2]
-            centre = key[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            if goes_on:
-                new[0] = False
-                head = np.argmax(new) if new.any() else len(new)
-                centre[:head] = last[2]
-            is_signature = kind == SIGNATURE
-            member = is_signature & ~new & (key != centre)
-            alone = np.zeros(len(key), bool)
-            # a centre is put out with its first other member
-            groups = np.cumsum(new)
-            with_member = np.unique(groups[member])
-            starts = np.flatnonzero(new & is_signature)
-            alone[starts[np.isin(groups[starts], with_member)]] = True
-            out = member | alone | ~is_signature
-            late = goes_on and not last[3] and bool(member[groups == 0].any())
-            kinds, keys = kind[out], key[out]
-            others = np.where(kind == COPY, extra, centre)[out]
-            sizes = np.where(kind == FIRST, extra, 0)[out]
-            counts = batch.column(4).filter(pa.array(out))
-            if late:
-                kinds, keys, others, sizes = (np.append(x, v) for x, v in ((kinds, np.int8(SIGNATURE)), (keys, last[2]), (others, last[2]), (sizes, 0)))
-                counts = pa.concat_arrays([counts, pa.nulls(1, pa.binary())])
-            tail = groups == groups[-1]
-            done = bool(member[tail].any()) or (goes_on and groups[-1] == 0 and last[3])
-            last = (bucket[-1], kind[-1], centre[-1], done)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(others), pa.array(sizes), counts], names=["kind", "key", "other", "size", "cells"])
-
-    shuffled = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "key")
-    return shuffled.mapInArrow(run, "kind byte, key long, other long, size long, cells binary")
+
+def cells_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, core.CELLS)
 
 
 def possible(groups: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``groups`` (centre, key) that may have a link within the group, by the cells of ``counted`` (key, size, cells)."""
+    """The rows of ``groups`` (centre, block, key) that may have a link within the block, by the cells of ``counted`` (key, size, cells)."""
 
     def run(table: pa.Table) -> pa.Table:
-        raw = b"".join(table.column("cells").to_pylist())
-        counts = np.frombuffer(raw, np.uint8).reshape(-1, core.CELLS)
-        return table.select(["centre", "key"]).filter(pa.array(core.plausible(table.column("size").to_numpy(), counts, percent)))
+        return table.select(["centre", "block", "key"]).filter(pa.array(core.plausible(table.column("size").to_numpy(), cells_of(table), percent)))
 
-    return groups.select("centre", "key").join(counted, "key").groupBy("centre").applyInArrow(run, "centre long, key long").distinct()
+    return by_group(groups.select("centre", "block", "key").join(counted, "key").select("centre", "block", "key", "size", "cells"), ["centre", "block"], run, "centre long, block long, key long").distinct()
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -132,10 +167,9 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
     """(key, set): the sorted shingle hashes, 64 bits each."""
 
     def run(batches):
-        known = core.WordHashes()
-        for batch in sliced(batches):
-            sets = [core.shingles(t, words, known).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
+        for keys, some in split(batches):
+            s, counts = core.shingles(some, words)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), binaries(s, counts)], names=["key", "set"])
 
     return texts.select("key", "text").mapInArrow(run, "key long, set binary")
 
@@ -152,9 +186,10 @@ def compared(members: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(b.as_buffer(), core.U64) for b in table.column("set").combine_chunks()]
         probes = int(np.sum(table.column("probe").to_numpy()))
         root = core.linked(sets, percent, apart, probes or None)
-        return pa.table({"a": keys, "b": keys[root]})
+        linked = root != np.arange(len(root))
+        return pa.table({"a": keys[linked], "b": keys[root[linked]]})
 
-    return members.groupBy("centre", "block").applyInArrow(run, "a long, b long").filter("a <> b")
+    return by_group(members.select("centre", "block", "key", "set", "component", "probe"), ["centre", "block"], run, "a long, b long").filter("a <> b")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -166,48 +201,67 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     """
     named = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
     keyed = named.filter("key IS NOT NULL")
-    found = checkpoint(gathered(signature_rows(keyed, words, percent)))
+    many = keyed.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(many.bytes // PART_BYTES, many.rows // PART_ROWS, docs.sparkSession.sparkContext.defaultParallelism)
+    found = checkpoint(gathered(signature_rows(keyed, words, percent, parts)))
     equal = found.filter(F.col("kind").isin(FIRST, COPY)).select(F.col("key").alias("a"), F.col("other").alias("b")).filter("a <> b")
-    sizes = found.filter(F.col("kind") == FIRST).select("key", "size")
+    counted = found.filter(F.col("kind") == FIRST).select("key", "size", "cells")
+    sizes = counted.select("key", "size")
     sizes = sizes.unionByName(found.filter(F.col("kind") == COPY).select("key", F.col("other").alias("at")).join(sizes.withColumnRenamed("key", "at").distinct(), "at").select("key", "size"))
 
     groups = found.filter(F.col("kind") == SIGNATURE).select(F.col("other").alias("centre"), "key").distinct()
-    blocks = groups.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    groups = groups.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    narrow = possible(groups.filter("blocks = 1"), found.filter(F.col("kind") == FIRST).select("key", "size", "cells"), percent)
-    groups = checkpoint(narrow.select("centre", "key", F.lit(1).alias("blocks"), F.lit(0).alias("block")).unionByName(groups.filter("blocks > 1")))
+    blocks = groups.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    groups = checkpoint(groups.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))))
     wide = groups.filter("blocks > 1")
     is_wide = not wide.isEmpty()
-    members = groups.join(sets_of(texts_of(keyed, groups), words), "key").withColumn("component", F.col("key")).withColumn("probe", F.lit(0))
+    if is_wide:
+        centres = wide.select("centre", "blocks").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("key", F.col("centre"))
+        groups = groups.unionByName(centres).distinct()
+    near = checkpoint(possible(groups, counted, percent))
+    members = near.join(sets_of(texts_of(keyed, near), words), "key").withColumn("component", F.col("key")).withColumn("probe", F.lit(0))
     links = checkpoint(compared(members, percent).unionByName(equal))
     labels = components(links)
     if is_wide:
-        sets = checkpoint(sets_of(texts_of(keyed, wide), words))
-        links = links.unionByName(across_blocks(wide, sets, labels, percent))
+        tiles = checkpoint(across_blocks(wide, counted, labels, percent))
+        links = links.unionByName(compared(tiles.join(sets_of(texts_of(keyed, tiles), words), "key"), percent))
         labels = components(links)
     with_labels = sizes.join(labels.withColumnRenamed("id", "key"), "key", "left")
     result = with_labels.select(F.col("key").alias(doc_id), F.col("size").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
     return result.unionByName(without_id(named, words).select(F.col("key").alias(doc_id), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
-def across_blocks(wide: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between blocks of a group: its documents outside its largest component so far against the other blocks."""
+def across_blocks(wide: DataFrame, counted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(centre, block, key, component, probe): what may still link between blocks of a group, in tiles (``block``).
+
+    Documents outside a group's largest component so far, in lots of bounded size, meet each other block of it.
+    """
     known = wide.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     shares = known.groupBy("centre", "component").count()
     main = shares.groupBy("centre").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = checkpoint(known.join(main, "centre").filter("component <> main").drop("main"))
-    probes = rest.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block").withColumn("block", F.col("to")).drop("to").withColumn("probe", F.lit(1))
-    both = probes.unionByName(known.withColumn("probe", F.lit(0)).join(probes.select("centre", "block").distinct(), ["centre", "block"], "left_semi"))
-    return compared(both.join(sets, "key"), percent)
+    lots = rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("lots"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    # mixed anew: keys of one block lie in all lots
+    probes = rest.join(lots, "centre").withColumn("lot", F.pmod(F.xxhash64("key", F.lit(1)), F.col("lots"))).withColumn("to", each("blocks")).filter("to <> block").withColumn("block", F.col("to")).withColumn("probe", F.lit(1))
+    targets = known.join(lots, "centre").withColumn("lot", each("lots")).withColumn("probe", F.lit(0))
+    columns = ["centre", (F.col("lot") * F.col("blocks") + F.col("block")).alias("block"), "key", "component", "probe"]
+    met = probes.select(*columns).unionByName(targets.select(*columns)).join(counted, "key")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("probe", "descending")])
+        probes = int(np.sum(table.column("probe").to_numpy()))
+        near = core.plausible(table.column("size").to_numpy(), cells_of(table), percent, table.column("component").to_numpy(), probes)
+        return table.select(["centre", "block", "key", "component", "probe"]).filter(pa.array(near))
+
+    return by_group(met.select("centre", "block", "key", "component", "probe", "size", "cells"), ["centre", "block"], run, "centre long, block long, key long, component long, probe int").distinct()
 
 
 def without_id(named: DataFrame, words: int) -> DataFrame:
     """(key, n_shingles) of rows without an id."""
 
     def run(batches):
-        known = core.WordHashes()
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(core.shingles(t, words, known)) for t in batch.column(1).to_pylist()], pa.int64())], names=["key", "n_shingles"])
+        for keys, texts in split(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(core.shingles(texts, words)[1])], names=["key", "n_shingles"])
 
     return named.filter("key IS NULL").mapInArrow(run, "key long, n_shingles long")
 

@@ -119,3 +119,44 @@ def test_cells_bound_the_difference():
         counts = np.stack([np.frombuffer(core.cells(x), np.uint8) for x in (a, b)])
         found = core.plausible(np.array([len(a), len(b)]), counts, 80)
         assert found.all() or not linked
+
+
+def test_signatures_travel_packed(spark, docs):
+    texts = docs(list(enumerate(family(2, 50, 300, 20)))).selectExpr("doc_id AS key", "text").coalesce(1)
+    rows = ngram_jaccard.signature_rows(texts, 4, 85, 4)
+    found = {r.kind: (r["count"], r.n) for r in rows.groupBy("kind").agg({"*": "count", "keys": "max"}).join(rows.groupBy("kind").agg({"part": "max"}).withColumnRenamed("max(part)", "n"), "kind").withColumnRenamed("count(1)", "count").collect()}
+    # before: a row for each of some 10,000 signatures
+    assert found[ngram_jaccard.SIGNATURE] == (4, 3) and found[ngram_jaccard.FIRST] == (4, 3)
+
+
+def test_wide_groups_meet_in_tiles_of_what_may_link(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lexiforge.llm import jaccard_core as core
+
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 7)
+    texts = [t for k in range(40) for t in family(k, 1, 120, 0)]
+    texts[30] = texts[3] + " end"
+    s, sizes = core.shingles(texts, 4)
+    counted = spark.createDataFrame([(k, int(n), c.tobytes()) for k, (n, c) in enumerate(zip(sizes, core.cell_counts(s, sizes), strict=True))], "key long, size long, cells binary")
+    wide = counted.select(F.lit(0).cast("long").alias("centre"), "key", F.lit(6).cast("long").alias("blocks"), (F.col("key") % 6 + F.when(F.col("key") == 30, 1).otherwise(0)).alias("block"))
+    tiles = ngram_jaccard.across_blocks(wide, counted, spark.createDataFrame([], "id long, component long"), 85).collect()
+    # before: 39 sets in each of the five other blocks
+    assert {r.key for r in tiles} == {3, 30} and len(tiles) <= 4
+
+
+def test_groups_that_go_on_in_the_next_batch(spark):
+    import pyarrow as pa
+
+    from lexiforge.llm.common import by_group
+
+    rows = [(g % 5, g // 5 % 2, i) for g in range(10) for i in range([1, 2, 30, 7, 3][g % 5])]
+    table = spark.createDataFrame(rows, "a long, b long, x long").repartition(2)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        run = lambda t: pa.table({"a": t.column("a").slice(0, 1), "b": t.column("b").slice(0, 1), "n": pa.array([len(t)]), "s": pa.array([sum(t.column("x").to_pylist())])})
+        got = sorted(map(tuple, by_group(table, ["a", "b"], run, "a long, b long, n long, s long").collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == sorted((a, b, n, n * (n - 1) // 2) for a in range(5) for b in range(2) for n in [[1, 2, 30, 7, 3][a]])
