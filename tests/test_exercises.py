@@ -6,6 +6,8 @@ import random
 
 from lexiforge.operators import exercises as X
 
+from .test_operators import written
+
 ITEM = "id long, level string, exercise_type string, prompt string, answer string, options array<string>, is_true boolean, left_right array<string>, request_level string, language string"
 
 
@@ -70,3 +72,26 @@ def test_copies_are_one_class(spark):
     made = X.kept_in_order(spark.createDataFrame(rows, "g long, o long, body string"), "g", "o", "body")
     assert [r.o for r in made.filter("kept").collect()] == [0]
     assert X.kept_in_order(made.limit(0).withColumnRenamed("kept", "body").selectExpr("g", "o", "string(body) AS body"), "g", "o", "body").count() == 0
+
+
+def test_kept_without_pairs_equals_the_rule_in_turn(spark, monkeypatch):
+    """Candidates that only share rare words aren't written, and with too many links each class keeps its least one."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.sample(words, 25)) for _ in range(1_000)]
+    texts += [" ".join(w if r.random() < 0.8 else r.choice(words) for w in words[:25]) for _ in range(60)]
+    rows = [(k % 2, k, t) for k, t in enumerate(texts)]
+    table, got = spark.createDataFrame(rows, "g long, o long, body string"), {}
+    keep = lambda: {(x.g, x.o): x.kept for x in X.kept_in_order(table, "g", "o", "body").collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = written(spark, lambda: got.update(keep()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = in_turn(rows)
+    assert got == want and 950 < sum(want.values()) < 1_050
+    # before: the words of some 250,000 pairs
+    assert n < 3_000_000, n
+    monkeypatch.setattr(X, "PAIRS", 0)
+    monkeypatch.setattr(X, "TILE", 50)
+    assert keep() == want
