@@ -241,9 +241,9 @@ def across_blocks(wide: DataFrame, counted: DataFrame, labels: DataFrame, percen
     rest = checkpoint(known.join(main, "centre").filter("component <> main").drop("main"))
     lots = rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("lots"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    # mixed anew: keys of one block lie in all lots
-    probes = rest.join(lots, "centre").withColumn("lot", F.pmod(F.xxhash64("key", F.lit(1)), F.col("lots"))).withColumn("to", each("blocks")).filter("to <> block").withColumn("block", F.col("to")).withColumn("probe", F.lit(1))
-    targets = known.join(lots, "centre").withColumn("lot", each("lots")).withColumn("probe", F.lit(0))
+    # dealt by key, as a group's rows are many times as many in its tiles; lots are mixed anew: keys of one block lie in all of them
+    probes = rest.join(lots, "centre").repartition("key").withColumn("lot", F.pmod(F.xxhash64("key", F.lit(1)), F.col("lots"))).withColumn("to", each("blocks")).filter("to <> block").withColumn("block", F.col("to")).withColumn("probe", F.lit(1))
+    targets = known.join(lots, "centre").repartition("key").withColumn("lot", each("lots")).withColumn("probe", F.lit(0))
     columns = ["centre", (F.col("lot") * F.col("blocks") + F.col("block")).alias("block"), "key", "component", "probe"]
     met = probes.select(*columns).unionByName(targets.select(*columns)).join(counted, "key")
 
